@@ -1,6 +1,73 @@
-STAGES = []
+"""Corpus pipeline: toxicity, near duplicates, repeated passages, benchmark passages, packing.
+
+Each stage takes what its predecessor kept, as a table of the columns of ``documents``; the last returns the packed
+pieces. A doc_id stands for one document: stages that drop documents drop all rows of an id.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sluice.llm import storage
+from sluice.llm.decontaminate import decontaminate
+from sluice.llm.jaccard import jaccard_components
+from sluice.llm.packing import pack
+from sluice.llm.queries import tokenizer_path
+from sluice.llm.substring import dedup_substrings
+from sluice.llm.toxicity import score_toxicity
+
+#: Near duplicates share five-word shingles at a Jaccard similarity of 0.8.
+SHINGLE, NUM, DEN = 5, 8, 10
+
+
+def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """``docs`` without those of ``ids`` (id)."""
+    gone = storage.persist(ids.distinct(), name)
+    return docs.join(storage.small(gone, 32), docs["doc_id"] == gone["id"], "left_anti")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scored = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.where("predicted = 0").select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group the document of the smallest doc_id stays."""
+    found = jaccard_components(docs, SHINGLE, NUM, DEN)
+    return _without(docs, found.where("component_id <> doc_id").select(F.col("doc_id").alias("id")), "copies")
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = dedup_substrings(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found.where("contaminated").select(F.col("doc_id").alias("id")), "leaks")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, tokenizer_path(), end=2, size=1024)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("ngram_jaccard_join", near_duplicates),
+    ("substring_dedup", repeated_passages),
+    ("benchmark_decontamination", benchmark_passages),
+    ("best_fit_packing", packing),
+]
+
+#: SQL can't express learning and packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = storage.persist(docs, name)
+    return docs

@@ -18,18 +18,63 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.substring import dedup_substrings
+
+    out = dedup_substrings(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", "removed", F.size("removed").alias("n_removed"), F.length("text").cast("long").alias("n_kept"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.jaccard import jaccard_components
 
     return jaccard_components(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.decontaminate import decontaminate
+
+    out = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.packing import pack
 
     return pack(_table(spark, sf_dir, "documents"), tokenizer_path(), end=2, size=1024)
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.html_extract import extract_main_text
+
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
+def op6_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.media_gif import read, store
+
+    return read(store(_table(spark, sf_dir, "documents"))).drop("frames")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.toxicity import held_out, score_toxicity
+
+    out = score_toxicity(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.warc import read_archives, write_archives
+
+    return read_archives(write_archives(_table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.url_filter import filter_urls
+
+    return filter_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.token_store import write_store
 
@@ -41,12 +86,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
+            op1_substring_dedup,
             op2_jaccard_join,
+            op3_benchmark_decontamination,
             op4_best_fit_packing,
+            op5_html_extraction,
+            op6_media_gif,
+            op7_toxicity,
+            op8_warc,
+            op9_url_filter,
             op10_token_store,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from sluice.llm import decontaminate
+
+    return {"op3_benchmark_decontamination": decontaminate.SQL, "op8_warc": _WARC_SQL}
+
+
+#: DuckDB has no base32, so the digest's bits are dealt in groups of five here.
+_WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+s AS (SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p),
+b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(CAST(instr('0123456789abcdef', x[i:i]) - 1 AS INT)), 4, '0')), '') AS bits FROM s),
+g AS (SELECT *, list_transform(range(0, 32), lambda i: list_sum(list_transform(range(1, 6), lambda j: CAST(bits[i * 5 + j:i * 5 + j] AS INT) * CAST(power(2, 5 - j) AS INT)))) AS five FROM b)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, array_to_string(list_transform(five, lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[CAST(k + 1 AS INT):CAST(k + 1 AS INT)]), '') AS payload_digest,
+CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to FROM g
+"""

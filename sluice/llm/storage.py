@@ -65,7 +65,7 @@ def write_file(uri: str, data) -> None:
     at, path = filesystem(uri)
     at.create_dir(path.rsplit("/", 1)[0], recursive=True)
     part = f"{path}.{uuid.uuid4().hex}.part"
-    with at.open_output_stream(part) as out:
+    with at.open_output_stream(part, compression=None) as out:
         for x in [data] if isinstance(data, (bytes, bytearray, memoryview)) else data:
             out.write(x)
     at.move(part, path)
