@@ -299,7 +299,8 @@ class Compiler:
         op, a, b = t[1], self.of(t[2], at, scope), self.of(t[3], at, scope)
         if op in ("and", "or"):
             x, y = (F.coalesce(V.boolean(v), F.lit(False)) for v in (a, b))
-            return Value(x & y if op == "and" else x | y, _BOOL)
+            p, q = (V.predicate(v) if v.boolean or v.number or v.string else F.coalesce(V.boolean(v), F.lit(False)) for v in (a, b))
+            return Value(*((x & y, _BOOL) if op == "and" else (x | y, _BOOL)), pred=p & q if op == "and" else p | q)
         if op == "&":
             x, y = (F.coalesce(V.text(v), F.lit("")) if not v.null else F.lit("null") for v in (a, b))
             return Value(F.concat(x, y), _STRING)

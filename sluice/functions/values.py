@@ -25,6 +25,8 @@ class Value:
     const: object = None
     #: A literal null, unlike a missing value.
     null: bool = False
+    #: Of booleans, a predicate that is true where ``col`` is, but may be NULL where that is false: sources understand it.
+    pred: Column | None = None
 
     @property
     def number(self) -> bool:
@@ -135,6 +137,17 @@ def truthy(v: Value) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def predicate(v: Value) -> Column:
+    """What holds where the value is truthy, for a filter; a form that can be pushed down, if there is one."""
+    if v.boolean:
+        return v.col if v.pred is None else v.pred
+    if v.number:
+        return v.col != 0
+    if v.string:
+        return v.col != ""
+    return truthy(v)
+
+
 def boolean(v: Value) -> Column:
     """The language's own $boolean: like truthy, but empty arrays and objects are false. NULL if missing."""
     if v.array:

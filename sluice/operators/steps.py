@@ -33,7 +33,7 @@ def _if_ok(df: DataFrame, column: str, value: Column) -> Column:
 def filter_rows(df: DataFrame, expr: str | bool, at: int = 0, ctx: Context | None = None) -> DataFrame:
     """Keeps messages whose value is truthy; drops the others without a trace. Failed messages pass."""
     v = compile_on(df, _text(expr), functions=ctx and ctx.functions)
-    return df.where(~ok() | V.truthy(v))
+    return df.where(~ok() | V.predicate(v))
 
 
 def _text(expr) -> str:

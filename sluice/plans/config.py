@@ -70,7 +70,7 @@ def substitute(x, params: dict):
 
 def inherit(cfg: dict, base: Path, visiting: tuple[Path, ...] = (), given: dict | None = None) -> dict:
     """Resolves ``$import`` (a file this one builds on) and ``$params``; a child's parameters win."""
-    params = {**(given or {}), **(cfg.get("$params") or {})}
+    params = {**(cfg.get("$params") or {}), **(given or {})}
     own = {k: v for k, v in cfg.items() if k not in ("$import", "$params")}
     if "$import" in cfg:
         if not isinstance(cfg["$import"], str):
