@@ -189,42 +189,32 @@ def changelog_page(log: DataFrame, watermark: str, last, limit: int) -> DataFram
 DEBEZIUM = {"c": "INSERT", "u": "UPDATE", "d": "DELETE", "r": "READ"}
 
 
-def _object_json(v: Column) -> Column:
-    """An object's JSON if it has fields, else NULL."""
-    s = F.to_json(v)
-    return F.when(v.isNotNull() & ~s.isin("{}", "null"), s)
+_EVENT = "op string, type string, ts_ms bigint, ts bigint, table string, source struct<table:string>, before string, after string, old string, data string, _bad string"
+
+
+def _event(text: Column) -> Column:
+    """A change event with its states as JSON text; NULL if it is no JSON."""
+    e = F.from_json(text, _EVENT, {"columnNameOfCorruptRecord": "_bad"})
+    return F.when(e["_bad"].isNull(), e)
+
+
+def _state(c: Column) -> Column:
+    """A state's JSON if it has fields, else NULL."""
+    return F.when(~F.trim(c).isin("{}", "null", ""), c)
 
 
 def debezium(text: Column) -> Column:
     """struct<table, operation, timestamp, before, after> of a Debezium event; NULL if it is no JSON."""
-    v = F.try_parse_json(text)
-    op = F.try_variant_get(v, "$.op", "string")
+    e = _event(text)
     table = F.create_map(*(F.lit(x) for kv in DEBEZIUM.items() for x in kv))
-    return F.when(
-        v.isNotNull(),
-        F.struct(
-            F.try_variant_get(v, "$.source.table", "string").alias("table"),
-            F.coalesce(F.try_element_at(table, op), op).alias("operation"),
-            F.try_variant_get(v, "$.ts_ms", "bigint").alias("timestamp"),
-            _object_json(F.try_variant_get(v, "$.before", "variant")).alias("before"),
-            _object_json(F.try_variant_get(v, "$.after", "variant")).alias("after"),
-        ),
-    )
+    op = F.coalesce(F.try_element_at(table, e["op"]), e["op"])
+    return F.when(e.isNotNull(), F.struct(e["source"]["table"].alias("table"), op.alias("operation"), e["ts_ms"].alias("timestamp"), _state(e["before"]).alias("before"), _state(e["after"]).alias("after")))
 
 
 def maxwell(text: Column) -> Column:
     """The same of a Maxwell event; its operation stays as it is."""
-    v = F.try_parse_json(text)
-    return F.when(
-        v.isNotNull(),
-        F.struct(
-            F.try_variant_get(v, "$.table", "string").alias("table"),
-            F.try_variant_get(v, "$.type", "string").alias("operation"),
-            F.try_variant_get(v, "$.ts", "bigint").alias("timestamp"),
-            _object_json(F.try_variant_get(v, "$.old", "variant")).alias("before"),
-            _object_json(F.try_variant_get(v, "$.data", "variant")).alias("after"),
-        ),
-    )
+    e = _event(text)
+    return F.when(e.isNotNull(), F.struct(e["table"].alias("table"), e["type"].alias("operation"), e["ts"].alias("timestamp"), _state(e["old"]).alias("before"), _state(e["data"]).alias("after")))
 
 
 # -- dead letters ------------------------------------------------------------------------------------------------------
