@@ -16,7 +16,7 @@ from sluice.llm import storage
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 DAMPING, ROUNDS, TOLERANCE = 0.85, 12, 1e-4
 #: Distrust, as a multiple of an even share of all hosts, from which a host without a rule is blocked.
-DISTRUST = 1.0
+DISTRUST = 0.1
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""
 

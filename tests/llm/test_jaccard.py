@@ -80,6 +80,19 @@ def test_near_copies_in_one_group_and_long_texts(spark):
     check(spark, rows, 3, 9, 10)
 
 
+def test_copies_near_the_threshold_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr("sluice.llm.jaccard.BLOCK", 40)
+    r = random.Random(9)
+    base = [f"x{i}" for i in range(90)]
+    rows = []
+    for i in range(110):
+        t = list(base)
+        for _ in range(r.choice([1, 2, 2, 3, 3, 4])):
+            t[r.randrange(90)] = f"y{r.randrange(400)}"
+        rows.append((i, " ".join(t)))
+    check(spark, rows, 3, 9, 10)
+
+
 def test_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, " \t\n "), (4, "A b"), (5, "a B"), (6, "a b c"), (7, "É b"), (8, "é b"), (4, "A b"), (9, "a b"), (10, "a,b")]
     check(spark, rows, 3, 9, 10)
