@@ -18,11 +18,6 @@ def percentile_ranked(values: Column, percent: int) -> Column:
     return F.get(values, F.least(F.floor(n * percent / 100), n - 1).cast("int"))
 
 
-def _ranked(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(value)
-    return df.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w) - 1)
-
-
 def latency_percentiles(df: DataFrame, keys: list[str], value: str, rule: str = "collector") -> DataFrame:
     """p50, p90, p99, sum, count and average of ``value`` by ``keys``.
 

@@ -60,8 +60,7 @@ def fold(df: DataFrame, one, name: str) -> DataFrame:
 
 
 def first_anchored(window: int, most: int):
-    """Bucket number times two, plus 1 if it was flushed by count: a bucket opens at its first row, lasts ``window``
-    and flushes early at ``most`` rows."""
+    """Bucket numbers: a bucket opens at its first row, lasts ``window`` and flushes early at ``most`` rows."""
 
     def one(ts, state):
         bucket, opened, n = state or (-1, None, 0)
@@ -90,9 +89,7 @@ def accepted(ttl: int):
         while i < len(ts):
             out[i] = 1
             last = int(ts[i])
-            i = int(np.searchsorted(ts, last + ttl, "left"))
-            if ttl == 0:
-                i += 0 if i > 0 and i < len(ts) and ts[i] > last else 1
+            i = max(i + 1, int(np.searchsorted(ts, last + ttl, "left")))
         return out, last
 
     return one
@@ -137,8 +134,8 @@ def aggregate(
     ``window_ms`` and flushes early at ``max_messages``. What is open at the end of the input is emitted too.
 
     The order is (ingested_at, ``tie``); ``tie`` names a column that makes it unique. Groups are bounded by count, so no
-    key is ever gathered whole. Null keys fail, or pass unaggregated (skip): those come back in the second frame's place
-    as single messages with their JSON.
+    key is ever gathered whole. Null keys fail, or pass unaggregated (skip): those go to the context's side output
+    "unaggregated".
     """
     v = _key(df, key, "body")
     df = df.withColumn("_key", F.when(v.col.isNotNull(), V.go_text(v)) if not v.missing else F.lit(None).cast("string"))
@@ -163,7 +160,7 @@ def aggregate(
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
     row = F.struct("_t", "_id", "body", "headers", "metadata")
-    grouped = live.groupBy("_key", "_bucket").agg(F.sort_array(F.collect_list(row)).alias("rows")) if _sortable(df) else live.groupBy("_key", "_bucket").agg(F.array_sort(F.collect_list(row), _by_time).alias("rows"))
+    grouped = live.groupBy("_key", "_bucket").agg(F.array_sort(F.collect_list(row), _by_time).alias("rows"))
     full = F.size("rows") >= most
     trigger = F.when(full, F.lit("count_reached" if strategy == "count" else "max_messages_reached")).otherwise(F.lit("timeout" if strategy == "count" else "window_expired"))
     first = F.get("rows", F.lit(0))
@@ -182,18 +179,12 @@ def aggregate(
         o = Compiler({f: Value(F.col(f"body.{f}"), t.dataType) for f, t in ((x.name, x) for x in out.schema["body"].dataType.fields)}).compile(output_expr)
         out = out.withColumn("body", o.col)
     kind = out.schema["body"].dataType
-    blank = [d.withColumn("body", F.lit(None).cast(kind)).select("headers", "body", "metadata", "_error") for d in (dead,)]
-    out = out.unionByName(blank[0])
-    if passed is not None:
-        ctx_ = ctx or Context()
-        ctx_.taps.append(("unaggregated", passed.drop("_error")))
+    out = out.unionByName(dead.withColumn("body", F.lit(None).cast(kind)).select("headers", "body", "metadata", "_error"))
+    if passed is not None and ctx is not None:
+        ctx.taps.append(("unaggregated", passed.drop("_error")))
     return out
 
 
-def _sortable(df: DataFrame) -> bool:
-    return False
-
-
 def _by_time(a, b):
     return F.when(a["_t"] < b["_t"], -1).when(a["_t"] > b["_t"], 1).when(a["_id"] < b["_id"], -1).when(a["_id"] > b["_id"], 1).otherwise(0)
 

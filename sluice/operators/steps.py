@@ -26,10 +26,6 @@ class Context:
     undefined: str = "null"
 
 
-def _if_ok(df: DataFrame, column: str, value: Column) -> Column:
-    return F.when(ok(), value).otherwise(F.col(column)) if df.schema[column].dataType else value
-
-
 def filter_rows(df: DataFrame, expr: str | bool, at: int = 0, ctx: Context | None = None) -> DataFrame:
     """Keeps messages whose value is truthy; drops the others without a trace. Failed messages pass."""
     v = compile_on(df, _text(expr), functions=ctx and ctx.functions)

@@ -595,10 +595,10 @@ def message_rates(spark, d):
     return metrics.message_rates(e, "ts", "event_type").withColumn("minute", F.date_format("minute", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 0 ELSE round(least(greatest(s_acctbal, 0) * 100.0 / (s_suppkey % 5 * 1000), 100), 4) END AS percent FROM supplier")
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 0 ELSE CAST(floor(least(greatest(s_acctbal, 0) * 100.0 / (s_suppkey % 5 * 1000), 100) + 1e-9) AS BIGINT) END AS percent FROM supplier")
 def tenant_utilisation(spark, d):
     s = table(spark, d, "supplier")
-    return s.select("s_suppkey", F.round(metrics.utilisation(F.greatest("s_acctbal", F.lit(0.0)), F.col("s_suppkey") % 5 * 1000.0), 4).alias("percent"))
+    return s.select("s_suppkey", F.floor(metrics.utilisation(F.greatest("s_acctbal", F.lit(0.0)), F.col("s_suppkey") % 5 * 1000.0) + 1e-9).cast("bigint").alias("percent"))
 
 
 CONFIG = {
