@@ -101,6 +101,14 @@ def load_index(data: bytes) -> tuple[PerfectHash, dict[str, np.ndarray]]:
     return PerfectHash([(b, out.pop(f"level{i}")) for i, b in enumerate(head["bits"])], out.pop("prints")), out
 
 
+#: Where a null doc_id stands in the order, and what its key is made of.
+NULL_ID = -(1 << 63)
+
+
+def _ids(column) -> np.ndarray:
+    return column.fill_null(NULL_ID).to_numpy()
+
+
 def key_of(doc_id: np.ndarray, copy: np.ndarray) -> np.ndarray:
     """Key of the ``copy``-th row (from 0) of a doc_id."""
     return mix(doc_id.astype(np.int64).view(np.uint64) + copy.astype(np.int64).view(np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -124,8 +132,9 @@ def _write(root: str, tokenizer: str, end: int):
                 for i in range(0, big.num_rows, 1000):
                     b = big.slice(i, 1000)
                     for doc, raw in zip(b.column("doc_id").to_pylist(), e.encode([t or "" for t in b.column("text").to_pylist()])):
-                        copy = copy + 1 if doc == before else 0
-                        before = doc
+                        known = NULL_ID if doc is None else doc
+                        copy = copy + 1 if known == before else 0
+                        before = known
                         out.write(raw)
                         out.write(last)
                         doc_ids.append(doc)
@@ -153,7 +162,7 @@ def _index(root: str):
         import pyarrow as pa
 
         part = group[0].as_py()
-        key = key_of(table.column("doc_id").to_numpy(), table.column("copy").to_numpy())
+        key = key_of(_ids(table.column("doc_id")), table.column("copy").to_numpy())
         index = PerfectHash.build(key)
         slot = index.slots(key)
         columns = {}
@@ -173,7 +182,7 @@ def _find(root: str):
         at, path = storage.filesystem(f"{root}/index-{group[0].as_py():06d}.mph")
         with at.open_input_file(path) as f:
             index, columns = load_index(f.read())
-        slot = index.find(key_of(table.column("doc_id").to_numpy(), table.column("copy").to_numpy()))
+        slot = index.find(key_of(_ids(table.column("doc_id")), table.column("copy").to_numpy()))
         ok = slot >= 0
         out = {c: table.column(c).filter(pa.array(ok)) for c in ("doc_id", "copy")}
         out |= {c: pa.array(columns[c][slot[ok]].astype(np.int64)) for c in ("shard_id", "position", "n_tokens")}
@@ -229,14 +238,14 @@ def write_store(docs: DataFrame, tokenizer: str, end: int, root: str | None = No
     """Encodes every row of ``docs`` (doc_id, text), ids in ascending doc_id order with ``end`` after each document.
 
     A null or empty text is ``end`` alone. Rows that repeat a doc_id are kept side by side and keyed by their number.
-    A null doc_id has no place in an order of ids and raises. Other columns are ignored; an empty table gives an empty
+    A null doc_id comes before all others. Other columns are ignored; an empty table gives an empty
     store. Shard names hold a random part, so a task that runs again never meets its own leavings.
     """
     spark = docs.sparkSession
     root = root or storage.new_path(spark, "tokens")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.when(F.col("doc_id").isNull(), F.raise_error(F.lit("doc_id is null")).cast("long")).otherwise(F.col("doc_id").cast("long")).alias("doc_id"), "text")
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    order = F.coalesce("doc_id", F.lit(NULL_ID))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, order).sortWithinPartitions(order)
     entries = storage.persist(rows.mapInArrow(_write(root, tokenizer, end), "doc_id long, copy long, part int, shard string, position long, n_tokens long"), "entries")
     totals = entries.groupBy("part", "shard").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard

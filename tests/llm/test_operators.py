@@ -102,6 +102,8 @@ def test_token_store(spark):
     assert got == sorted(want)
     keys = spark.createDataFrame([(999, 0), (1, 0)], "doc_id long, copy long")
     assert [r.doc_id for r in s.find(keys).collect()] == [1]
+    null = token_store.write_store(docs(spark, [(None, "a b"), (None, "c"), (1, "d")]), tokenizer_path(), end=0)
+    assert sorted((r.doc_id or -1, r.n_tokens) for r in null.read(null.find(null.entries)).collect()) == [(-1, 2), (-1, 3), (1, 2)]
     none = token_store.write_store(empty(spark), tokenizer_path(), end=0)
     assert none.read(none.find(none.entries)).collect() == []
 
@@ -134,6 +136,8 @@ def test_gif_rules():
 
 
 def test_media(spark):
+    assert media_gif.read(media_gif.store(docs(spark, [(None, None)]))).first().n_bytes == 0
+    assert packing.pack(docs(spark, [(None, "a"), (None, None)]), tokenizer_path(), 2).count() == 2
     out = {(r.doc_id, r.n_bytes): r for r in media_gif.read(media_gif.store(docs(spark))).collect()}
     for d, t in TEXTS:
         raw = (t or "").encode()
