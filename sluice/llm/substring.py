@@ -126,10 +126,9 @@ def dedup_substrings(docs: DataFrame, min_words: int = LEAST) -> DataFrame:
     hashed = storage.persist(found.mapInArrow(_hash(min_words), "doc_id long, start int, end int, digest binary"), "units")
     first = hashed.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     first = storage.persist(first, "repeats")
-    later = hashed.join(storage.small(first, 80), "digest").where(F.struct("doc_id", "start") > F.col("first"))
+    later = hashed.join(first, "digest").where(F.struct("doc_id", "start") > F.col("first"))
     spans = later.select("doc_id", "start", "end").distinct().groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "end")).alias("removed"))
     spans = storage.persist(spans, "spans")
-    total = spans.agg(F.sum(F.size("removed"))).first()[0] or 0
-    marked = docs.join(F.broadcast(spans) if total * 16 + spans.count() * 64 <= storage.BROADCAST_BYTES else spans, docs.doc_id == F.col("_id"), "left").drop("_id")
+    marked = docs.join(spans, docs.doc_id == F.col("_id"), "left").drop("_id")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema.fields)
     return marked.mapInArrow(_apply(marked.columns), schema)
