@@ -57,7 +57,7 @@ def _chunks(off: np.ndarray, most: int):
         i = j
 
 
-def shingle_sets(column, k: int, most: int = 1 << 21):
+def shingle_sets(column, k: int, most: int = 1 << 19):
     """Yields, for each text, the sorted distinct hashes of its ``k``-word shingles. A text of fewer words has its
     whole sequence as its one shingle; one without words (or null) has none. A-Z count as a-z."""
     data, off = buffers(column)

@@ -78,7 +78,7 @@ class Grammar:
             else:
                 w = self.stems.get(word)
                 out = ("insult", w) if w else None
-        if len(self._seen) < 500_000:
+        if len(self._seen) < 100_000:
             self._seen[word] = out
         return out
 
