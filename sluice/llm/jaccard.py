@@ -9,7 +9,9 @@ separately, on (pair, fragment) rows, and summed per pair.
 
 Equal sets are one node, whatever the number of copies. Within the sets that share segments only pairs with a pivot
 are counted at first; components grow from these, and only where a list still holds several components its cross pairs
-follow. So a group of n near copies costs in the order of n pairs, not n * n.
+follow. Where these are many (copies that are near each other, but often just below the threshold), the sets are compared
+in blocks: each pair of blocks is a task that counts overlaps as matrix products and returns components, not pairs. So
+a group of n near copies makes in the order of n rows, not n * n.
 """
 
 from __future__ import annotations
@@ -29,9 +31,11 @@ BUCKET_KEYS = 1_500_000
 #: Partial overlaps are counted on segments of about so many n-grams.
 SEGMENT = 4096
 #: Keys that a task gathers before it sends them.
-FLUSH_KEYS = 1_000_000
-#: A list of several components gives all its cross pairs up to so many a member, else those of one more pivot.
-CROSS = 32
+FLUSH_KEYS = 400_000
+#: A list of several components gives its cross pairs up to so many a member. Longer ones are compared in blocks.
+CROSS = 8
+#: Sets of a block, and n-grams of one, at most; n-grams whose overlaps are counted at a time.
+BLOCK, BLOCK_GRAMS, COLUMNS = 768, 3_000_000, 4096
 
 
 @lru_cache(None)
@@ -214,47 +218,102 @@ def _stars(key, table):
     return _pairs_table(a, b)
 
 
-def _crosses(round_: int):
-    """Pairs across components in lists that hold several; deferred: the list's length, if more pivots have to follow."""
+def _crosses(key, table):
+    """Pairs across components in lists that hold several; of lists with too many, (first node, node) pairs with
+    ``deferred`` set."""
+    k, node, label = (_join(table.column(c), t) for c, t in (("keys", np.uint64), ("nodes", np.int64), ("labels", np.int64)))
+    order = np.lexsort((node, label, k))
+    k, node, label = k[order], node[order], label[order]
+    head = np.ones(len(k), bool)
+    head[1:] = k[1:] != k[:-1]
+    first = np.append(np.flatnonzero(head), len(k))
+    a, b, later = [], [], []
+    for p, q in zip(first[:-1], first[1:]):
+        if label[p] == label[q - 1]:
+            continue
+        n, l = node[p:q], label[p:q]
+        keep = np.ones(len(n), bool)
+        keep[1:] = n[1:] != n[:-1]
+        n, l = n[keep], l[keep]
+        _, size = np.unique(l, return_counts=True)
+        start = np.concatenate([[0], np.cumsum(size)])
+        if (len(l) ** 2 - int((size.astype(np.int64) ** 2).sum())) // 2 <= CROSS * len(l):
+            for g in range(len(size) - 1):
+                x, y = n[start[g] : start[g + 1]], n[start[g + 1] :]
+                a.append(np.repeat(x, len(y)))
+                b.append(np.tile(y, len(x)))
+                later.append(np.zeros(len(x) * len(y), np.int64))
+        else:
+            a.append(np.full(len(n) - 1, n.min()))
+            b.append(n[n != n.min()])
+            later.append(np.ones(len(n) - 1, np.int64))
+    if not a:
+        return _pairs_table(np.zeros(0, np.int64), np.zeros(0, np.int64))
+    a, b, later = np.concatenate(a), np.concatenate(b), np.concatenate(later)
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((-later, b, a))
+    a, b, later = a[order], b[order], later[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return _pairs_table(a[new], b[new], later[new])
+
+
+def _block_links(k: int, num: int, den: int):
+    """Components of the sets of two blocks, as (smallest node, node) pairs. Overlaps of all pairs are counted on one
+    fragment of the order at a time, as products of 0-1 matrices, and summed."""
 
     def run(key, table):
-        k, node, label = (_join(table.column(c), t) for c, t in (("keys", np.uint64), ("nodes", np.int64), ("labels", np.int64)))
-        order = np.lexsort((node, label, k))
-        k, node, label = k[order], node[order], label[order]
-        head = np.ones(len(k), bool)
-        head[1:] = k[1:] != k[:-1]
-        first = np.append(np.flatnonzero(head), len(k))
-        mixed = [(p, q) for p, q in zip(first[:-1], first[1:]) if label[p] != label[q - 1]]
-        a, b, later = [], [], []
-        for p, q in mixed:
-            n, l = node[p:q], label[p:q]
-            keep = np.ones(len(n), bool)
-            keep[1:] = n[1:] != n[:-1]
-            n, l = n[keep], l[keep]
-            _, size = np.unique(l, return_counts=True)
-            total = (len(l) ** 2 - int((size.astype(np.int64) ** 2).sum())) // 2
-            start = np.concatenate([[0], np.cumsum(size)])
-            if total <= CROSS * len(l):
-                for g in range(len(size) - 1):
-                    x, y = n[start[g] : start[g + 1]], n[start[g + 1] :]
-                    a.append(np.repeat(x, len(y)))
-                    b.append(np.tile(y, len(x)))
-                    later.append(np.zeros(len(x) * len(y), np.int64))
-            else:
-                # one pivot of the smallest components, another each round
-                by = np.argsort(np.repeat(size, size), kind="stable")
-                at = by[round_ % len(by)]
-                y = n[l != l[at]]
-                a.append(np.full(len(y), n[at]))
-                b.append(y)
-                later.append(np.full(len(y), len(by), np.int64))
-        if not a:
-            return _pairs_table(np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return _pairs_table(np.concatenate(a), np.concatenate(b), np.concatenate(later))
+        import pyarrow as pa
+
+        node = table.column("node").to_numpy()
+        sets = list(shingle_sets(table.column("text"), k))
+        n = np.array([len(t) for t in sets], np.float64)
+        grams, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), n.astype(np.int64))
+        shared = times > 1  # an n-gram of one set overlaps with nothing
+        column = np.cumsum(shared) - 1
+        keep = shared[at]
+        column, owner = column[at][keep], owner[keep]
+        order = np.argsort(column, kind="stable")
+        column, owner = column[order], owner[order]
+        overlap = np.zeros((len(sets), len(sets)), np.float32)
+        for c in range(0, int(shared.sum()), COLUMNS):
+            p, q = np.searchsorted(column, (c, c + COLUMNS))
+            m = np.zeros((len(sets), COLUMNS), np.float32)
+            m[owner[p:q], column[p:q] - c] = 1
+            overlap += m @ m.T
+        link = overlap * float(den) >= (n[:, None] + n[None, :] - overlap) * float(num)
+        label = np.full(len(sets), -1)
+        for i in range(len(sets)):
+            if label[i] < 0:
+                front = np.array([i])
+                label[i] = i
+                while len(front):
+                    near = np.flatnonzero(link[front].any(0) & (label < 0))
+                    label[near] = i
+                    front = near
+        low = np.full(len(sets), np.iinfo(np.int64).max)
+        np.minimum.at(low, label, node)
+        a = low[label]
+        m = a != node
+        return pa.table({"a": pa.array(a[m], pa.int64()), "b": pa.array(node[m], pa.int64())})
 
     return run
 
 
+def _in_blocks(stars: DataFrame, texts: DataFrame, sizes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links among the sets of each group that ``stars`` (a, b) connect: a group is cut into blocks of bounded size, and
+    each pair of blocks is one task's work, so no group is gathered whole."""
+    group = storage.persist(components(stars).withColumnRenamed("label", "grp"), "groups")
+    size = group.join(sizes, "node").groupBy("grp").agg(F.count("*").alias("c"), F.avg("n").alias("n"))
+    most = F.least(F.lit(BLOCK), F.greatest(F.lit(16), F.floor(F.lit(BLOCK_GRAMS) / F.col("n"))))
+    size = storage.persist(size.select("grp", F.ceil(F.col("c") / most).cast("int").alias("blocks")), "blocks")
+    rows = group.join(storage.small(size, 32), "grp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.join(texts, "node").select("node", "text", "grp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("node", "text", "grp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    return rows.groupBy("grp", "lo", "hi").applyInArrow(_block_links(k, num, den), "a long, b long").distinct()
+
+
 def _level(n: int) -> int:
     return max(0, (n - 1) // SEGMENT).bit_length()
 
@@ -341,8 +400,8 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame
     (doc_id, n_shingles, component_id): the set's size and the smallest doc_id reachable by links.
 
     Texts that are null, empty or without words have no shingles and stand alone. Equal sets are always linked. A
-    doc_id that comes several times gives a row each time; its rows link as their texts do. A null doc_id stays and
-    never becomes a component's id unless alone. Other columns are ignored; an empty table gives an empty result.
+    doc_id that comes several times gives a row each time; its rows link as their texts do. A null doc_id stays,
+    links by equal texts only, and never becomes a component's id unless alone. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), "text")
@@ -375,23 +434,32 @@ def _links(spark, texts: DataFrame, nodes: DataFrame, total: int, k: int, num: i
     chosen = texts.join(reps, "doc_id")
     mine = storage.persist(chosen.mapInArrow(_own(k), "node long, text string").dropDuplicates(["node"]), "texts")
     sizes = active.select("node", "n")
-    edges = storage.persist(_verified(tried, mine, sizes, k, num, den), "links")
-    for round_ in range(1 << 30):
-        label = storage.persist(components(edges), "components")
-        marked = mine.join(label, "node", "left").select("text", F.coalesce("label", "node").alias("label"))
-        n = max(1, int(active.agg(F.sum("n")).first()[0] * per / BUCKET_KEYS) + 1)
-        n = max(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        packed = marked.mapInArrow(_send(k, num, den, n, True), _PACKED)
-        more = packed.groupBy("bucket").applyInArrow(_crosses(round_), "a long, b long, deferred long")
-        more = storage.persist(more.groupBy("a", "b").agg(F.max("deferred").alias("deferred")), "pairs")
-        new = storage.persist(more.select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
-        left = more.agg(F.max("deferred")).first()[0] or 0
-        if not new.isEmpty():
-            edges = storage.persist(edges.union(_verified(new, mine, sizes, k, num, den)), "links")
-            tried = tried.union(new)
-            label = None
-        if left <= round_ + 1:
-            return components(edges) if label is None else label
+    label = storage.persist(components(_verified(tried, mine, sizes, k, num, den)), "components")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(active.agg(F.sum("n")).first()[0] * per / BUCKET_KEYS) + 1)
+    marked = mine.join(label, "node", "left").select("text", F.coalesce("label", "node").alias("label"))
+    packed = marked.mapInArrow(_send(k, num, den, n, True), _PACKED)
+    more = packed.groupBy("bucket").applyInArrow(_crosses, "a long, b long, deferred long")
+    more = storage.persist(more.groupBy("a", "b").agg(F.max("deferred").alias("deferred"), F.min("deferred").alias("pair")), "pairs")
+    new = storage.persist(more.where("pair = 0").select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
+    if not new.isEmpty():
+        label = _merged(label, _verified(new, mine, sizes, k, num, den))
+    stars = more.where("deferred = 1").select("a", "b")
+    if not stars.isEmpty():
+        label = _merged(label, _in_blocks(stars, mine, sizes, k, num, den))
+    return label
+
+
+def _merged(label: DataFrame, edges: DataFrame) -> DataFrame:
+    """The labels after further edges (a, b): components of the components."""
+    edges = storage.persist(edges, "links")
+    if edges.isEmpty():
+        return label
+    of = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
+    named = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    up = components(named)
+    both = label.unionByName(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(label, "node", "left_anti").withColumn("label", F.col("node")))
+    new = both.join(up.select(F.col("node").alias("label"), F.col("label").alias("_up")), "label", "left")
+    return storage.persist(new.select("node", F.coalesce("_up", "label").alias("label")), "components")
 
 
 def _own(k: int):
