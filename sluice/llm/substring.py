@@ -1,17 +1,20 @@
 """Substring dedup by hashes of lines and of parts of lines.
 
-A text is cut into units: lines, and within a line parts of LEAST words or more that end at a punctuation mark, at a word
-of a certain hash, or after MOST words. So cuts depend on the text around them only, and a passage pasted into another
-line falls into the same units again. Units are normalised (case, white space) and hashed, and digests are grouped over
-all documents. What is left of a line is too short to be a unit; it is hashed together with the unit before it, so it
-goes only where that one repeats as well. The earliest occurrence, by (doc_id, offset), stays; the others are cut out,
-and their original offsets kept.
+A text is cut into units: at line ends, and within lines after the words that come first (marks before plain words, then
+by a hash) among WINDOW words in a row. So a cut depends on the words around it only, whatever stands further off, and a
+passage pasted into another line falls into the same units again but for its edges. A cut less than LEAST words into a
+line, or into a text or paragraph, is left out. Where code points stand without spaces (CJK, runs of over LONG) each is
+a word. Units are normalised (case, white space) and hashed, and digests are grouped over all documents. A unit of fewer
+than LEAST words is hashed together with as many units before it as make LEAST words, over line ends too, and goes only
+where these repeat as well. The earliest occurrence, by (doc_id, offset), stays; the others are cut out, and their
+original offsets kept.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import zlib
 
 from pyspark.sql import DataFrame
@@ -19,47 +22,72 @@ from pyspark.sql import functions as F
 
 from sluice.llm import storage
 
-#: Words of a unit, at least and at most.
-LEAST, MOST = 8, 32
+#: Words that are hashed at least, and words in a row of which one at least ends a unit.
+LEAST, WINDOW = 8, 9
+#: A run without spaces of more code points than this is no word but as many words.
+LONG = 32
 
+_scripts = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
 _word = re.compile(r"\S+|\n")
+_dense = re.compile(rf"[{_scripts}]|\S{{{LONG + 1}}}")
+_point = re.compile(rf"(?<![^\s{_scripts}])[^\s{_scripts}]{{1,{LONG}}}(?![^\s{_scripts}])|\S|\n")
+_MARKS = frozenset(".,;:!?…。，、；：！？")
+
+
+def _first(rank: list[int], window: int) -> bytearray:
+    """1 for each place that has the least rank, the last of equal ones, among some ``window`` places in a row."""
+    out, at = bytearray(len(rank)), 0
+    for i, x in enumerate(rank):
+        if x <= rank[at]:
+            at = i
+        elif at <= i - window:
+            at = min(range(i, i - window, -1), key=rank.__getitem__)
+        elif i != window - 1:
+            continue
+        if i >= window - 1:
+            out[at] = 1
+    return out
 
 
-def units(text: str, least: int = LEAST, most: int = MOST) -> list[tuple[int, int, int]]:
+def units(text: str, least: int = LEAST, window: int = WINDOW) -> list[tuple[int, int, int]]:
     """(start, end, context) of the units, in code points: what stands from context to end is hashed. White space after
     a unit belongs to it."""
-    out: list[tuple[int, int, int]] = []
-    start, words, last, closed = -1, 0, -1, -1
-
-    def end_at(end):
-        nonlocal start, words, last
-        if words >= least:
-            out.append((start, end, start))
-            last = start
-        elif last >= 0:
-            out.append((start, end, last))
-        start, words = -1, 0
-
-    for m in _word.finditer(text):
+    starts, rank, breaks, before = [], [], {}, 0  # breaks: last word of a line -> (where the line ends, a blank line follows)
+    for m in (_point if _dense.search(text) else _word).finditer(text):
         w = m[0]
         if w == "\n":
-            if start >= 0:
-                end_at(m.start())
-            elif closed >= 0 and out:
-                out[-1] = (out[-1][0], m.start(), out[-1][2])
-            closed = -1
+            if starts:
+                k = len(starts) - 1
+                breaks[k] = (breaks[k][0], True) if k in breaks else (m.start(), False)
             continue
-        if start < 0:
-            start = m.start()
-            if closed >= 0 and out:  # the white space between goes with the unit before
-                out[-1] = (out[-1][0], start, out[-1][2])
-            closed = -1
-        words += 1
-        if words >= least and (words >= most or w[-1] in ".,;:!?…。" or not zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) & 15):
-            end_at(m.end())
-            closed = m.end()
-    if start >= 0:
-        end_at(len(text))
+        own = zlib.crc32(w.lower().encode("utf-8", "surrogatepass"))
+        starts.append(m.start())
+        rank.append((own * 0x9E3779B1 ^ before * 0x85EBCA6B) & 0xFFFFFFFF | (w[-1] not in _MARKS) << 32)
+        before = own
+    n = len(starts)
+    if n:
+        breaks.setdefault(n - 1, (len(text), True))
+    cuts = _first(rank, window)
+    out: list[tuple[int, int, int]] = []
+    heads: list[int] = []  # first words of the units so far
+    head, fresh, back = 0, True, 0  # fresh: no unit of this text or paragraph has ended; back: the unit where the context starts
+    line = 0  # first word of the line
+    for i in range(n):
+        end = breaks.get(i)
+        if end is None:
+            if not cuts[i] or i + 1 - max(line, head if fresh else 0) < least:
+                continue
+        elif fresh and not end[1] and i + 1 - head < least:  # the next line joins
+            line = i + 1
+            continue
+        heads.append(head)
+        while back + 1 < len(heads) and i + 1 - heads[back + 1] >= least:
+            back += 1
+        if i + 1 - heads[back] >= least:
+            out.append((starts[head], end[0] if end else starts[i + 1], starts[heads[back]]))
+        head, fresh = i + 1, bool(end and end[1])
+        if end:
+            line = i + 1
     return out
 
 
@@ -68,14 +96,16 @@ def unit_digest(unit: str) -> bytes:
 
 
 def _hash(least: int):
+    """Rows of the units; 96 bits of a digest, in columns of fixed width: those take less room in a shuffle."""
+
     def run(batches):
         import pyarrow as pa
 
         for big in batches:
             for i in range(0, big.num_rows, 500):
                 b = big.slice(i, 500)
-                rows = [(d, s, e, unit_digest(t[c:e])) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) if t for s, e, c in units(t, least)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[q] for r in rows], k) for q, k in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["doc_id", "start", "end", "digest"])
+                rows = [(d, s, e - s, *struct.unpack_from("<qi", unit_digest(t[c:e]))) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) if t for s, e, c in units(t, least)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[q] for r in rows], k) for q, k in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()))], names=["doc_id", "start", "length", "high", "low"])
 
     return run
 
@@ -123,11 +153,11 @@ def dedup_substrings(docs: DataFrame, min_words: int = LEAST) -> DataFrame:
     """
     docs = docs.drop("removed")
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    hashed = storage.persist(found.mapInArrow(_hash(min_words), "doc_id long, start int, end int, digest binary"), "units")
-    first = hashed.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    hashed = storage.persist(found.mapInArrow(_hash(min_words), "doc_id long, start int, length int, high long, low int"), "units")
+    first = hashed.groupBy("high", "low").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     first = storage.persist(first, "repeats")
-    later = hashed.join(first, "digest").where(F.struct("doc_id", "start") > F.col("first"))
-    spans = later.select("doc_id", "start", "end").distinct().groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "end")).alias("removed"))
+    later = hashed.join(first, ["high", "low"]).where(F.struct("doc_id", "start") > F.col("first"))
+    spans = later.select("doc_id", "start", (F.col("start") + F.col("length")).alias("end")).distinct().groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "end")).alias("removed"))
     spans = storage.persist(spans, "spans")
     marked = docs.join(spans, docs.doc_id == F.col("_id"), "left").drop("_id")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema.fields)

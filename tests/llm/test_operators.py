@@ -226,6 +226,29 @@ def test_substring_dedup(spark):
     assert substring.dedup_substrings(empty(spark)).collect() == []
 
 
+def kept_words(text, passage, first):
+    """Words of ``passage`` that stay in ``text`` when ``first`` comes before it."""
+    seen = {substring.unit_digest(first[c:e]) for s, e, c in substring.units(first)}
+    gone = {i for s, e, c in substring.units(text) if substring.unit_digest(text[c:e]) in seen for i in range(s, e)}
+    at = text.index(passage)
+    return sum(at + m.start() not in gone for m in re.finditer(r"\S+" if " " in passage else r"\S", passage))
+
+
+def test_short_lines_and_texts_without_spaces(spark):
+    r = random.Random(11)
+    line = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    verse = "\n".join(line(6) for _ in range(20))
+    assert kept_words(verse, verse, verse) == 0  # a document of short lines and its copy
+    short = "\n".join(line(6) for _ in range(10))
+    assert kept_words(line(20) + "\n" + short, short, line(25) + "\n" + short) <= 12
+    assert kept_words(line(20) + "\n\n" + short, short, line(25) + "\n\n" + short) == 0
+    han = lambda n: "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(n))
+    passage = han(60)
+    assert kept_words(han(40) + passage + han(40), passage, han(30) + passage + han(50)) < 35
+    out = {x.doc_id: x.text for x in substring.dedup_substrings(docs(spark, [(1, verse), (2, verse), (3, passage), (4, passage)])).collect()}
+    assert out == {1: verse, 2: "", 3: passage, 4: ""}
+
+
 # -- decontamination ---------------------------------------------------------------------------------------------------
 
 
