@@ -710,7 +710,7 @@ def jwt_principal(spark, d):
 def dlq_replay(spark, d):
     spec = {"steps": [{"authorize": {"mode": "rbac", "require_roles": ["nobody"]}}]}
     dead = Route("r", spec).apply(events(spark, d)).dead
-    back = readers.replay(dead.where(F.get_json_object("body.original_message", "$.body.value").cast("double") > 200), limit=1_000_000)
+    back = readers.replay(dead.where(F.get_json_object("body.original_message", "$.body.value").cast("double") > 200), limit=None)
     return back.select(F.try_variant_get("body", "$.event_id", "bigint").alias("event_id"), F.col("metadata.replay_count").alias("replay_count"), F.try_variant_get("body", "$.value", "double").alias("value"))
 
 

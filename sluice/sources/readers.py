@@ -227,10 +227,11 @@ def read_dead_letters(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"headers map<string,string>, body struct<{DEAD.replace(' string', ':string').replace(' int', ':int')}>, metadata struct<correlation_id:string,route:string,stage:string,replay_count:int>").json(path)
 
 
-def replay(dead: DataFrame, limit: int = 100, where: Column | None = None, initiator: str = "replay", now: Column | None = None) -> DataFrame:
-    """Messages of dead letters to run again, the replay counted."""
+def replay(dead: DataFrame, limit: int | None = 100, where: Column | None = None, initiator: str = "replay", now: Column | None = None) -> DataFrame:
+    """Messages of dead letters to run again, the replay counted: the oldest ``limit``, or all if it is None."""
     d = dead if where is None else dead.where(where)
-    d = d.orderBy("body.processed_at", "metadata.correlation_id").limit(limit)
+    d = d.orderBy("body.processed_at", "metadata.correlation_id")
+    d = d if limit is None else d.limit(limit)
     original = F.try_parse_json("body.original_message")
     n = F.coalesce("metadata.replay_count", F.lit(0)) + 1
     entry = F.array(F.struct((F.current_timestamp() if now is None else now).alias("timestamp"), n.alias("attempt"), F.lit(initiator).alias("initiator")))

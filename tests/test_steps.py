@@ -216,3 +216,13 @@ def test_static_contract_check(spark):
 def test_metadata_is_only_set_on_live_rows(spark):
     df = steps.route(env(spark, [{"t": "a"}], "t string"), "body.t", {"b": "x"})
     assert with_meta(df, stage=F.lit("s")).first().metadata.stage is None
+
+
+def test_replay_without_limit_takes_all(spark):
+    from sluice.plans import catalog
+    from sluice.sources import readers
+
+    dead = Route("r", {"steps": [{"authorize": {"mode": "rbac", "require_roles": ["nobody"]}}]}).apply(env(spark, [{"v": i} for i in range(150)])).dead
+    assert readers.replay(dead).count() == 100 and readers.replay(dead, limit=None).count() == 150
+    plan = catalog.dlq_replay(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan
