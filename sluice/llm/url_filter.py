@@ -2,7 +2,8 @@
 
 Hosts are judged by two personalised PageRanks over host edges (a page's links, summed per pair of hosts): trust flows
 from hosts that an allow rule fits along the links, distrust from hosts that a block rule fits against them (who links
-to blocked hosts is not to be trusted). A host is blocked if its distrust exceeds its trust and DISTRUST.
+to blocked hosts is not to be trusted). Hosts that are only linked to count like those that have pages. A host is
+blocked if its distrust exceeds its trust and DISTRUST.
 """
 
 from __future__ import annotations
@@ -73,9 +74,13 @@ def filter_urls(pages: DataFrame, rules=RULES, distrust: float = DISTRUST) -> Da
     judged = storage.persist(rows.withColumn("rule", rule).withColumn("ruled", verdict), "judged")
     links = pages.select(h.alias("src"), F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_LINK), F.lit(1))).alias("to"))
     target = F.translate(F.regexp_extract("to", r"//([^/?#]*)", 1), _UPPER, _LOWER)
-    edges = links.select("src", target.alias("dst")).where("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
-    edges = storage.persist(edges, "links")
-    seeds = storage.persist(judged.where("ruled IS NOT NULL AND host <> ''").select("host", "ruled").distinct(), "seeds")
+    # what is linked to need not have been crawled: rules are held against the links' targets too
+    aimed = matching_rule(target, F.regexp_extract("to", r"//[^/?#]*([^?#]*)", 1), rules)[1]
+    links = links.select("src", target.alias("dst"), aimed.alias("ruled")).where("src <> '' AND dst <> ''")
+    links = storage.persist(links.groupBy("src", "dst", "ruled").agg(F.count("*").cast("double").alias("weight")), "targets")
+    edges = storage.persist(links.where("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight")), "links")
+    ruled = judged.select("host", "ruled").unionByName(links.select(F.col("dst").alias("host"), "ruled"))
+    seeds = storage.persist(ruled.where("ruled IS NOT NULL AND host <> ''").distinct(), "seeds")
     # a host that both kinds of rules fit trusts and distrusts in equal parts
     n = {r[0]: r[1] for r in seeds.groupBy("ruled").count().collect()}  # two rows
     if edges.isEmpty() or not n:

@@ -337,3 +337,12 @@ def test_page_rank_against_brute_force(spark):
             new[b] = new.get(b, 0) + 0.85 * rank.get(a, 0) / sum(x == a for x, _ in e)
         rank = new
     assert {k: pytest.approx(v, abs=1e-9) for k, v in rank.items() if v} == got
+
+
+def test_hosts_that_are_only_linked_to_are_seeds(spark):
+    link = lambda *urls: "".join(f'<a href="{u}">l</a>' for u in urls)
+    rows = [(1, "http://farm.example/", link("http://bad.net/p")), (2, "http://far.example/", link("http://farm.example/")), (3, "http://src.example/", link("http://x.org/fr/a?b"))]
+    rows += [(4, "http://up.example/", link("http://x.org/de/")), (5, "http://x.org/", link("http://friend.example/", "http://worse.net/"))]
+    got = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1].verdict == got[2].verdict == "block" and got[3].rule is None
+    assert got[5].trust > 0 and got[4].trust == 0 and got[5].rule is None
