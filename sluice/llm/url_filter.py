@@ -15,9 +15,11 @@ from sluice.llm import storage
 
 #: (verdict, rule); the host is what stands before the first slash.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-DAMPING, ROUNDS, TOLERANCE = 0.85, 12, 1e-4
+DAMPING = 0.85
 #: Distrust, as a multiple of an even share of all hosts, from which a host without a rule is blocked.
 DISTRUST = 0.1
+#: Ranks are right to this share of the blocking limit; ROUNDS that don't get there are an error.
+EXACT, ROUNDS = 0.01, 1000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]+)"""
 
@@ -40,26 +42,38 @@ def matching_rule(host_: Column, path_: Column, rules=RULES) -> tuple[Column, Co
     return rule, verdict
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float | None = None) -> DataFrame:
     """(host, rank) of a personalised PageRank: ``edges`` (src, dst, weight) are distinct, ``seeds`` (host, share) sum
-    to 1. Hosts without rank are left out. Each round is written to the shared folder."""
+    to 1. Hosts without rank are left out. Each round is written to the shared folder.
+
+    Rounds end when no rank is further than ``tolerance`` from its limit, by default EXACT of the blocking limit: all
+    movement to come is at most damping / (1 - damping) of the last round's. With a tolerance of 0, ``rounds`` are made.
+    """
     out = edges.groupBy("src").agg(F.sum("weight").alias("all"))
     flow = storage.persist(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("all")).alias("part")), "flow")
     seeds = storage.persist(seeds, "seeds")
     rank = seeds.select("host", F.col("share").alias("rank"))
     if flow.isEmpty() or seeds.isEmpty():
         return rank
+    if tolerance is None:
+        tolerance = EXACT * DISTRUST / count_hosts(edges)
     base = seeds.select("host", (F.col("share") * (1 - damping)).alias("rank"))
     for _ in range(rounds):
         passed = flow.join(rank, flow.src == rank.host).groupBy("dst").agg((F.sum(F.col("part") * F.col("rank")) * damping).alias("rank")).select(F.col("dst").alias("host"), "rank")
         new = storage.persist(base.unionByName(passed).groupBy("host").agg(F.sum("rank").alias("rank")), "rank")
         moved = new.join(rank.select("host", F.col("rank").alias("was")), "host", "full").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
         rank = new
-        if moved is None or moved < tolerance:
-            break
+        if moved is None or moved * damping / (1 - damping) <= tolerance:
+            return rank
+    if tolerance > 0:
+        raise RuntimeError(f"ranks still move by {moved} after {rounds} rounds")
     return rank
 
 
+def count_hosts(edges: DataFrame) -> int:
+    return edges.select(F.explode(F.array("src", "dst")).alias("host")).distinct().count()
+
+
 def filter_urls(pages: DataFrame, rules=RULES, distrust: float = DISTRUST) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) of every row of ``pages`` (page_id, url, html).
 
@@ -87,10 +101,11 @@ def filter_urls(pages: DataFrame, rules=RULES, distrust: float = DISTRUST) -> Da
         ranked = None
     else:
         start = lambda kind: seeds.where(F.col("ruled") == kind).select("host", F.lit(1.0 / max(1, n.get(kind, 0))).alias("share"))
-        trust = propagate(edges, start("allow")).select("host", F.col("rank").alias("trust"))
-        bad = propagate(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), start("block")).select("host", F.col("rank").alias("distrust"))
-        hosts = edges.select(F.explode(F.array("src", "dst")).alias("host")).distinct().count()
-        ranked = storage.persist(trust.join(bad, "host", "full").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"), F.lit(distrust / max(1, hosts)).alias("limit")), "ranks")
+        hosts = max(1, count_hosts(edges))
+        exact = EXACT * (distrust or DISTRUST) / hosts
+        trust = propagate(edges, start("allow"), tolerance=exact).select("host", F.col("rank").alias("trust"))
+        bad = propagate(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), start("block"), tolerance=exact).select("host", F.col("rank").alias("distrust"))
+        ranked = storage.persist(trust.join(bad, "host", "full").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"), F.lit(distrust / hosts).alias("limit")), "ranks")
     if ranked is None:
         out = judged.withColumns({"trust": F.lit(0.0), "distrust": F.lit(0.0), "limit": F.lit(0.0)})
     else:

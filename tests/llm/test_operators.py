@@ -346,3 +346,18 @@ def test_hosts_that_are_only_linked_to_are_seeds(spark):
     got = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[1].verdict == got[2].verdict == "block" and got[3].rule is None
     assert got[5].trust > 0 and got[4].trust == 0 and got[5].rule is None
+
+
+def test_propagation_reaches_far_hosts_by_default(spark):
+    rows = [(k, f"http://h{k}.example/", f'<a href="http://{f"h{k - 1}.example" if k > 1 else "bad.net"}/">l</a>') for k in range(1, 20)]
+    got = {r.page_id: (r.verdict, r.distrust) for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: ("block", pytest.approx(0.15 * 0.85**k, abs=1e-5)) for k in range(1, 20)}
+
+
+def test_propagation_with_many_seeds(spark):
+    n = 20_000
+    pairs = spark.range(n // 2).selectExpr("concat('x', id) AS src", "concat('y', id) AS dst", "1.0D AS weight")
+    chain = spark.createDataFrame([("s0" if k == 0 else f"c{k}", f"c{k + 1}", 1.0) for k in range(6)], pairs.schema)
+    seeds = spark.range(n).selectExpr("concat('s', id) AS host", f"1.0D / {n} AS share")
+    got = {r.host: r["rank"] for r in url_filter.propagate(pairs.unionByName(chain), seeds).where("host LIKE 'c%'").collect()}
+    assert got == {f"c{k}": pytest.approx(0.15 * 0.85**k / n, rel=1e-6) for k in range(1, 7)}
