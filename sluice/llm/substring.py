@@ -157,7 +157,7 @@ def dedup_substrings(docs: DataFrame, min_words: int = LEAST) -> DataFrame:
     first = hashed.groupBy("high", "low").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     first = storage.persist(first, "repeats")
     later = hashed.join(first, ["high", "low"]).where(F.struct("doc_id", "start") > F.col("first"))
-    spans = later.select("doc_id", "start", (F.col("start") + F.col("length")).alias("end")).distinct().groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "end")).alias("removed"))
+    spans = later.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end"))).alias("removed"))
     spans = storage.persist(spans, "spans")
     marked = docs.join(spans, docs.doc_id == F.col("_id"), "left").drop("_id")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema.fields)

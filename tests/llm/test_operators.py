@@ -249,6 +249,18 @@ def test_short_lines_and_texts_without_spaces(spark):
     assert out == {1: verse, 2: "", 3: passage, 4: ""}
 
 
+def test_passages_pasted_into_other_lines():
+    r = random.Random(12)
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    for marks in (0.0, 0.1, 0.4):
+        text = lambda n: " ".join(r.choice(words) + ("," if r.random() < marks else "") for _ in range(n))
+        stay = []
+        for _ in range(100):
+            p = text(51)
+            stay.append(kept_words(text(r.randrange(20, 60)) + " " + p + " " + text(30), p, text(r.randrange(20, 60)) + " " + p + " " + text(40)))
+        assert max(stay) < 51 and sum(stay) / len(stay) < 16
+
+
 # -- decontamination ---------------------------------------------------------------------------------------------------
 
 
