@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 from sluice.llm import storage
 
-#: Containers that a page votes for.
-VOTES = 3
 
 # fixed values: element names by role
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -201,14 +199,14 @@ def _lift(node: Node) -> Node:
 
 
 def votes(html: str) -> list[tuple[str, float]]:
-    """(path, weight) of the page's best containers."""
+    """(path, weight) of the page's containers, all that have a score."""
     _, nodes = _scored(html)
     by: dict[str, float] = {}
     for x in nodes:
         if x.score > 0 and x.path:
             by[x.path] = by.get(x.path, 0.0) + x.score
     total = sum(by.values())
-    return [(p, s / total) for p, s in sorted(by.items(), key=lambda i: (-i[1], i[0]))[:VOTES]]
+    return [(p, s / total) for p, s in sorted(by.items(), key=lambda i: (-i[1], i[0]))]
 
 
 def extract(html: str, path: str | None) -> str:

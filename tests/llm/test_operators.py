@@ -166,6 +166,14 @@ def test_html(spark):
     assert html_extract.extract(soup, None).endswith("more") and "m\n" not in html_extract.extract(soup, None)
 
 
+def test_every_container_of_a_page_votes(spark):
+    box = lambda i, x, name, text: f"<div class='{x}{chr(97 + i)}a'><div class='{x}{chr(97 + i)}b'><div class='{name}'><p>{text}</p></div></div></div>"
+    page = lambda i: "<body>" + "".join(box(i, x, f"{x}{chr(97 + i)}c", "other words " * 9) for x in "stuv") + "<div><div>" + "<div class='same'><p>" + "common text " * 8 + "</p></div></div></div></body>"
+    assert [p.endswith("div.same") for p, _ in html_extract.votes(page(0))].index(True) > 2
+    df = spark.createDataFrame([(i, f"http://c.example/{i}", page(i)) for i in range(12)], "page_id long, url string, html string")
+    assert all(r.text == ("common text " * 8).strip() for r in html_extract.extract_main_text(df).collect())
+
+
 # -- toxicity ----------------------------------------------------------------------------------------------------------
 
 
