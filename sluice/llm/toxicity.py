@@ -1,11 +1,12 @@
-"""Toxicity by a weighted finite-state pattern grammar.
+"""Toxicity by a weighted lexicon with context windows.
 
-Words pass through transducers that write what they found on a tape: an insult (a prefix tree of stems, weights on its
-arcs), a threat, a target, a negation, a cue of reported speech. A second machine reads the tape clause by clause and
-composes them: a target near an insult or threat raises its weight, a negation before it or speech that is only
-reported lowers it. Clauses are scored, not single words; a document's score comes from the sum of its clauses' weights.
+This stands in for composed weighted transducers, which are not built: there are no states, transitions or tapes. Words
+are looked up by their prefixes: insults (stems with weights) and threats. Within a clause a target NEAR a hit raises an
+insult's weight and is needed for a threat, with an intent before it; a negation before a hit, or a quote and a word of
+reported speech in the clause, lowers it. An insult without any of these scores its full weight, so single words do
+count. A document's score comes from the sum of its clauses' weights.
 
-The tree starts from fixed stems; further stems and their weights are learned from labelled rows.
+The lexicon starts from fixed stems; further stems and their weights are learned from labelled rows.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ NEAR = 4
 
 @dataclass
 class Grammar:
-    """Arc weights. ``stems``: stem -> weight; ``bias`` and ``scale`` turn a sum of clauses into a score."""
+    """Weights. ``stems``: stem -> weight; ``bias`` and ``scale`` turn a sum of clauses into a score."""
 
     stems: dict[str, float] = field(default_factory=dict)
     bias: float = -2.0
@@ -58,7 +59,7 @@ class Grammar:
         return {"stems": self.stems, "bias": self.bias, "scale": self.scale, "_seen": {}}
 
     def arcs(self, word: str):
-        """What the first transducers write for a word: (kind, weight), or None."""
+        """What the lexicon has for a word: (kind, weight), or None."""
         try:
             return self._seen[word]
         except KeyError:
