@@ -1,17 +1,21 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The global order of the n-grams is the order of their 64-bit hashes. It is cut into fragments, the same cut for all
-sets of a size class, so a set is a row of segments. Two sets of Jaccard similarity ``t`` or more differ in at most
-``D`` n-grams (``D`` follows from the class and ``t``), so of ``floor(D / (k2 + 1)) + 1`` groups of ``n2`` fragments at
-least one holds at most ``k2`` differing ones: the sets agree on ``n2 - k2`` whole segments there. Such agreements are
-the candidates (exact: none is lost). For each candidate pair the partial overlaps of the fragments are counted
-separately, on (pair, fragment) rows, and summed per pair.
-
-Equal sets are one node, whatever the number of copies. Within the sets that share segments only pairs with a pivot
-are counted at first; components grow from these, and only where a list still holds several components its cross pairs
-follow. Where these are many (copies that are near each other, but often just below the threshold), the sets are compared
-in blocks: each pair of blocks is a task that counts overlaps as matrix products and returns components, not pairs. So
-a group of n near copies makes in the order of n rows, not n * n.
+The global order of the n-grams is the order of their 64-bit hashes. It is cut into fragments, the same for all sets, so
+a set is a row of segments. For each candidate pair the partial overlaps are counted fragment by fragment, on (pair,
+fragment) rows, and summed per pair; only the sum decides.
+
+Candidates come from finer cuts of the same order, one for each size class. Two sets of Jaccard similarity ``t`` or
+more differ in at most ``D`` n-grams (``D`` follows from the class and ``t``), so of ``floor(D / (k2 + 1)) + 1`` groups
+of ``n2`` segments at least one holds at most ``k2`` differing ones: the sets agree on ``n2 - k2`` whole segments there.
+Such agreements are keys (exact: no link is lost). Tasks send 32 bits of a key and the place of its set in the task's
+list of sets; what 32 bits confuse is a needless candidate, nothing else.
+
+Equal sets are one node, whatever the number of copies. Of the sets that share a key only pairs with the smallest node
+are candidates at first: of these each node's best is counted, components grow, and then what still lies across
+components. Where a key's list still holds several components, its cross pairs follow; where these are many (copies that
+are near each other, but often just below the threshold), the sets are compared in blocks: each pair of blocks is a task
+that counts overlaps as matrix products and returns components, not pairs. So a group of n near copies makes in the order
+of n rows, not n * n, and a task sends a key that all its sets share once, or once for each component.
 """
 
 from __future__ import annotations
@@ -26,12 +30,14 @@ from pyspark.sql import functions as F
 from sluice.llm import storage
 from sluice.llm.shingles import mix, shingle_sets
 
+#: Fragments of the global order: segments on which partial overlaps are counted. A power of two.
+FRAGMENTS = 8
 #: A bucket of the candidate search gets about so many keys.
 BUCKET_KEYS = 1_500_000
-#: Partial overlaps are counted on segments of about so many n-grams.
-SEGMENT = 4096
-#: Keys that a task gathers before it sends them.
-FLUSH_KEYS = 400_000
+#: Keys that a task gathers before it sends them, and sets of these at most.
+FLUSH_KEYS, FLUSH_SETS = 1_000_000, 1 << 16
+#: So many sets of one component that share a key travel one by one; more in one task go as their component.
+PACK = 8
 #: A list of several components gives its cross pairs up to so many a member. Longer ones are compared in blocks.
 CROSS = 8
 #: Sets of a block, and n-grams of one, at most; n-grams whose overlaps are counted at a time.
@@ -120,78 +126,137 @@ def _profile(k: int):
     return run
 
 
-def _star(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of (key, node) rows, sorted: for each key its smallest node, and pairs of that one with the others."""
+def _sets(k: int):
+    """(doc_id, node, n, grams): a set's n-grams, one binary a fragment. A task gives a (doc_id, node) once."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        seen: set = set()
+        shift = np.uint64(64 - FRAGMENTS.bit_length() + 1)
+        edges = np.arange(1, FRAGMENTS, dtype=np.uint64)
+        for b in batches:
+            rows, held = [], 0
+            for doc, t in zip(b.column("doc_id").to_pylist(), shingle_sets(b.column("text"), k)):
+                if not len(t) or (key := (doc, set_node(t))) in seen:
+                    continue
+                seen.add(key)
+                rows.append((*key, len(t), [x.tobytes() for x in np.split(t, np.searchsorted(t >> shift, edges))]))
+                held += len(t)
+                if held > 1 << 18:
+                    yield _sets_batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield _sets_batch(rows)
+        yield _sets_batch([])
+
+    def _sets_batch(rows):
+        import pyarrow as pa
+
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary())))], names=["doc_id", "node", "n", "grams"])
+
+    return run
+
+
+def _tokens(grams) -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(x), np.uint64) for x in grams.to_pylist()]
+
+
+def _star(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of (key, node) rows: the rows of each key's smallest node, and pairs (smallest, other) with the number of keys
+    that give them."""
     order = np.lexsort((node, key))
     key, node = key[order], node[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-    key, node = key[new], node[new]
+    order, key, node = order[new], key[new], node[new]
     head = np.ones(len(key), bool)
     head[1:] = key[1:] != key[:-1]
     first = np.flatnonzero(head)
-    pivot = np.repeat(node[first], np.diff(np.append(first, len(key))))
-    a, b = pivot[~head], node[~head]
-    if len(a):
-        o = np.lexsort((b, a))
-        a, b = a[o], b[o]
-        k = np.ones(len(a), bool)
-        k[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        a, b = a[k], b[k]
-    return key[head], node[head], a, b
+    a, b = np.repeat(node[first], np.diff(np.append(first, len(key))))[~head], node[~head]
+    return order[head], *_counted(a, b)
 
 
-_PACKED = "bucket int, keys binary, nodes binary, labels binary"
+def _counted(a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs, with the sums of n."""
+    if not len(a):
+        return a, b, np.zeros(0, np.int64)
+    o = np.lexsort((b, a))
+    a, b = a[o], b[o]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    at = np.flatnonzero(new)
+    return a[new], b[new], np.add.reduceat(np.ones(len(a), np.int64) if n is None else n[o], at)
 
 
-def _send(k: int, num: int, den: int, buckets: int, labelled: bool):
-    """Packs (key, node) of all sets by bucket. Within a task a key goes out once, with its smallest node; the
-    others are paired with that one here, and the pairs travel as the keys of bucket -1 - i. With labels (the nodes'
-    components), a key goes out once for each label and node."""
+#: Rows that tasks send: of a bucket, 32 bits of each key and the place of its set among nodes (and labels); packed: 1
+#: where the set stands for its whole component. In buckets below 0, pairs: keys and nodes are nodes, labels the counts.
+_PACKED = "bucket int, keys binary, place binary, nodes binary, labels binary, packed binary"
 
-    def flush(keys, nodes, labels):
-        import pyarrow as pa
 
+def _packed_batch(rows):
+    import pyarrow as pa
+
+    kinds = (pa.int32(), *[pa.binary()] * 5)
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[x.split()[0] for x in _PACKED.split(", ")])
+
+
+def _send(num: int, den: int, buckets: int, labelled: bool, k: int = 0):
+    """Sends the keys of all sets to their buckets. Without labels a key goes out once a flush, with its smallest node; the
+    others are paired with that one here. With labels (the nodes' components), up to PACK sets of a label go out one
+    by one, more as one row that stands for the component."""
+
+    def flush(keys, nodes, labels):
         key = np.concatenate(keys)
         if not len(key):
             return
-        node = np.repeat(np.array([x for x, _ in nodes], np.int64), [y for _, y in nodes])
-        out = []
+        place = np.repeat(np.arange(len(nodes)), [len(x) for x in keys])
+        node, out = np.array(nodes, np.int64), []
+        label = np.array(labels, np.int64) if labelled else None
+        packed = None
         if labelled:
-            label = np.repeat(np.array(labels, np.int64), [y for _, y in nodes])
+            order = np.lexsort((node[place], label[place], key))
+            key, place = key[order], place[order]
+            head = np.ones(len(key), bool)
+            head[1:] = (key[1:] != key[:-1]) | (label[place[1:]] != label[place[:-1]])
+            size = np.diff(np.append(np.flatnonzero(head), len(key)))
+            many = np.repeat(size > PACK, size)
+            keep = ~many | head
+            key, place, packed = key[keep], place[keep], many[keep].astype(np.uint8)
         else:
-            key, node, a, b = _star(key, node)
-            label = np.zeros(0, np.int64)
+            keep, a, b, n = _star(key, node[place])
+            key, place = key[keep], place[keep]
             if len(a):
                 to = (mix(a.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
                 for i in np.unique(to):
                     m = to == i
-                    out.append((-1 - int(i), a[m].tobytes(), b[m].tobytes(), b""))
-        to = (mix(key ^ np.uint64(0xA5A5A5A5)) % np.uint64(buckets)).astype(np.int32)
+                    out.append((-1 - int(i), a[m].tobytes(), b"", b[m].tobytes(), n[m].tobytes(), b""))
+        h = mix(key ^ np.uint64(0xA5A5A5A5))
+        to, short = (h % np.uint64(buckets)).astype(np.int32), (mix(key) >> np.uint64(32)).astype(np.uint32)
         order = np.argsort(to, kind="stable")
         ends = np.searchsorted(to[order], np.arange(buckets + 1))
-        for i in range(buckets):
+        for i in np.flatnonzero(np.diff(ends)):
             m = order[ends[i] : ends[i + 1]]
-            if len(m):
-                out.append((i, key[m].tobytes(), node[m].tobytes(), label[m].tobytes() if labelled else b""))
+            own, at = np.unique(place[m], return_inverse=True)
+            out.append((int(i), short[m].tobytes(), at.astype(np.uint16).tobytes(), node[own].tobytes(), label[own].tobytes() if labelled else b"", packed[m].tobytes() if labelled else b""))
         for i in range(0, len(out), 256):
-            x = out[i : i + 256]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in x], pa.int32()), *(pa.array([r[q] for r in x], pa.binary()) for q in (1, 2, 3))], names=["bucket", "keys", "nodes", "labels"])
+            yield _packed_batch(out[i : i + 256])
 
     def run(batches):
         keys, nodes, labels, held = [], [], [], 0
+        seen: set[int] = set()
         for b in batches:
             mark = b.column("label").to_pylist() if labelled else None
-            for i, t in enumerate(shingle_sets(b.column("text"), k)):
-                if not len(t):
+            for i, t in enumerate(_tokens(b.column("grams")) if labelled else shingle_sets(b.column("text"), k)):
+                if not len(t) or (node := set_node(t)) in seen:
                     continue
-                x = segment_keys(t, num, den)
-                keys.append(x)
-                nodes.append((set_node(t), len(x)))
+                seen.add(node)
+                keys.append(segment_keys(t, num, den))
+                nodes.append(node)
                 if labelled:
                     labels.append(mark[i])
-                held += len(x)
-                if held >= FLUSH_KEYS:
+                held += len(keys[-1])
+                if held >= FLUSH_KEYS or len(nodes) >= FLUSH_SETS:
                     yield from flush(keys, nodes, labels)
                     keys, nodes, labels, held = [], [], [], 0
         if keys:
@@ -200,65 +265,72 @@ def _send(k: int, num: int, den: int, buckets: int, labelled: bool):
     return run
 
 
-def _join(column, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
+def _unpacked(table) -> tuple[np.ndarray, ...]:
+    """(key, node, label, packed) of a bucket's rows."""
+    get = lambda c, t: [np.frombuffer(x, t) for x in table.column(c).to_pylist()]
+    place, nodes, labels = get("place", np.uint16), get("nodes", np.int64), get("labels", np.int64)
+    at = lambda x: np.concatenate([y[p] if len(y) else np.zeros(len(p), np.int64) for y, p in zip(x, place)])
+    return np.concatenate(get("keys", np.uint32)), at(nodes), at(labels), np.concatenate(get("packed", np.uint8))
 
 
-def _pairs_table(a: np.ndarray, b: np.ndarray, deferred: np.ndarray | None = None):
+def _pairs_table(a: np.ndarray, b: np.ndarray, n: np.ndarray):
     import pyarrow as pa
 
-    later = np.zeros(len(a), np.int64) if deferred is None else deferred
-    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64()), "deferred": pa.array(later, pa.int64())})
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
 
 
 def _stars(key, table):
     if key[0].as_py() < 0:
-        return _pairs_table(_join(table.column("keys"), np.int64), _join(table.column("nodes"), np.int64))
-    _, _, a, b = _star(_join(table.column("keys"), np.uint64), _join(table.column("nodes"), np.int64))
-    return _pairs_table(a, b)
+        a, b, n = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("keys", "nodes", "labels"))
+        return _pairs_table(*_counted(a, b, n))
+    keys, node, _, _ = _unpacked(table)
+    return _pairs_table(*_star(keys, node)[1:])
+
+
+#: What a row of _crosses asks for: count the pair, compare in blocks with the others of the list, or (a alone) with the
+#: whole component a too.
+COUNT, IN_BLOCKS, WHOLE = 0, 1, 2
 
 
 def _crosses(key, table):
-    """Pairs across components in lists that hold several; of lists with too many, (first node, node) pairs with
-    ``deferred`` set."""
-    k, node, label = (_join(table.column(c), t) for c, t in (("keys", np.uint64), ("nodes", np.int64), ("labels", np.int64)))
+    """Of lists that hold several components: pairs across these, or what goes to blocks."""
+    k, node, label, packed = _unpacked(table)
     order = np.lexsort((node, label, k))
-    k, node, label = k[order], node[order], label[order]
+    k, node, label, packed = k[order], node[order], label[order], packed[order]
     head = np.ones(len(k), bool)
     head[1:] = k[1:] != k[:-1]
     first = np.append(np.flatnonzero(head), len(k))
-    a, b, later = [], [], []
-    for p, q in zip(first[:-1], first[1:]):
-        if label[p] == label[q - 1]:
+    several = label[first[:-1]] != label[first[1:] - 1] if len(k) else np.zeros(0, bool)
+    rows, done = [], set()
+    for p, q in zip(first[:-1][several], first[1:][several]):
+        if (same := (node[p:q].tobytes(), packed[p:q].any())) in done:
             continue
-        n, l = node[p:q], label[p:q]
-        keep = np.ones(len(n), bool)
-        keep[1:] = n[1:] != n[:-1]
-        n, l = n[keep], l[keep]
+        done.add(same)
+        keep = np.ones(q - p, bool)
+        keep[1:] = node[p + 1 : q] != node[p : q - 1]
+        n, l, whole = node[p:q][keep], label[p:q][keep], np.unique(label[p:q][packed[p:q] > 0])
         _, size = np.unique(l, return_counts=True)
         start = np.concatenate([[0], np.cumsum(size)])
-        if (len(l) ** 2 - int((size.astype(np.int64) ** 2).sum())) // 2 <= CROSS * len(l):
+        if not len(whole) and (len(l) ** 2 - int((size.astype(np.int64) ** 2).sum())) // 2 <= CROSS * len(l):
             for g in range(len(size) - 1):
                 x, y = n[start[g] : start[g + 1]], n[start[g + 1] :]
-                a.append(np.repeat(x, len(y)))
-                b.append(np.tile(y, len(x)))
-                later.append(np.zeros(len(x) * len(y), np.int64))
+                rows.append((np.repeat(x, len(y)), np.tile(y, len(x)), COUNT))
         else:
-            a.append(np.full(len(n) - 1, n.min()))
-            b.append(n[n != n.min()])
-            later.append(np.ones(len(n) - 1, np.int64))
-    if not a:
-        return _pairs_table(np.zeros(0, np.int64), np.zeros(0, np.int64))
-    a, b, later = np.concatenate(a), np.concatenate(b), np.concatenate(later)
-    a, b = np.minimum(a, b), np.maximum(a, b)
-    order = np.lexsort((-later, b, a))
-    a, b, later = a[order], b[order], later[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return _pairs_table(a[new], b[new], later[new])
-
-
-def _block_links(k: int, num: int, den: int):
+            rows.append((np.full(len(n) - 1, n.min()), n[n != n.min()], IN_BLOCKS))
+            rows.append((whole, whole, WHOLE))
+    if not rows:
+        return _pairs_table(*[np.zeros(0, np.int64)] * 3)
+    a, b = (np.concatenate([r[i] for r in rows]) for i in (0, 1))
+    what = np.repeat([r[2] for r in rows], [len(r[0]) for r in rows])
+    lo, hi = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((what, hi, lo))
+    lo, hi, what = lo[order], hi[order], what[order]
+    new = np.ones(len(lo), bool)
+    new[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]) | (what[1:] != what[:-1])
+    return _pairs_table(lo[new], hi[new], what[new])
+
+
+def _block_links(num: int, den: int):
     """Components of the sets of two blocks, as (smallest node, node) pairs. Overlaps of all pairs are counted on one
     fragment of the order at a time, as products of 0-1 matrices, and summed."""
 
@@ -266,7 +338,7 @@ def _block_links(k: int, num: int, den: int):
         import pyarrow as pa
 
         node = table.column("node").to_numpy()
-        sets = list(shingle_sets(table.column("text"), k))
+        sets = _tokens(table.column("grams"))
         n = np.array([len(t) for t in sets], np.float64)
         grams, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         owner = np.repeat(np.arange(len(sets)), n.astype(np.int64))
@@ -301,50 +373,17 @@ def _block_links(k: int, num: int, den: int):
     return run
 
 
-def _in_blocks(stars: DataFrame, texts: DataFrame, sizes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def _in_blocks(stars: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links among the sets of each group that ``stars`` (a, b) connect: a group is cut into blocks of bounded size, and
     each pair of blocks is one task's work, so no group is gathered whole."""
-    group = storage.persist(components(stars).withColumnRenamed("label", "grp"), "groups")
-    size = group.join(sizes, "node").groupBy("grp").agg(F.count("*").alias("c"), F.avg("n").alias("n"))
+    group = components(stars).withColumnRenamed("label", "grp")
+    size = group.join(sets.select("node", "n"), "node").groupBy("grp").agg(F.count("*").alias("c"), F.avg("n").alias("n"))
     most = F.least(F.lit(BLOCK), F.greatest(F.lit(16), F.floor(F.lit(BLOCK_GRAMS) / F.col("n"))))
     size = storage.persist(size.select("grp", F.ceil(F.col("c") / most).cast("int").alias("blocks")), "blocks")
     rows = group.join(storage.small(size, 32), "grp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.join(texts, "node").select("node", "text", "grp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("node", "text", "grp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    return rows.groupBy("grp", "lo", "hi").applyInArrow(_block_links(k, num, den), "a long, b long").distinct()
-
-
-def _level(n: int) -> int:
-    return max(0, (n - 1) // SEGMENT).bit_length()
-
-
-def _segments(k: int, num: int, den: int):
-    """(node, level, segment, n-grams) of each set: at level l the global order is cut into 2 ** l segments."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            rows, held = [], 0
-            for node, t in zip(batch.column("node").to_pylist(), shingle_sets(batch.column("text"), k)):
-                for level in sorted({_level(len(t)), _level(len(t) * den // num)}):
-                    at = np.searchsorted(t >> np.uint64(32), np.arange(1, 1 << level, dtype=np.uint64) << np.uint64(32 - level)) if level else []
-                    rows += [(node, level, i, len(t), x.tobytes()) for i, x in enumerate(np.split(t, at))]
-                held += 8 * len(t)
-                if held > 4 << 20:
-                    yield _segment_batch(rows)
-                    rows, held = [], 0
-            if rows:
-                yield _segment_batch(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())], names=["node", "level", "segment", "n", "grams"])
-
-    return run
-
-
-def _segment_batch(rows):
-    import pyarrow as pa
-
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["node", "level", "segment", "n", "grams"])
+    rows = sets.join(storage.small(storage.persist(rows, "groups"), 40), "node").select("node", "grams", "grp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("node", "grams", "grp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    return rows.groupBy("grp", "lo", "hi").applyInArrow(_block_links(num, den), "a long, b long").distinct()
 
 
 def _overlaps(batches):
@@ -355,22 +394,16 @@ def _overlaps(batches):
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), b.column("na"), b.column("nb"), pa.array(n, pa.int64())], names=["a", "b", "na", "nb", "part"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of nodes that link, by summed partial overlaps. ``texts``: node, text; ``sizes``: node, n."""
-    seg = SEGMENT
-    level = F.when(F.col("nm") <= seg, F.lit(0)).otherwise(F.length(F.conv(F.floor((F.col("nm") - 1) / seg).cast("string"), 10, 2))).cast("int")
-    sized = (
-        pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
-        .join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-        .where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-        .withColumn("nm", F.greatest("na", "nb"))
-        .withColumn("level", level)
-        .drop("nm")
-    )
-    parts = storage.persist(texts.mapInArrow(_segments(k, num, den), "node long, level int, segment int, n long, grams binary"), "segments")
-    both = sized.join(parts.select(F.col("node").alias("b"), "level", "segment", F.col("grams").alias("y")), ["b", "level"]).join(
-        parts.select(F.col("node").alias("a"), "level", "segment", F.col("grams").alias("x")), ["a", "level", "segment"]
-    )
+def _sized(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b, ...) of sets whose sizes allow a link, with na and nb."""
+    of = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+
+
+def _linked(sized: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs (a, b, na, nb), those that link, by partial overlaps summed over the fragments."""
+    cut = sets.select("node", F.posexplode("grams").alias("fragment", "gram")).where(F.length("gram") > 0)
+    both = sized.join(cut.select(F.col("node").alias("b"), "fragment", F.col("gram").alias("y")), "b").join(cut.select(F.col("node").alias("a"), "fragment", F.col("gram").alias("x")), ["a", "fragment"])
     part = both.select("a", "b", "na", "nb", "x", "y").mapInArrow(_overlaps, "a long, b long, na long, nb long, part long")
     total = part.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("o"))
     return total.where(F.col("o") * den >= (F.col("na") + F.col("nb") - F.col("o")) * num).select("a", "b")
@@ -378,99 +411,128 @@ def _verified(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, k: int, num:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes of ``edges`` (a, b): the smallest node reachable. Alternating large and small
-    stars, each round written to the shared folder."""
+    stars, each round written to the shared folder and the one before deleted. Each node's smallest neighbour comes from a
+    pre-aggregated table of its own, broadcast or else a side of a join that can be split, so a hub is no task's work."""
+    mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     e = storage.persist(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
-    while True:
+    before = mark(e)
+    while before[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
-        large = both.where("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        m = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(m, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        e = storage.persist(small, "edges")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        m = storage.persist(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = storage.persist(e.select(F.col("v").alias("u"), F.col("u").alias("v")).join(storage.small(m, 16), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        least = storage.persist(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(storage.small(least, 16), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        new = storage.persist(small, "edges")
+        storage.drop(e, m, large, least)
+        e, now = new, mark(new)
         if now == before:
             break
         before = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(e.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
+    out = storage.persist(e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(e.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct(), "components")
+    storage.drop(e)
+    return out
 
 
 def jaccard_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links documents whose sets of ``k``-word shingles have a Jaccard similarity of ``num / den`` or more, and returns
     (doc_id, n_shingles, component_id): the set's size and the smallest doc_id reachable by links.
 
-    Texts that are null, empty or without words have no shingles and stand alone. Equal sets are always linked. A
-    doc_id that comes several times gives a row each time; its rows link as their texts do. A null doc_id stays,
-    links by equal texts only, and never becomes a component's id unless alone. Other columns are ignored; an empty table gives an empty result.
+    Texts that are null, empty or without words have no shingles and stand alone. Texts of any length are read whole.
+    Equal sets are always linked. A doc_id that comes several times gives a row each time; its rows link as their texts
+    do. Rows with a null doc_id link as others do; they are no component's id unless no other row is in it, then that id is
+    null. Other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), "text")
     prof = storage.persist(texts.mapInArrow(_profile(k), "doc_id long, node long, n long"), "profile")
     nodes = storage.persist(prof.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "nodes")
-    total = nodes.agg(F.sum("n")).first()[0] or 0
-    found = _links(spark, texts, nodes, total, k, num, den)
-    label = found.join(nodes.select("node", "rep"), "node") if found is not None else None
-    if label is not None:
+    found = _links(spark, texts, nodes, k, num, den)
+    if found is not None:
+        label = found.join(nodes.select("node", "rep"), "node")
         best = label.groupBy("label").agg(F.min("rep").alias("component_id"))
         label = storage.persist(label.join(best, "label").select("node", "component_id"), "labels")
         reps = nodes.join(label, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
+        storage.drop(found)
     else:
         reps = nodes.select("node", F.col("rep").alias("component_id"))
+    storage.release(spark)
     out = prof.join(reps, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
 
+def _buckets(spark, total: int, num: int, den: int) -> int:
+    per = 0.4 if num * 10 >= den * 9 else 0.8  # keys an n-gram, about
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * per / BUCKET_KEYS) + 1)
 
-def _links(spark, texts: DataFrame, nodes: DataFrame, total: int, k: int, num: int, den: int) -> DataFrame | None:
-    per = {(9, 10): 0.4}.get((num, den), 0.8)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * per / BUCKET_KEYS) + 1)
-    packed = texts.mapInArrow(_send(k, num, den, buckets, False), _PACKED)
-    pairs = packed.groupBy("bucket").applyInArrow(_stars, "a long, b long, deferred long").select("a", "b").distinct()
-    tried = storage.persist(pairs, "pairs")
+
+def _links(spark, texts: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
+    """(node, label) of the nodes that have candidates, None without any."""
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    sent = texts.mapInArrow(_send(num, den, _buckets(spark, total, num, den), False, k), _PACKED)
+    tried = storage.persist(sent.groupBy("bucket").applyInArrow(_stars, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("keys")), "pairs")
+    storage.release(spark)
     if tried.isEmpty():
+        storage.drop(tried)
         return None
     active = storage.persist(tried.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node"), "active")
-    reps = storage.small(active.select(F.col("rep").alias("doc_id"), "node", "n"), 64)
-    # a doc_id may come with several texts: only those of the node's own set go on
-    chosen = texts.join(reps, "doc_id")
-    mine = storage.persist(chosen.mapInArrow(_own(k), "node long, text string").dropDuplicates(["node"]), "texts")
-    sizes = active.select("node", "n")
-    label = storage.persist(components(_verified(tried, mine, sizes, k, num, den)), "components")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(active.agg(F.sum("n")).first()[0] * per / BUCKET_KEYS) + 1)
-    marked = mine.join(label, "node", "left").select("text", F.coalesce("label", "node").alias("label"))
-    packed = marked.mapInArrow(_send(k, num, den, n, True), _PACKED)
-    more = packed.groupBy("bucket").applyInArrow(_crosses, "a long, b long, deferred long")
-    more = storage.persist(more.groupBy("a", "b").agg(F.max("deferred").alias("deferred"), F.min("deferred").alias("pair")), "pairs")
-    new = storage.persist(more.where("pair = 0").select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
+    sets = _active_sets(texts, active, k)
+    sized = storage.persist(_sized(tried, sets, num, den), "pairs")
+    # each node's candidate with most keys first: most links of a group need no other pair
+    best = sized.groupBy("b").agg(F.max(F.struct("keys", "a", "na", "nb")).alias("x")).select(F.col("x.a").alias("a"), "b", "x.na", "x.nb")
+    edges = storage.persist(_linked(best, sets, num, den), "links")
+    label = components(edges)
+    storage.drop(edges)
+    rest = storage.persist(_across(sized, label).join(best.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb"), "pairs")
+    label = _merged(label, _linked(rest, sets, num, den))
+    storage.drop(sized, rest)
+    storage.release(spark)
+    marked = sets.join(label, "node", "left").select("grams", F.coalesce("label", "node").alias("label"))
+    sent = marked.mapInArrow(_send(num, den, _buckets(spark, active.agg(F.sum("n")).first()[0], num, den), True), _PACKED)
+    more = storage.persist(sent.groupBy("bucket").applyInArrow(_crosses, "a long, b long, n long").distinct(), "pairs")
+    storage.release(spark)
+    new = storage.persist(_sized(more.where(F.col("n") == COUNT).select("a", "b").join(tried, ["a", "b"], "left_anti"), sets, num, den), "pairs")
+    stars = more.where(F.col("n") == IN_BLOCKS).select("a", "b")
+    whole = more.where(F.col("n") == WHOLE).select(F.col("a").alias("label"))
+    stars = storage.persist(stars.union(label.join(whole, "label", "left_semi").select(F.col("label").alias("a"), F.col("node").alias("b"))), "stars")
     if not new.isEmpty():
-        label = _merged(label, _verified(new, mine, sizes, k, num, den))
-    stars = more.where("deferred = 1").select("a", "b")
+        label = _merged(label, _linked(new, sets, num, den))
     if not stars.isEmpty():
-        label = _merged(label, _in_blocks(stars, mine, sizes, k, num, den))
+        label = _merged(label, _in_blocks(stars, sets, num, den))
+    storage.drop(tried, active, sets, more, new, stars)
     return label
 
 
+def _active_sets(texts: DataFrame, active: DataFrame, k: int) -> DataFrame:
+    """(node, n, grams) of the active nodes, read from the texts of their smallest doc_id."""
+    reps = active.select(F.col("node").alias("_node"), F.col("rep").alias("_rep"))
+    own = storage.small(reps, 32)
+    if own is not reps:  # few enough to tell each task which texts to read
+        texts = texts.join(storage.small(active.select(F.col("rep").alias("_rep")), 16), F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
+    rows = texts.mapInArrow(_sets(k), "doc_id long, node long, n long, grams array<binary>")
+    sets = storage.persist(rows.join(own, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_rep"))).select("node", "n", "grams"), "sets")
+    if sets.groupBy("node").count().where("count > 1").isEmpty():
+        return sets
+    once = storage.persist(sets.dropDuplicates(["node"]), "sets")  # a doc_id with one text several times
+    storage.drop(sets)
+    return once
+
+
+def _across(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """Pairs whose nodes lie in different components."""
+    of = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"_{c}"))
+    return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).drop("_a", "_b")
+
+
 def _merged(label: DataFrame, edges: DataFrame) -> DataFrame:
-    """The labels after further edges (a, b): components of the components."""
+    """The labels after further edges (a, b): components of the components. ``label`` is deleted if it changes."""
     edges = storage.persist(edges, "links")
     if edges.isEmpty():
+        storage.drop(edges)
         return label
     of = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
     named = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
     up = components(named)
     both = label.unionByName(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(label, "node", "left_anti").withColumn("label", F.col("node")))
-    new = both.join(up.select(F.col("node").alias("label"), F.col("label").alias("_up")), "label", "left")
-    return storage.persist(new.select("node", F.coalesce("_up", "label").alias("label")), "components")
-
-
-def _own(k: int):
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            node = b.column("node").to_pylist()
-            keep = [i for i, t in enumerate(shingle_sets(b.column("text"), k)) if len(t) and set_node(t) == node[i]]
-            if keep:
-                x = b.take(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([x.column("node"), x.column("text").cast(pa.string())], names=["node", "text"])
-
-    return run
+    new = storage.persist(both.join(up.select(F.col("node").alias("label"), F.col("label").alias("_up")), "label", "left").select("node", F.coalesce("_up", "label").alias("label")), "components")
+    storage.drop(label, edges, up)
+    return new

@@ -1,11 +1,12 @@
 """Shared storage of the cluster: intermediate tables and the binary files operators write.
 
-Everything goes below ``spark.checkpoint.dir``, which driver and executors share. Only where that is
-unset (a local session, as in tests) a temporary folder of this machine is used.
+Everything goes below ``spark.checkpoint.dir``, which driver and executors share. It has to be set on a cluster; only in
+a local session, as in tests, a temporary folder of this machine stands in for it.
 """
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -23,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if at:
         return at.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="sluice-")
@@ -40,9 +43,28 @@ def persist(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
     return out
 
 
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that ``persist`` returned. What was read from them has to be written by then."""
+    for t in tables:
+        remove(t.sparkSession, t._written)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark clear the shuffle files of plans that are out of use: it does so when the driver collects its garbage,
+    which may come late."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
     """``df`` (a persisted table) with a broadcast hint if its rows, at ``row_bytes`` each, stay under
     ``BROADCAST_BYTES``; otherwise as it is, and the join shuffles."""

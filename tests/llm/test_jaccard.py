@@ -28,8 +28,9 @@ def brute(rows, k, num, den):
                     up[find(i)] = find(j)
     best = {}
     for i, (d, _) in enumerate(rows):
-        best[find(i)] = min(best.get(find(i), d), d)
-    return sorted((d, len(s[i]), best[find(i)]) for i, (d, _) in enumerate(rows))
+        if d is not None:
+            best[find(i)] = min(best.get(find(i), d), d)
+    return sorted(((d, len(s[i]), best.get(find(i))) for i, (d, _) in enumerate(rows)), key=repr)
 
 
 def corpus(seed, n, long=60):
@@ -56,7 +57,7 @@ def corpus(seed, n, long=60):
 
 def check(spark, rows, k, num, den):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = sorted(tuple(r) for r in jaccard_components(df, k, num, den).collect())
+    got = sorted((tuple(r) for r in jaccard_components(df, k, num, den).collect()), key=repr)
     assert got == brute(rows, k, num, den)
 
 
@@ -102,3 +103,51 @@ def test_edge_cases(spark):
 def test_same_words_in_other_forms(spark):
     rows = [(5, "The cat sat on the mat"), (2, "the  CAT\nsat on the\tmat"), (9, "other words here")]
     check(spark, rows, 3, 9, 10)
+
+
+def test_null_and_repeated_ids_link_as_their_texts_do(spark):
+    texts = corpus(11, 160)
+    rows = [(None if i % 3 == 0 else i % 40, t) for i, t in enumerate(texts)] + [(None, texts[0])] * 4 + [(7, texts[1])] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(r) for r in jaccard_components(df, 3, 9, 10).collect()), key=repr)
+    assert got == brute(rows, 3, 9, 10)
+
+
+def test_components_that_travel_packed(spark, monkeypatch):
+    monkeypatch.setattr("sluice.llm.jaccard.PACK", 1)
+    monkeypatch.setattr("sluice.llm.jaccard.FLUSH_KEYS", 3000)
+    rows = [(i, t) for i, t in enumerate(corpus(21, 300, 90))]
+    check(spark, rows, 3, 8, 10)
+
+
+def test_overlaps_of_fragments_add_up(spark):
+    import numpy as np
+
+    from sluice.llm import jaccard
+
+    r = random.Random(2)
+    texts = corpus(4, 30)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = df.mapInArrow(jaccard._sets(3), "doc_id long, node long, n long, grams array<binary>").collect()
+    assert all(len(x.grams) == jaccard.FRAGMENTS and sum(map(len, x.grams)) == 8 * x.n for x in rows)
+    by = {x.doc_id: x for x in rows}
+    split = 0
+    for _ in range(200):
+        x, y = r.sample(sorted(by), 2)
+        part = [len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64))) for a, b in zip(by[x].grams, by[y].grams)]
+        split += sum(p > 0 for p in part) > 1
+        assert sum(part) == len(sets(texts[x], 3) & sets(texts[y], 3))
+    assert split
+
+
+def test_intermediate_tables_are_deleted(spark):
+    import os
+
+    from sluice.llm import storage
+
+    rows = list(enumerate(corpus(31, 80)))
+    at = storage.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(at)) if os.path.isdir(at) else set()
+    check(spark, rows, 3, 9, 10)
+    left = {x.split("-")[0] for x in set(os.listdir(at)) - before}
+    assert left <= {"profile", "nodes", "labels", "components"}
