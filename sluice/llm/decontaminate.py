@@ -48,14 +48,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
     # rarity: how often each word of a window stands in the documents
     vocabulary = storage.persist(wins.select(F.explode("win").alias("word")).distinct(), "vocabulary")
-    counts = split.select(F.explode("w").alias("word")).join(storage.small(vocabulary, 64), "word").groupBy("word").agg(F.count("*").alias("n"))
+    counts = split.select(F.explode("w").alias("word")).join(storage.small(vocabulary), "word").groupBy("word").agg(F.count("*").alias("n"))
     counts = storage.persist(counts, "counts")
-    placed = wins.select("win", F.posexplode("win").alias("at", "word")).join(storage.small(counts, 72), "word", "left")
+    placed = wins.select("win", F.posexplode("win").alias("at", "word")).join(storage.small(counts), "word", "left")
     prefix = placed.groupBy("win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at")).alias("p"), F.min(F.coalesce("n", F.lit(0))).alias("least"))
     # a window with a word that no document has occurs nowhere
     prefix = storage.persist(prefix.where("least > 0").select("win", F.col("p.word").alias("word"), F.col("p.at").alias("at"), F.size("win").alias("len")), "prefix")
 
-    hits = split.select("row", "w", F.posexplode("w").alias("pos", "word")).join(storage.small(prefix, 400), "word")
+    hits = split.select("row", "w", F.posexplode("w").alias("pos", "word")).join(storage.small(prefix), "word")
     start = F.col("pos") - F.col("at")
     bound = (start >= 0) & (start + F.col("len") <= F.size("w"))
     hits = hits.where(bound).where(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("len")) == F.col("win"))
@@ -66,7 +66,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     new = reach.withColumn("more", F.greatest(F.col("end") - F.greatest("start", F.coalesce("far", F.lit(0))), F.lit(0))).withColumn("span", F.sum(F.when(F.col("start") > F.coalesce("far", F.lit(-1)), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     spans = new.groupBy("row", "span").agg(F.min("start").alias("first"), F.max("end").alias("last"), F.sum("more").alias("more"))
     covered = spans.groupBy("row").agg(F.sum("more").alias("n_hit"), F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))
-    per_item = hits.select("row", "win").distinct().join(storage.small(cuts, 400), "win").select("row", "item").distinct()
+    per_item = hits.select("row", "win").distinct().join(storage.small(cuts), "win").select("row", "item").distinct()
     listed = per_item.groupBy("row").agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list("item")), ",").alias("items"))
     found = storage.persist(covered.join(listed, "row"), "found")
     out = rows.select("row", "doc_id", "n_words").join(found, "row", "left")

@@ -265,4 +265,4 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     summed = rows.select("host", "html").mapInArrow(_vote, "host string, path string, weight double").groupBy("host", "path").agg(F.round(F.sum("weight"), 6).alias("weight"))
     best = summed.groupBy("host").agg(F.min(F.struct((-F.col("weight")).alias("w"), "path")).alias("b")).select("host", F.col("b.path").alias("path"))
     best = storage.persist(best, "paths")
-    return rows.join(storage.small(best, 256), "host", "left").select("page_id", "url", "html", "path").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return rows.join(storage.small(best), "host", "left").select("page_id", "url", "html", "path").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

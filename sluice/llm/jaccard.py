@@ -380,8 +380,8 @@ def _in_blocks(stars: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     size = group.join(sets.select("node", "n"), "node").groupBy("grp").agg(F.count("*").alias("c"), F.avg("n").alias("n"))
     most = F.least(F.lit(BLOCK), F.greatest(F.lit(16), F.floor(F.lit(BLOCK_GRAMS) / F.col("n"))))
     size = storage.persist(size.select("grp", F.ceil(F.col("c") / most).cast("int").alias("blocks")), "blocks")
-    rows = group.join(storage.small(size, 32), "grp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = sets.join(storage.small(storage.persist(rows, "groups"), 40), "node").select("node", "grams", "grp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = group.join(storage.small(size), "grp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = sets.join(storage.small(storage.persist(rows, "groups")), "node").select("node", "grams", "grp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("node", "grams", "grp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     return rows.groupBy("grp", "lo", "hi").applyInArrow(_block_links(num, den), "a long, b long").distinct()
 
@@ -419,9 +419,9 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = storage.persist(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = storage.persist(e.select(F.col("v").alias("u"), F.col("u").alias("v")).join(storage.small(m, 16), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        large = storage.persist(e.select(F.col("v").alias("u"), F.col("u").alias("v")).join(storage.small(m), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
         least = storage.persist(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(storage.small(least, 16), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        small = large.join(storage.small(least), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         new = storage.persist(small, "edges")
         storage.drop(e, m, large, least)
         e, now = new, mark(new)
@@ -505,9 +505,9 @@ def _links(spark, texts: DataFrame, nodes: DataFrame, k: int, num: int, den: int
 def _active_sets(texts: DataFrame, active: DataFrame, k: int) -> DataFrame:
     """(node, n, grams) of the active nodes, read from the texts of their smallest doc_id."""
     reps = active.select(F.col("node").alias("_node"), F.col("rep").alias("_rep"))
-    own = storage.small(reps, 32)
+    own = storage.small(reps)
     if own is not reps:  # few enough to tell each task which texts to read
-        texts = texts.join(storage.small(active.select(F.col("rep").alias("_rep")), 16), F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
+        texts = texts.join(storage.small(active.select(F.col("rep").alias("_rep"))), F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
     rows = texts.mapInArrow(_sets(k), "doc_id long, node long, n long, grams array<binary>")
     sets = storage.persist(rows.join(own, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_rep"))).select("node", "n", "grams"), "sets")
     if sets.groupBy("node").count().where("count > 1").isEmpty():

@@ -140,7 +140,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int, size: int = 1024) -> DataFra
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most ``size`` rows
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = storage.persist(counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "offsets")
-    ranked = pieces.join(storage.small(offsets, 24), ["part", "length"])
+    ranked = pieces.join(storage.small(offsets), ["part", "length"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
     slots = _slots(plan(histogram, size), size)
     return ranked.mapInArrow(_place(slots), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -22,7 +22,9 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.substring import dedup_substrings
 
     out = dedup_substrings(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "text", "removed", F.size("removed").alias("n_removed"), F.length("text").cast("long").alias("n_kept"))
+    # code points of the longest passage that was removed
+    longest = F.aggregate("removed", F.lit(0), lambda n, x: F.greatest(n, x["end"] - x["start"])).cast("long")
+    return out.select("doc_id", "text", "removed", F.size("removed").alias("n_removed"), F.length("text").cast("long").alias("n_kept"), longest.alias("longest_removed"))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, n at least."""
     if len(_powers[0]) < n:
         size = max(n, 1 << 16)
         for i, b in enumerate((_BASE, _INVERSE)):
@@ -81,7 +82,7 @@ def shingle_sets(column, k: int, most: int = 1 << 19):
         after[-1] = False
         after[:-1] = word[1:]
         last = np.flatnonzero(word & (~after | edge[1:])) + 1
-        power, inverse = _tables(n + 1)
+        power, inverse = powers(n + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_VALUE[raw] * power[:n], out=total[1:])
         w = mix((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64) * _COEF[63])

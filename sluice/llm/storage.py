@@ -12,6 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A side of a join is broadcast up to so many bytes; beyond, the join shuffles.
 BROADCAST_BYTES = 48 << 20
@@ -65,10 +66,23 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """``df`` (a persisted table) with a broadcast hint if its rows, at ``row_bytes`` each, stay under
-    ``BROADCAST_BYTES``; otherwise as it is, and the join shuffles."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+def _width(col, kind: T.DataType):
+    """Bytes that a value takes in memory, about."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(col), F.lit(0)).cast("long") + 16
+    if isinstance(kind, T.ArrayType):
+        each = F.aggregate(F.coalesce(col, F.array().cast(kind)), F.lit(0).cast("long"), lambda n, x: n + _width(x, kind.elementType))
+        return each + 24
+    if isinstance(kind, T.StructType):
+        return sum((_width(col.getField(f.name), f.dataType) for f in kind.fields), F.lit(16).cast("long"))
+    return F.lit(8).cast("long")
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` (a persisted table) with a broadcast hint if its rows stay under ``BROADCAST_BYTES`` in memory, by their
+    measured sizes; otherwise as it is, and the join shuffles."""
+    row = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16).cast("long"))
+    return F.broadcast(df) if (df.agg(F.sum(row)).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def filesystem(uri: str):

@@ -1,115 +1,177 @@
 """Substring dedup by hashes of lines and of parts of lines.
 
-A text is cut into units: at line ends, and within lines after the words that come first (marks before plain words, then
-by a hash) among WINDOW words in a row. So a cut depends on the words around it only, whatever stands further off, and a
-passage pasted into another line falls into the same units again but for its edges. A cut less than LEAST words into a
-line, or into a text or paragraph, is left out. Where code points stand without spaces (CJK, runs of over LONG) each is
-a word. Units are normalised (case, white space) and hashed, and digests are grouped over all documents. A unit of fewer
-than LEAST words is hashed together with as many units before it as make LEAST words, over line ends too, and goes only
-where these repeat as well. The earliest occurrence, by (doc_id, offset), stays; the others are cut out, and their
+A text is cut at line ends, and within lines after the words that come first (marks before plain words, then by a hash)
+among WINDOW words in a row of the line. So a cut depends on the words around it only, and a passage pasted into another
+line is cut in the same places but for its edges. Where code points stand without spaces (CJK, runs of over LONG) each is
+a word. A unit begins at a cut and ends at the first cut that makes it LEAST words or more; at the end of a line one ends that is as
+short as LEAST allows. So units are lines, paragraphs of consecutive lines, or parts of lines, and overlap. Words are normalised (case, white space) and units hashed; digests
+are grouped over all documents. The earliest occurrence, by (doc_id, offset), stays; the others are cut out, and their
 original offsets kept.
+
+LEAST is what makes a repeat a passage: any passage of LEAST + 2 * WINDOW words holds a whole unit, and lines that are
+shorter and stand alone (a greeting, "and so on.") are no passage. With ``least=1, inline=False`` units are single lines
+of any length.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
-import struct
-import zlib
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import storage
+from sluice.llm.shingles import mix, powers
 
-#: Words that are hashed at least, and words in a row of which one at least ends a unit.
-LEAST, WINDOW = 8, 9
+#: Words of a unit at least, and words in a row of which one at least ends a part of a line.
+LEAST, WINDOW = 25, 9
 #: A run without spaces of more code points than this is no word but as many words.
 LONG = 32
+#: Code points that a task cuts at a time, about; a longer text is cut alone.
+CHUNK = 1 << 18
+
+#: fixed values: scripts written without spaces, by first and last code point
+_SCRIPTS = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+_MARKS = np.array(sorted(map(ord, ".,;:!?…。，、；：！？")), np.uint32)
 
-_scripts = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-_word = re.compile(r"\S+|\n")
-_dense = re.compile(rf"[{_scripts}]|\S{{{LONG + 1}}}")
-_point = re.compile(rf"(?<![^\s{_scripts}])[^\s{_scripts}]{{1,{LONG}}}(?![^\s{_scripts}])|\S|\n")
-_MARKS = frozenset(".,;:!?…。，、；：！？")
-
-
-def _first(rank: list[int], window: int) -> bytearray:
-    """1 for each place that has the least rank, the last of equal ones, among some ``window`` places in a row."""
-    out, at = bytearray(len(rank)), 0
-    for i, x in enumerate(rank):
-        if x <= rank[at]:
-            at = i
-        elif at <= i - window:
-            at = min(range(i, i - window, -1), key=rank.__getitem__)
-        elif i != window - 1:
-            continue
-        if i >= window - 1:
-            out[at] = 1
-    return out
-
-
-def units(text: str, least: int = LEAST, window: int = WINDOW) -> list[tuple[int, int, int]]:
-    """(start, end, context) of the units, in code points: what stands from context to end is hashed. White space after
-    a unit belongs to it."""
-    starts, rank, breaks, before = [], [], {}, 0  # breaks: last word of a line -> (where the line ends, a blank line follows)
-    for m in (_point if _dense.search(text) else _word).finditer(text):
-        w = m[0]
-        if w == "\n":
-            if starts:
-                k = len(starts) - 1
-                breaks[k] = (breaks[k][0], True) if k in breaks else (m.start(), False)
-            continue
-        own = zlib.crc32(w.lower().encode("utf-8", "surrogatepass"))
-        starts.append(m.start())
-        rank.append((own * 0x9E3779B1 ^ before * 0x85EBCA6B) & 0xFFFFFFFF | (w[-1] not in _MARKS) << 32)
-        before = own
-    n = len(starts)
-    if n:
-        breaks.setdefault(n - 1, (len(text), True))
-    cuts = _first(rank, window)
-    out: list[tuple[int, int, int]] = []
-    heads: list[int] = []  # first words of the units so far
-    head, fresh, back = 0, True, 0  # fresh: no unit of this text or paragraph has ended; back: the unit where the context starts
-    line = 0  # first word of the line
-    for i in range(n):
-        end = breaks.get(i)
-        if end is None:
-            if not cuts[i] or i + 1 - max(line, head if fresh else 0) < least:
-                continue
-        elif fresh and not end[1] and i + 1 - head < least:  # the next line joins
-            line = i + 1
-            continue
-        heads.append(head)
-        while back + 1 < len(heads) and i + 1 - heads[back + 1] >= least:
-            back += 1
-        if i + 1 - heads[back] >= least:
-            out.append((starts[head], end[0] if end else starts[i + 1], starts[heads[back]]))
-        head, fresh = i + 1, bool(end and end[1])
-        if end:
-            line = i + 1
-    return out
-
-
-def unit_digest(unit: str) -> bytes:
-    return hashlib.blake2b(" ".join(unit.lower().split()).encode("utf-8", "surrogatepass"), digest_size=16).digest()
-
-
-def _hash(least: int):
-    """Rows of the units; 96 bits of a digest, in columns of fixed width: those take less room in a shuffle."""
 
+@lru_cache(None)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """(is white space, lower case) by code point, up to the last one that has a case."""
+    n = 0x1F000
+    low = np.arange(n, dtype=np.uint32)
+    white = np.zeros(n, bool)
+    for i in range(n):
+        c = chr(i)
+        white[i] = c.isspace()
+        if len(x := c.lower()) == 1:
+            low[i] = ord(x)
+    return white, low
+
+
+def _words(cp: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last + 1 code point of the words; ``edge`` has True where a text begins."""
+    white, _ = _tables()
+    solid = ~((cp < len(white)) & white[np.minimum(cp, len(white) - 1)])
+    dense = np.zeros(len(cp), bool)
+    if len(cp) and cp.max() >= _SCRIPTS[0][0]:
+        for a, b in _SCRIPTS:
+            dense |= (cp >= a) & (cp <= b)
+    before = np.zeros(len(cp), bool)
+    before[1:] = solid[:-1] & ~dense[:-1]
+    start = solid & (~before | dense | edge[:-1])
+    first = np.flatnonzero(start)
+    closed = np.ones(len(cp) + 1, bool)
+    closed[:-1] = ~solid | start
+    ends = np.flatnonzero(closed)
+    last = ends[np.searchsorted(ends, first, "right")] if len(first) else first
+    if len(first) and (last - first).max() > LONG:
+        long = last - first > LONG
+        more = np.concatenate([np.arange(a, b) for a, b in zip(first[long], last[long])])
+        first = np.concatenate([first[~long], more])
+        last = np.concatenate([last[~long], more + 1])
+        order = np.argsort(first, kind="stable")
+        first, last = first[order], last[order]
+    return first, last
+
+
+def _sums(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of the ranges a to b of a sequence: equal sequences, equal hashes."""
+    power, inverse = powers(len(values) + 1)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * power[: len(values)], out=total[1:])
+    return mix((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def _ends(word: np.ndarray, mark: np.ndarray, line: np.ndarray, inline: bool) -> np.ndarray:
+    """The words after which a cut is."""
+    cut = np.ones(len(word), bool)
+    cut[:-1] = line[1:] != line[:-1]
+    if inline and len(word) >= WINDOW:
+        before = np.zeros(len(word), np.uint64)
+        before[1:] = np.where(cut[:-1], np.uint64(0), word[:-1])
+        rank = mix(word + mix(before + np.uint64(0x632BE59BD9B4E019))) >> np.uint64(1) | np.where(mark, 0, 1).astype(np.uint64) << np.uint64(63)
+        rows = np.lib.stride_tricks.sliding_window_view(rank, WINDOW)
+        at = np.arange(len(rows)) + WINDOW - 1 - np.argmin(rows[:, ::-1], axis=1)
+        cut[at[line[: len(rows)] == line[WINDOW - 1 :]]] = True
+    return np.flatnonzero(cut)
+
+
+def units(texts: list[str], least: int = LEAST, inline: bool = True) -> tuple[np.ndarray, ...]:
+    """(text, start, end, high, low) of the units of some texts: offsets in code points, and 96 bits of digest. White
+    space after a unit belongs to it, the break after a line doesn't."""
+    cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    off = np.cumsum([0, *map(len, texts)])
+    edge = np.zeros(len(cp) + 1, bool)
+    edge[off] = True
+    first, last = _words(cp, edge)
+    if not len(first):
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int32))
+    low = _tables()[1]
+    text = np.searchsorted(off, first, "right") - 1
+    breaks = np.flatnonzero(cp == 10)
+    line = np.searchsorted(breaks, first) + text
+    word = _sums(mix(np.where(cp < len(low), low[np.minimum(cp, len(low) - 1)], cp).astype(np.uint64) + np.uint64(0x2545F4914F6CDD1D)), first, last)
+    ends = _ends(word, np.isin(cp[last - 1], _MARKS), line, inline)
+    begin, least = np.append(0, ends[:-1] + 1), max(1, least)
+    i, to = np.arange(len(ends)), np.searchsorted(ends, begin + least - 1)
+    # the end of a line ends a unit too, even if none that begins at a cut has just its size
+    line_end = np.flatnonzero(np.append(line[1:] != line[:-1], True)[ends])
+    back = np.searchsorted(begin, ends[line_end] + 1 - least, "right") - 1
+    pair = np.concatenate([i * (len(ends) + 1) + to, (back * (len(ends) + 1) + line_end)[back >= 0]])
+    i, to = np.divmod(np.unique(pair), len(ends) + 1)
+    there = to < len(ends)
+    begin, to = begin[i[there]], ends[to[there]]
+    same = text[begin] == text[to]
+    begin, to = begin[same], to[same]
+    # a unit ends where its line ends, or where the next word begins
+    stop = np.append(breaks, len(cp))[np.searchsorted(breaks, last[to])]
+    stop = np.minimum(stop, off[text[to] + 1])
+    follows = np.append(first, len(cp))[to + 1]
+    high = _sums(word, begin, to + 1).view(np.int64)
+    other = _sums(mix(word ^ np.uint64(0x9FB21C651E98DF25)), begin, to + 1)
+    return text[begin], first[begin] - off[text[begin]], np.minimum(stop, follows) - off[text[to]], high, (other >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _hash(least: int, inline: bool):
     def run(batches):
         import pyarrow as pa
 
-        for big in batches:
-            for i in range(0, big.num_rows, 500):
-                b = big.slice(i, 500)
-                rows = [(d, s, e - s, *struct.unpack_from("<qi", unit_digest(t[c:e]))) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) if t for s, e, c in units(t, least)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[q] for r in rows], k) for q, k in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()))], names=["doc_id", "start", "length", "high", "low"])
+        for b in batches:
+            rank, key, text = (b.column(c).to_pylist() for c in ("rank", "key", "text"))
+            i = 0
+            while i < len(text):
+                j, held = i, 0
+                while j < len(text) and (j == i or held + len(text[j]) <= CHUNK):
+                    held += len(text[j])
+                    j += 1
+                at, start, end, high, low = units(text[i:j], least, inline)
+                cols = [pa.array(np.array(rank[i:j], np.int64)[at]), pa.array(np.array(key[i:j], np.int64)[at]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(high), pa.array(low)]
+                yield pa.RecordBatch.from_arrays(cols, names=["rank", "key", "start", "end", "high", "low"])
+                i = j
 
     return run
 
 
+def _merge(batches):
+    """Spans of a document, sorted, those that touch as one."""
+    import pyarrow as pa
+
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    for b in batches:
+        out = []
+        for spans in b.column("spans").to_pylist():
+            merged: list[dict] = []
+            for s, e in sorted((x["start"], x["end"]) for x in spans):
+                if merged and s <= merged[-1]["end"]:
+                    merged[-1]["end"] = max(merged[-1]["end"], e)
+                elif e > s:
+                    merged.append({"start": s, "end": e})
+            out.append(merged)
+        yield pa.RecordBatch.from_arrays([b.column("rank"), b.column("key"), pa.array(out, span)], names=["_rank", "_key", "_spans"])
+
+
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
     """``text`` without the spans; a line that is cut away wholly goes with its line break."""
     keep, at, whole = [], 0, True  # whole: nothing of this line is kept so far
@@ -126,39 +188,56 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(keep)
 
 
-def _apply(fields: list[str]):
+def _apply(fields: list[str], text_at: int, spans_at: int):
     def run(batches):
         import pyarrow as pa
 
-        span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for b in batches:
-            text, removed = [], []
-            for t, spans in zip(b.column("text").to_pylist(), b.column("removed").to_pylist()):
-                spans = sorted((s["start"], s["end"]) for s in spans or ())
-                text.append(cut(t, spans) if spans else t)
-                removed.append([{"start": s, "end": e} for s, e in spans])
-            cols = {"text": pa.array(text, pa.string()), "removed": pa.array(removed, span)}
-            yield pa.RecordBatch.from_arrays([cols[f] if f in cols else b.column(f) for f in fields], names=fields)
+            spans = b.column(spans_at).to_pylist()
+            text = [cut(t, [(s["start"], s["end"]) for s in x]) if x else t for t, x in zip(b.column(text_at).to_pylist(), spans)]
+            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if i == text_at else b.column(i) for i in range(len(fields))], names=fields)
 
     return run
 
 
-def dedup_substrings(docs: DataFrame, min_words: int = LEAST) -> DataFrame:
-    """``docs`` with repeated units cut out of ``text``, and ``removed``: their (start, end) in the original text.
+#: Where rows without a doc_id stand in the order: behind all others.
+_LAST = (1 << 63) - 1
+
+
+def dedup_substrings(docs: DataFrame, least: int = LEAST, inline: bool = True) -> DataFrame:
+    """``docs`` with repeated units cut out of ``text``, and ``removed``: their (start, end) in the original text, merged.
 
-    Units that come several times stay in the document of the smallest doc_id, at the smallest offset. Rows that repeat
-    a doc_id are one document: their units tie at equal offsets and stay in each. Null texts and null doc_ids stay as
-    they are and take no part. Documents cut away wholly stay with an empty text. All columns are kept; one named
-    removed is replaced; an empty table gives an empty result.
+    Units that come several times stay in the document of the smallest doc_id, at the smallest offset. Rows of one doc_id
+    with different texts are documents of their own, in an order by a hash of the text; rows that repeat doc_id and text
+    tie: they are cut alike, and what they share with each other alone stays in each. Rows without a doc_id come after all
+    others. Null and empty texts, and texts of fewer than ``least`` words, stay as they are; long ones are read whole.
+    Documents cut away wholly stay with an empty text. All columns are kept, whatever their names; one named removed
+    is replaced; an empty table gives an empty result.
     """
     docs = docs.drop("removed")
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    hashed = storage.persist(found.mapInArrow(_hash(min_words), "doc_id long, start int, length int, high long, low int"), "units")
-    first = hashed.groupBy("high", "low").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    first = storage.persist(first, "repeats")
-    later = hashed.join(first, ["high", "low"]).where(F.struct("doc_id", "start") > F.col("first"))
-    spans = later.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end"))).alias("removed"))
-    spans = storage.persist(spans, "spans")
-    marked = docs.join(spans, docs.doc_id == F.col("_id"), "left").drop("_id")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema.fields)
-    return marked.mapInArrow(_apply(marked.columns), schema)
+    rank, key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+    found = docs.select(rank.alias("rank"), key.alias("key"), "text").where("text IS NOT NULL")
+    hashed = storage.persist(found.mapInArrow(_hash(least, inline), "rank long, key long, start int, end int, high long, low int"), "units")
+    twice = storage.persist(hashed.groupBy("high", "low").agg(F.count("*").alias("n")).where("n > 1").select("high", "low"), "repeats")
+    storage.release(docs.sparkSession)
+    repeats = storage.persist(hashed.join(storage.small(twice), ["high", "low"]), "repeats")
+    storage.drop(hashed, twice)
+    storage.release(docs.sparkSession)
+    first = repeats.groupBy("high", "low").agg(F.min(F.struct("rank", "key", "start", "end")).alias("first"))
+    later = repeats.join(storage.small(storage.persist(first, "first")), ["high", "low"]).where(F.struct("rank", "key", "start") > F.struct("first.rank", "first.key", "first.start"))
+    # a unit that overlaps with its own first occurrence goes without what that one keeps
+    own = (F.col("rank") == F.col("first.rank")) & (F.col("key") == F.col("first.key"))
+    start = F.when(own, F.greatest("start", "first.end")).otherwise(F.col("start"))
+    spans = later.select("rank", "key", start.alias("start"), "end").where("start < end").groupBy("rank", "key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = storage.persist(spans.mapInArrow(_merge, "_rank long, _key long, _spans array<struct<start:int,end:int>>"), "spans")
+    storage.drop(repeats)
+    storage.release(docs.sparkSession)
+    # names of the input may be any: everything travels as one struct
+    rows = docs.select(F.struct("*").alias("_row"), rank.alias("_rank"), key.alias("_key")).join(storage.small(spans), ["_rank", "_key"], "left")
+    removed = F.coalesce("_spans", F.array().cast("array<struct<start:int,end:int>>"))
+    fields = docs.columns
+    flat = rows.select(*[F.col("_row").getField(c).alias(f"c{i}") for i, c in enumerate(fields)], removed.alias("removed"))
+    names = flat.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in flat.schema.fields)
+    out = flat.mapInArrow(_apply(names, fields.index("text"), len(fields)), schema)
+    return out.toDF(*fields, "removed")

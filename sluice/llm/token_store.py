@@ -230,7 +230,7 @@ class TokenStore:
 
     def read(self, found: DataFrame) -> DataFrame:
         """Reads the ids of found documents from their shards: doc_id, copy, start (ids before it), n_tokens, ids_crc32."""
-        rows = found.join(storage.small(self.shards, 120), "shard_id")
+        rows = found.join(storage.small(self.shards), "shard_id")
         return rows.groupBy("shard_id").applyInArrow(_read(self.root), "doc_id long, copy long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -109,6 +109,6 @@ def filter_urls(pages: DataFrame, rules=RULES, distrust: float = DISTRUST) -> Da
     if ranked is None:
         out = judged.withColumns({"trust": F.lit(0.0), "distrust": F.lit(0.0), "limit": F.lit(0.0)})
     else:
-        out = judged.join(storage.small(ranked, 96), "host", "left").fillna(0.0, ["trust", "distrust", "limit"])
+        out = judged.join(storage.small(ranked), "host", "left").fillna(0.0, ["trust", "distrust", "limit"])
     by_graph = F.when((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= F.col("limit")), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_graph).alias("verdict"), "trust", "distrust")

@@ -231,7 +231,7 @@ def write_archives(pages: DataFrame, root: str | None = None) -> DataFrame:
     keys = storage.persist(rows.select("page_id", sha.alias("sha")), "digests")
     firsts = keys.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = storage.persist(keys.join(firsts, "sha").where("page_id <> first").select("page_id", "sha", F.col("first").alias("refers_to")).distinct(), "revisits")
-    out = rows.withColumn("sha", sha).join(storage.small(again, 48), ["page_id", "sha"], "left").select("page_id", "url", "html", "refers_to")
+    out = rows.withColumn("sha", sha).join(storage.small(again), ["page_id", "sha"], "left").select("page_id", "url", "html", "refers_to")
     return storage.persist(out.mapInArrow(_write(root), "path string, n_records long"), "archives")
 
 

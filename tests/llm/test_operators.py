@@ -202,14 +202,35 @@ def test_toxicity(spark):
 # -- substring dedup ---------------------------------------------------------------------------------------------------
 
 
-def test_units_and_cuts():
-    t = "One two three four five six seven eight nine. Ten.\nshort line\n" + "a b c d e f g h i j. " * 2
-    for s, e, c in substring.units(t):
-        assert 0 <= c <= s < e <= len(t)
-    assert substring.units("") == [] and substring.units("too short") == []
+def test_cut():
     assert substring.cut("ab\ncd\nef", [(3, 5)]) == "ab\nef" and substring.cut("abcdef", [(1, 3)]) == "adef" and substring.cut("ab\ncd", [(3, 5)]) == "ab"
 
 
+def plain_lines(rows):
+    """Line dedup in plain Python: {doc_id: text that stays}, first come by doc_id."""
+    seen, out = set(), {}
+    for d, t in sorted(rows):
+        keep = []
+        for line in t.split("\n"):
+            k = " ".join(line.lower().split())
+            if not k or k not in seen:
+                keep.append(line)
+            seen.add(k)
+        out[d] = "\n".join(keep)
+    return out
+
+
+def test_lines_of_any_length_against_plain_python(spark):
+    r = random.Random(5)
+    lines = ["a", "Of.", "to the point", "x y z  w", " and so on ", "Ünï çode", "long line " * 9] + [" ".join(f"w{r.randrange(90)}" for _ in range(r.randrange(1, 5))) for _ in range(60)]
+    rows = [(i * 3, "\n".join(r.choice([str.upper, str.lower, lambda x: f"  {x}"])(r.choice(lines)) if r.random() < 0.7 else "" for _ in range(r.randrange(1, 9)))) for i in range(60)]
+    out = {x.doc_id: x for x in substring.dedup_substrings(docs(spark, rows), least=1, inline=False).collect()}
+    words = lambda t: t.split()
+    for d, want in plain_lines(rows).items():
+        assert words(out[d].text) == words(want)
+        assert substring.cut(dict(rows)[d], [(s.start, s.end) for s in out[d].removed]) == out[d].text
+
+
 def test_substring_dedup(spark):
     r = random.Random(2)
     passage = " ".join(f"p{r.randrange(10**6)}{'.' if i % 9 == 8 else ''}" for i in range(60)) + "."
@@ -218,55 +239,80 @@ def test_substring_dedup(spark):
     rows = [(4, own() + " " + passage + " " + own()), (2, passage + "\n" + own()), (9, own() + "\n" + passage), (1, clean), (7, None), (8, ""), (11, "one"), (12, "one")]
     out = {x.doc_id: x for x in substring.dedup_substrings(docs(spark, rows)).collect()}
     assert out[2].text == rows[1][1] and out[1].text == clean and out[7].text is None and out[8].text == "" and out[12].text == "one"
-    for i in (4, 9):
-        t = dict(rows)[i]
-        kept = substring.cut(t, [(s.start, s.end) for s in out[i].removed])
-        assert out[i].text == kept and out[i].removed and passage not in kept
-        assert sum(w in kept for w in re.findall(r"p\d+", passage)) < 25 and all(w in kept for w in re.findall(r"q\d+", t)[:25])
-    seen = {}
-    for d, t in sorted((d, t) for d, t in rows if t):  # brute force over the same units
-        gone = []
-        for s, e, c in substring.units(t):
-            k = substring.unit_digest(t[c:e])
-            if seen.setdefault(k, (d, s)) != (d, s):
-                gone.append((s, e))
-        assert sorted((x.start, x.end) for x in out[d].removed) == gone
+    assert out[9].text == rows[2][1].split("\n")[0]
+    kept = out[4].text
+    assert kept == substring.cut(rows[0][1], [(s.start, s.end) for s in out[4].removed])
+    assert sum(w in kept for w in re.findall(r"p\d+", passage)) <= 16 and all(w in kept for w in re.findall(r"q\d+", rows[0][1]))
     assert substring.dedup_substrings(empty(spark)).collect() == []
 
 
-def kept_words(text, passage, first):
-    """Words of ``passage`` that stay in ``text`` when ``first`` comes before it."""
-    seen = {substring.unit_digest(first[c:e]) for s, e, c in substring.units(first)}
-    gone = {i for s, e, c in substring.units(text) if substring.unit_digest(text[c:e]) in seen for i in range(s, e)}
-    at = text.index(passage)
-    return sum(at + m.start() not in gone for m in re.finditer(r"\S+" if " " in passage else r"\S", passage))
+def without_passages(rows, first, **how):
+    """Texts of ``rows`` after their units that are in ``first`` too are cut, by the module's units but no Spark."""
+    texts = [*first, *rows]
+    text, start, end, high, low = substring.units(texts, **how)
+    known = {(h, w) for t, h, w in zip(text, high, low) if t < len(first)}
+    spans = {i: [] for i in range(len(texts))}
+    for t, s, e, h, w in zip(text.tolist(), start.tolist(), end.tolist(), high, low):
+        if t >= len(first) and (h, w) in known:
+            spans[t].append((s, e))
+    return [substring.cut(texts[i], spans[i]) for i in range(len(first), len(texts))]
+
+
+def test_every_pasted_passage_is_found_and_nothing_else():
+    r = random.Random(12)
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    for marks in (0.0, 0.1, 0.4):
+        text = lambda n, end=" ": end.join(r.choice(words) + ("," if r.random() < marks else "") for _ in range(n))
+        first, rows, passages = [], [], []
+        for i in range(150):
+            p = text(51)
+            passages.append(p)
+            first.append(text(r.randrange(20, 60)) + " " + p + " " + text(30))
+            rows.append(text(r.randrange(20, 60)) + " <" + p + "> " + text(40))
+        out = without_passages(rows, first)
+        gone = [len(a.split()) - len(b.split()) for a, b in zip(rows, out)]
+        assert min(gone) >= 25 and max(gone) <= 51 and sum(gone) / len(gone) >= 38
+        for a, b, p in zip(rows, out, passages):
+            head, tail = a.split("<" + p + ">")
+            assert b.startswith(head) and b.endswith(tail)  # what isn't the passage stays
+        fresh = [text(400) for _ in range(50)]
+        assert without_passages(fresh, first) == fresh
 
 
 def test_short_lines_and_texts_without_spaces(spark):
     r = random.Random(11)
     line = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
     verse = "\n".join(line(6) for _ in range(20))
-    assert kept_words(verse, verse, verse) == 0  # a document of short lines and its copy
+    assert without_passages([verse], [verse]) == [""]
     short = "\n".join(line(6) for _ in range(10))
-    assert kept_words(line(20) + "\n" + short, short, line(25) + "\n" + short) <= 12
-    assert kept_words(line(20) + "\n\n" + short, short, line(25) + "\n\n" + short) == 0
+    mine = line(20)
+    assert without_passages([mine + "\n" + short], [line(25) + "\n" + short]) == [mine]
     han = lambda n: "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(n))
-    passage = han(60)
-    assert kept_words(han(40) + passage + han(40), passage, han(30) + passage + han(50)) < 35
+    passage, head = han(60), han(40)
+    left = without_passages([head + passage + head], [han(30) + passage + han(50)])[0]
+    assert left.startswith(head) and left.endswith(head) and len(left) < 80 + 18
+    solid = "z" * 90 + han(3)
+    assert without_passages(["a " + solid], ["b " + solid])[0].startswith("a")
     out = {x.doc_id: x.text for x in substring.dedup_substrings(docs(spark, [(1, verse), (2, verse), (3, passage), (4, passage)])).collect()}
     assert out == {1: verse, 2: "", 3: passage, 4: ""}
 
 
-def test_passages_pasted_into_other_lines():
-    r = random.Random(12)
-    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
-    for marks in (0.0, 0.1, 0.4):
-        text = lambda n: " ".join(r.choice(words) + ("," if r.random() < marks else "") for _ in range(n))
-        stay = []
-        for _ in range(100):
-            p = text(51)
-            stay.append(kept_words(text(r.randrange(20, 60)) + " " + p + " " + text(30), p, text(r.randrange(20, 60)) + " " + p + " " + text(40)))
-        assert max(stay) < 51 and sum(stay) / len(stay) < 16
+def test_periodic_texts_keep_their_first_unit(spark):
+    rows = [(1, "ab cd " * 200), (2, "ab cd " * 200), (3, "lone words here")]
+    out = {x.doc_id: x.text for x in substring.dedup_substrings(docs(spark, rows)).collect()}
+    assert 25 <= len(out[1].split()) < 80 and len(out[2].split()) < 25 and out[3] == "lone words here"
+
+
+def test_rows_that_share_an_id_and_clashing_names(spark):
+    r = random.Random(3)
+    text = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    a, b, shared = text(40), text(50), text(60)
+    rows = [(5, a + "\n" + shared), (5, b), (5, b), (None, shared), (9, shared), (3, None), (3, "")]
+    df = spark.createDataFrame([(*x, 1, "n", "k", "s", 2) for x in rows], "doc_id long, text string, _id int, rank string, key string, _row string, `odd name` int")
+    out = substring.dedup_substrings(df)
+    assert out.columns == [*df.columns, "removed"]
+    want = [(5, a + "\n" + shared), (5, b), (5, b), (None, ""), (9, ""), (3, None), (3, "")]
+    assert sorted(((x.doc_id, x.text) for x in out.collect()), key=repr) == sorted(want, key=repr)
 
 
 # -- decontamination ---------------------------------------------------------------------------------------------------
