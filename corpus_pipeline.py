@@ -24,7 +24,7 @@ SHINGLE, NUM, DEN = 5, 8, 10
 def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
     """``docs`` without those of ``ids`` (id)."""
     gone = storage.persist(ids.distinct(), name)
-    return docs.join(storage.small(gone, 32), docs["doc_id"] == gone["id"], "left_anti")
+    return docs.join(storage.small(gone), docs["doc_id"] == gone["id"], "left_anti")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
