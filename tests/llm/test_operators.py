@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sluice.llm import decontaminate, html_extract, media_gif, packing, substring, token_store, toxicity, url_filter, warc
 from sluice.llm.queries import tokenizer_path
@@ -177,26 +178,85 @@ def test_every_container_of_a_page_votes(spark):
 # -- toxicity ----------------------------------------------------------------------------------------------------------
 
 
-def test_grammar():
+def test_stems_are_learned():
     r = random.Random(7)
     words = [f"{a}{b}" for a in "bcdfg" for b in ("ale", "ire", "one", "una")]
     plain = lambda: [r.choice(words) for _ in range(12)]
-    toxic = [(" ".join([*plain(), f"zorgon{chr(97 + i % 26)}", *plain()]), 1) for i in range(60)]
-    g = toxicity.learn(toxic + [(" ".join(plain() + plain()), 0) for _ in range(120)])
+    rows = [(" ".join([*plain(), f"zorgon{chr(97 + i % 26)}", *plain()]), 1) for i in range(60)] + [(" ".join(plain() + plain()), 0) for _ in range(120)]
+    n = {}
+    for s, _, a, b in toxicity.stem_counts(rows):
+        n[s] = (n.get(s, (0, 0))[0] + a, n.get(s, (0, 0))[1] + b)
+    assert n["zorgon"] == (60, 0) and n["bale"][0] <= 60 and n["bale"][1] > 20
+    stems = toxicity.choose_stems([(s, a, b) for s, (a, b) in n.items() if a >= 3 and b == 0], 60, 120)
+    assert set(stems) == {"zorgon"}
+    assert toxicity.bias_of([(0.0, 0), (0.5, 0), (2.5, 1), (3.0, 1)]) == -1.5 and toxicity.bias_of([(1.0, 1)]) is None
+
+
+def test_grammar():
+    g = toxicity.Grammar({"zorgon": 3.0})
+    total = lambda t: sum(g.clauses(t))
     assert g.score("what a zorgonzz that is") >= 0.5 and g.score("a calm day") < 0.5 and g.score(None) < 0.5 and g.score("") < 0.5
     assert g.score("you are an idiot") >= 0.5
-    assert sum(g.clauses("you are not an idiot")) < sum(g.clauses("you are an idiot"))
-    assert sum(g.clauses('he said "idiot" twice')) < sum(g.clauses("idiot twice"))
-    assert g.clauses("I will kill you") and not g.clauses("they kill time") and not g.clauses("to kill a process")
+    assert total("you are not an idiot") < total("you are an idiot")
+    assert total("such an idiot is you") == total("you are such an idiot") > total("such an idiot") > 0  # targets before and after
+    assert total("an idiot far away from any of you") == total("such an idiot")
+    for t in ('he said "idiot" twice', '"idiot" he said twice', "«idiot» was what someone wrote"):
+        assert total(t) < total("he idiot twice")
+    assert total('"idiot" he is. he said so') > total('"idiot" he said so')  # the report has to be in the clause
+    assert g.clauses("I will kill you") and g.clauses("you will be hurt, we will hurt all of you") and not g.clauses("they kill time") and not g.clauses("to kill a process") and not g.clauses("we will kill that old process here with you")
+    assert total("we will never hurt you") < total("we will hurt you")
     assert len(g.clauses("idiot here. calm there. moron again")) == 2
+    assert total("idiot and moron") > total("idiot") + total("moron")  # the second hit of a clause is not alone
+    assert not g.clauses("no trash at all, never") or total("no trash") < total("trash")
+
+
+def test_each_transducer_against_a_plain_reading():
+    r = random.Random(4)
+    for _ in range(400):
+        tape = [(x, 3.0 if x in "ih" else 0.0) for x in r.choices("ooihtwnrq", k=r.randrange(1, 12))]
+        syms = "".join(x for x, _ in tape)
+        total, hit = 0.0, False
+        near = lambda i, cue, after: any(syms[j] == cue for j in range(max(0, i - 4), min(len(syms), i + 5 if after else i)) if j != i)
+        for i, x in enumerate(syms):
+            if x not in "ih" or x == "h" and not (near(i, "w", False) and near(i, "t", True)):
+                continue
+            aimed = x == "i" and near(i, "t", True)
+            w = 3.0 + 0.6 * aimed - 2.0 * near(i, "n", False) - 2.0 * ("r" in syms and syms[:i].count("q") % 2 == 1)
+            w -= 0.5 if x == "i" and not aimed and not hit else 0.0
+            if w > 0:
+                total, hit = total + w, True
+        assert toxicity.cascade().best(tape, "x") == pytest.approx(total), syms
+
+
+def test_parts_left_out():
+    text = 'you will not hurt anyone you idiot, "moron" he said'
+    whole = sum(toxicity.Grammar().clauses(text))
+    by = {name: sum(toxicity.Grammar(without=name).clauses(text)) for name in toxicity.PARTS}
+    assert by["insults"] == 0 and by["targets"] < whole < min(by["negations"], by["reports"])
+    assert sum(toxicity.Grammar(without="threats").clauses("kill time")) > 0
 
 
 def test_toxicity(spark):
-    rows = [(i, f"fine words {i}" if i % 2 else f"such a moron {i}") for i in range(60)] + [(99, None), (98, ""), (98, "")]
+    rows = [(i, f"fine words {i}" if i % 2 else f"such a moron {i}") for i in range(60)] + [(99, None), (98, ""), (98, ""), (97, "calm " * 30000 + "you moron")]
     labels = spark.createDataFrame([(i, (i + 1) % 2, None) for i in range(60)] + [(None, 1, 1), (5, None, 1)], "doc_id long, toxic int, quality int")
     out = toxicity.score_toxicity(docs(spark, rows), labels).collect()
-    assert len(out) == 63 and all(r.predicted == (1 if r.doc_id < 60 and r.doc_id % 2 == 0 else 0) for r in out)
+    assert len(out) == 64 and all(r.predicted == (1 if r.doc_id < 60 and r.doc_id % 2 == 0 or r.doc_id == 97 else 0) for r in out)
     assert toxicity.score_toxicity(empty(spark), labels.limit(0)).collect() == []
+    df = docs(spark, rows).withColumns({"row": F.lit(1), "toxic": F.lit("t"), "a b": F.lit(2)})
+    out = toxicity.score_toxicity(df, labels, names=("s", "p"))
+    assert out.columns == [*df.columns, "s", "p"] and out.where("toxic = 't' AND score LIKE 's%' AND removed = 'clash'").count() == 64
+
+
+def test_learning_on_executors(spark):
+    r = random.Random(9)
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    text = lambda bad: " ".join(r.choice(words) if not bad or i != 7 else "zorgon" + r.choice("abc") for i in range(30))
+    rows = [(i, text(i % 3 == 0)) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)] + [(3, 0)], "doc_id long, toxic int")
+    g = toxicity.fit(docs(spark, rows), labels)
+    assert "zorgon" in g.stems and len(g.stems) < 10
+    out = toxicity.score_toxicity(docs(spark, rows), labels).collect()
+    assert sum(x.predicted == (x.doc_id % 3 == 0) for x in out) > 290
 
 
 # -- substring dedup ---------------------------------------------------------------------------------------------------
