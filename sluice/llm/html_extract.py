@@ -1,14 +1,16 @@
 """Main text of web pages by consensus host paths.
 
-Each page's containers are scored by the text of their paragraphs. A container is known by its generalised path: tags
-and first classes from the root, with digits taken out. Pages vote for the paths of their best containers, votes are
-summed per host in Spark, and each page is read again with its host's winning path; a page without such a container
-uses its own best one.
+Each page's containers are scored by the text of their paragraphs; the article or main element around a container takes
+its score. A container is known by its generalised path: tags and first classes from the root, with digits taken out. Pages
+vote for the paths of their containers, votes are summed per host in Spark, and each page is read again with its host's
+winning path alone; a page without such a container uses its own best one. Pages also say what text stands at each path:
+where it repeats over a host's pages much more than the text at the winning path does, it is furniture, and is left out.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from html import unescape
 
 from pyspark.sql import DataFrame
@@ -20,7 +22,7 @@ from sluice.llm import storage
 # fixed values: element names by role
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _RAW = {"script", "style", "textarea", "title", "xmp", "noscript", "template", "iframe", "noembed", "noframes"}
-_GONE = {"nav", "footer", "aside", "form", "menu", "dialog", "select", "button", "svg", "canvas", "object", "audio", "video", "datalist", "fieldset", "map", "head", "math"} | _RAW
+_GONE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "head"} | _RAW
 _BLOCK = {
     "address", "article", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup",
     "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
@@ -39,16 +41,32 @@ _CLOSES = {
     "body": ({"head"}, set()),
 }
 _P_CLOSERS = (_BLOCK | {"nav", "footer", "aside", "form", "fieldset", "menu"}) - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot"}
-#: Words in a class, id or role that mark what is not the article.
-_NOISE = re.compile(
-    r"(?:^|[-_\s])(?:nav|navbar|navigation|menu|menus|sidebar|side|aside|footer|masthead|topbar|header|banner|breadcrumbs?|pagination|pager|cookies?|consent|gdpr|notices?|alerts?|"
-    r"ads?|advert|adverts|advertisement|advertising|adsense|sponsor(?:ed)?|promo|promotion|comments?|disqus|respond|replies|social|share|sharing|related|recommended|"
-    r"newsletter|subscribe|subscription|signup|login|popup|modal|overlay|widget|toolbar|skip|contentinfo|complementary|search|dialog|hidden)(?:$|[-_\s\d])",
-    re.I,
+# fixed values: words that name what is not the article, and words that say nothing about it
+_FURNITURE = set(
+    "nav navbar navigation menu menus sidebar aside footer masthead topbar header banner breadcrumb breadcrumbs pagination pager cookie cookies consent gdpr notice notices alert alerts "
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promos promotion comment comments disqus respond reply replies social share sharing related recommended "
+    "newsletter subscribe subscription signup login popup modal overlay widget widgets toolbar contentinfo complementary search dialog hidden".split()
 )
-_token = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*)>?|<[!?][^>]*>?", re.S)
+_NEUTRAL = set(
+    "site page main global top bottom left right upper lower primary secondary box bar block blocks area section sections wrapper wrap container content inner outer list item items row col column panel "
+    "links link button buttons post posts article articles story stories form text unit slot group holder area region mobile desktop small large sticky fixed fluid thread body title icon icons user reader in to".split()
+)
+_parts = re.compile(r"[a-z]+")
+_token = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*)>?|<[!?][^>]*>?", re.S)
 _attr = re.compile(r"([^\s\"'<>/=]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(\bhidden\b)")
 _digits = re.compile(r"\d+")
+_camel = re.compile(r"(?<=[a-z])(?=[A-Z])")
+
+#: Pages of a host that have a path at least, and distinct texts there, as a share of pages and against that share at the
+#: winning path, at most, for the path to be furniture.
+REPEATS, VARIETY = 5, 0.5
+
+
+def names_furniture(name: str) -> bool:
+    """Whether a class, id or role is made of words for furniture, and of words that say nothing: site-footer, AdBox2. Not
+    side-effects, nor comment-on-results."""
+    parts = _parts.findall(_camel.sub("-", name).lower())
+    return any(x in _FURNITURE for x in parts) and all(x in _FURNITURE or x in _NEUTRAL for x in parts)
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -70,16 +88,16 @@ def _noisy(tag: str, a: dict[str, str], inside: bool) -> bool:
         return True
     if tag in ("html", "body", "article", "main"):
         return False
-    return any(_NOISE.search(a[k]) for k in ("class", "id", "role") if a.get(k))
+    return any(names_furniture(x) for k in ("class", "id", "role") if a.get(k) for x in a[k].split())
 
 
 class Node:
-    """A container: its generalised path, its parent, and whether text in it counts for nothing."""
+    """A container: its generalised path, its parent, its score and a hash of the text in it."""
 
-    __slots__ = ("tag", "path", "up", "score")
+    __slots__ = ("tag", "path", "up", "score", "text")
 
     def __init__(self, tag, path, up):
-        self.tag, self.path, self.up, self.score = tag, path, up, 0.0
+        self.tag, self.path, self.up, self.score, self.text = tag, path, up, 0.0, 0
 
 
 def blocks(html: str) -> tuple[list[tuple[Node, str]], list[Node]]:
@@ -177,19 +195,27 @@ def blocks(html: str) -> tuple[list[tuple[Node, str]], list[Node]]:
 
 
 def _scored(html: str):
+    """Blocks and containers, these with scores: half of a block's length goes to the next container out, a quarter to
+    the one around that; an article or main element takes what it holds."""
     found, nodes = blocks(html)
     for node, text in found:
-        w = len(text)
-        if node.up is not None:
-            node.score += w
-            node.up.score += w / 2
-            if node.up.up is not None:
-                node.up.up.score += w / 4
+        n, share = len(text), 1.0
+        main = _lift(node)
+        for x in (node, node.up, node.up.up if node.up is not None else None) if node.up is not None else ():
+            if x is not None and x.up is not None:
+                x.score += n * share
+                share /= 2
+        if main is not node:
+            main.score += n
+        raw, x = text.encode("utf-8", "surrogatepass"), node
+        while x is not None:
+            x.text = zlib.crc32(raw, x.text)
+            x = x.up
     return found, nodes
 
 
 def _lift(node: Node) -> Node:
-    """The article or main element around a container, if there is one."""
+    """The outermost article or main element around a container, or the container."""
     best, x = node, node
     while x is not None:
         if x.tag in ("article", "main"):
@@ -198,34 +224,39 @@ def _lift(node: Node) -> Node:
     return best
 
 
-def votes(html: str) -> list[tuple[str, float]]:
-    """(path, weight) of the page's containers, all that have a score."""
+def votes(html: str) -> list[tuple[str, float, int]]:
+    """(path, weight, hash of the text there) of the page's containers, all that have text."""
     _, nodes = _scored(html)
     by: dict[str, float] = {}
+    text: dict[str, int] = {}
     for x in nodes:
-        if x.score > 0 and x.path:
+        if x.text and x.path:
             by[x.path] = by.get(x.path, 0.0) + x.score
-    total = sum(by.values())
-    return [(p, s / total) for p, s in sorted(by.items(), key=lambda i: (-i[1], i[0]))]
+            text[x.path] = zlib.crc32(x.text.to_bytes(4, "little"), text.get(x.path, 0))
+    total = sum(by.values()) or 1.0
+    return [(p, s / total, text[p]) for p, s in sorted(by.items(), key=lambda i: (-i[1], i[0]))]
 
 
-def extract(html: str, path: str | None) -> str:
-    """The text of the containers at ``path``, or else of the page's best container; blocks joined by empty lines."""
+def extract(html: str, path: str | None, furniture: list[str] | None = None) -> str:
+    """The text of the containers at ``path``, or else of the page's best container, without what stands at the paths
+    of ``furniture``; blocks joined by empty lines."""
     found, nodes = _scored(html)
-    roots = {id(x) for x in (_lift(n) for n in nodes if path and n.path == path)}
+    roots = {id(n) for n in nodes if path and n.path == path}
     if not roots:
         best = max((x for x in nodes if x.up is not None), key=lambda x: x.score, default=None)
-        roots = {id(_lift(best)) if best is not None else id(nodes[0])}
+        roots = {id(best) if best is not None else id(nodes[0])}
+    gone = set(furniture or ())
 
     def within(x):
+        inside = False
         while x is not None:
-            if id(x) in roots:
-                return True
+            if not inside and x.path in gone:
+                return False
+            inside = inside or id(x) in roots
             x = x.up
-        return False
+        return inside
 
-    text = [t for n, t in found if within(n)]
-    return "\n\n".join(text if text else [])
+    return "\n\n".join(t for n, t in found if within(n))
 
 
 def host_of(url):
@@ -237,11 +268,17 @@ def _vote(batches):
     import pyarrow as pa
 
     for b in batches:
-        sums: dict[tuple[str, str], float] = {}
+        sums: dict[tuple[str, str, int], list] = {}
         for host, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
-            for path, w in votes(html or ""):
-                sums[host, path] = sums.get((host, path), 0.0) + w
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()), pa.array(list(sums.values()), pa.float64())], names=["host", "path", "weight"])
+            for path, w, text in votes(html or ""):
+                x = sums.setdefault((host, path, text), [0.0, 0])
+                x[0] += w
+                x[1] += 1
+        rows = list(sums)
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array([k[i] for k in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))), pa.array([sums[k][0] for k in rows], pa.float64()), pa.array([sums[k][1] for k in rows], pa.int64())],
+            names=["host", "path", "hash", "weight", "pages"],
+        )
 
 
 def _extract(batches):
@@ -250,19 +287,36 @@ def _extract(batches):
     for big in batches:
         for i in range(0, big.num_rows, 500):
             b = big.slice(i, 500)
-            text = [extract(h or "", p) for h, p in zip(b.column("html").to_pylist(), b.column("path").to_pylist())]
+            text = [extract(h or "", p, f) for h, p, f in zip(*(b.column(c).to_pylist() for c in ("html", "path", "furniture")))]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
-def extract_main_text(pages: DataFrame) -> DataFrame:
+def host_paths(rows: DataFrame) -> DataFrame:
+    """(host, path, furniture) of pages (host, html): the winning path, and the paths whose text repeats."""
+    said = rows.select("host", "html").mapInArrow(_vote, "host string, path string, hash long, weight double, pages long")
+    said = said.groupBy("host", "path", "hash").agg(F.sum("weight").alias("weight"), F.sum("pages").alias("pages"))
+    by = said.groupBy("host", "path").agg(F.round(F.sum("weight"), 6).alias("weight"), F.sum("pages").alias("pages"), F.count("*").alias("texts"))
+    by = storage.persist(by, "votes")
+    best = by.groupBy("host").agg(F.min(F.struct((-F.col("weight")).alias("w"), "path", (F.col("texts") / F.col("pages")).alias("variety"))).alias("b"))
+    best = storage.persist(best.select("host", F.col("b.path").alias("best"), F.col("b.variety").alias("usual")), "paths")
+    around = F.concat("best", F.lit("/")).startswith(F.concat("path", F.lit("/")))
+    repeated = by.join(storage.small(best), "host").where((F.col("pages") >= REPEATS) & ~around & (F.col("texts") / F.col("pages") <= VARIETY * F.col("usual")))
+    repeated = repeated.groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("furniture"))
+    out = storage.persist(best.join(repeated, "host", "left").select("host", F.col("best").alias("path"), "furniture"), "paths")
+    storage.drop(by, best)
+    return out
+
+
+def extract_main_text(pages: DataFrame, vote: bool = True) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages`` (page_id, url, html).
 
-    Null or empty html gives an empty text. Null urls and urls without a host vote together. Ties between paths go to
-    the first in alphabetical order. Repeated rows vote each time; other columns are ignored; an empty table gives an
-    empty result.
+    Null or empty html gives an empty text; long pages are read whole. Null urls and urls without a host vote together.
+    Ties between paths go to the first in alphabetical order. Repeated rows vote each time; other columns are ignored;
+    an empty table gives an empty result. Without ``vote`` each page is read by its own best container.
     """
     rows = pages.select(F.col("page_id").cast("long"), "url", "html", host_of(F.col("url")).alias("host"))
-    summed = rows.select("host", "html").mapInArrow(_vote, "host string, path string, weight double").groupBy("host", "path").agg(F.round(F.sum("weight"), 6).alias("weight"))
-    best = summed.groupBy("host").agg(F.min(F.struct((-F.col("weight")).alias("w"), "path")).alias("b")).select("host", F.col("b.path").alias("path"))
-    best = storage.persist(best, "paths")
-    return rows.join(storage.small(best), "host", "left").select("page_id", "url", "html", "path").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    if vote:
+        rows = rows.join(storage.small(host_paths(rows)), "host", "left")
+    else:
+        rows = rows.withColumns({"path": F.lit(None).cast("string"), "furniture": F.lit(None).cast("array<string>")})
+    return rows.select("page_id", "url", "html", "path", "furniture").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

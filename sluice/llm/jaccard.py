@@ -16,6 +16,9 @@ components. Where a key's list still holds several components, its cross pairs f
 are near each other, but often just below the threshold), the sets are compared in blocks: each pair of blocks is a task
 that counts overlaps as matrix products and returns components, not pairs. So a group of n near copies makes in the order
 of n rows, not n * n, and a task sends a key that all its sets share once, or once for each component.
+
+Before n-grams are sent, candidates are held against parity bitmaps: an n-gram flips one bit, so two sets differ in at
+least as many n-grams as bits, and pairs that differ in too many can't link.
 """
 
 from __future__ import annotations
@@ -126,8 +129,29 @@ def _profile(k: int):
     return run
 
 
+#: Bits of a set's parity bitmap, at least and at most; about one an n-gram between.
+LEAST_BITS, MOST_BITS = 64, 1 << 16
+
+
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """The bitmap of a set, in 64-bit words: bit i is the parity of the n-grams whose mixed hash is i modulo the size."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (len(tokens) - 1).bit_length()))
+    at = (mix(tokens ^ np.uint64(0x94D049BB133111EB)) % np.uint64(bits)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=bits) & 1, bitorder="little").view(np.uint64)
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> int:
+    """N-grams that two sets differ in, at least: by bitmaps, the larger one folded to the smaller one's size."""
+    if len(x) < len(y):
+        x, y = y, x
+    if len(x) > len(y):
+        x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _sets(k: int):
-    """(doc_id, node, n, grams): a set's n-grams, one binary a fragment. A task gives a (doc_id, node) once."""
+    """(doc_id, node, n, bits, grams): a set's bitmap and its n-grams, one binary a fragment. A task gives a (doc_id, node)
+    once."""
 
     def run(batches):
         import pyarrow as pa
@@ -141,7 +165,7 @@ def _sets(k: int):
                 if not len(t) or (key := (doc, set_node(t))) in seen:
                     continue
                 seen.add(key)
-                rows.append((*key, len(t), [x.tobytes() for x in np.split(t, np.searchsorted(t >> shift, edges))]))
+                rows.append((*key, len(t), parity(t).tobytes(), [x.tobytes() for x in np.split(t, np.searchsorted(t >> shift, edges))]))
                 held += len(t)
                 if held > 1 << 18:
                     yield _sets_batch(rows)
@@ -153,7 +177,7 @@ def _sets(k: int):
     def _sets_batch(rows):
         import pyarrow as pa
 
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary())))], names=["doc_id", "node", "n", "grams"])
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary())))], names=["doc_id", "node", "n", "bits", "grams"])
 
     return run
 
@@ -376,14 +400,18 @@ def _block_links(num: int, den: int):
 def _in_blocks(stars: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links among the sets of each group that ``stars`` (a, b) connect: a group is cut into blocks of bounded size, and
     each pair of blocks is one task's work, so no group is gathered whole."""
-    group = components(stars).withColumnRenamed("label", "grp")
+    label = components(stars)
+    group = label.withColumnRenamed("label", "grp")
     size = group.join(sets.select("node", "n"), "node").groupBy("grp").agg(F.count("*").alias("c"), F.avg("n").alias("n"))
     most = F.least(F.lit(BLOCK), F.greatest(F.lit(16), F.floor(F.lit(BLOCK_GRAMS) / F.col("n"))))
     size = storage.persist(size.select("grp", F.ceil(F.col("c") / most).cast("int").alias("blocks")), "blocks")
     rows = group.join(storage.small(size), "grp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = sets.join(storage.small(storage.persist(rows, "groups")), "node").select("node", "grams", "grp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    groups = storage.persist(rows, "groups")
+    rows = sets.join(storage.small(groups), "node").select("node", "grams", "grp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("node", "grams", "grp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    return rows.groupBy("grp", "lo", "hi").applyInArrow(_block_links(num, den), "a long, b long").distinct()
+    out = storage.persist(rows.groupBy("grp", "lo", "hi").applyInArrow(_block_links(num, den), "a long, b long").distinct(), "links")
+    storage.drop(label, size, groups)
+    return out
 
 
 def _overlaps(batches):
@@ -394,29 +422,58 @@ def _overlaps(batches):
         yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), b.column("na"), b.column("nb"), pa.array(n, pa.int64())], names=["a", "b", "na", "nb", "part"])
 
 
+def _near(num: int, den: int):
+    """Rows whose bitmaps x and y differ in no more bits than their sets may differ in n-grams."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            n = zip(b.column("na").to_pylist(), b.column("nb").to_pylist(), b.column("x").to_pylist(), b.column("y").to_pylist())
+            keep = [differing(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) * (den + num) <= (na + nb) * (den - num) for na, nb, x, y in n]
+            yield b.select(["a", "b", "na", "nb", "keys"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _sized(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b, ...) of sets whose sizes allow a link, with na and nb."""
-    of = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+    """Pairs (a, b, keys) of sets whose sizes and bitmaps allow a link, with na and nb."""
+    signs = storage.persist(sets.select("node", "n", "bits"), "signs")
+    of = lambda c, bits: storage.small(signs).select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(bits))
+    both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+    out = storage.persist(both.mapInArrow(_near(num, den), "a long, b long, na long, nb long, keys long"), "pairs")
+    storage.drop(signs)
+    return out
 
 
 def _linked(sized: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of pairs (a, b, na, nb), those that link, by partial overlaps summed over the fragments."""
+    """Of pairs (a, b, na, nb; a persisted table), those that link, by partial overlaps summed over the fragments. A pair's
+    second set goes to its first by (first set, fragment); where the pairs are few enough to be known to all tasks, that is
+    the only shuffle of n-grams."""
     cut = sets.select("node", F.posexplode("grams").alias("fragment", "gram")).where(F.length("gram") > 0)
-    both = sized.join(cut.select(F.col("node").alias("b"), "fragment", F.col("gram").alias("y")), "b").join(cut.select(F.col("node").alias("a"), "fragment", F.col("gram").alias("x")), ["a", "fragment"])
+    firsts = storage.persist(sized.select(F.col("a").alias("node")).distinct(), "firsts")
+    right = cut.select(F.col("node").alias("b"), "fragment", F.col("gram").alias("y")).join(storage.small(sized), "b")
+    left = cut.join(storage.small(firsts), "node", "left_semi").select(F.col("node").alias("a"), "fragment", F.col("gram").alias("x"))
+    both = right.join(left, ["a", "fragment"])
     part = both.select("a", "b", "na", "nb", "x", "y").mapInArrow(_overlaps, "a long, b long, na long, nb long, part long")
     total = part.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("o"))
-    return total.where(F.col("o") * den >= (F.col("na") + F.col("nb") - F.col("o")) * num).select("a", "b")
+    out = storage.persist(total.where(F.col("o") * den >= (F.col("na") + F.col("nb") - F.col("o")) * num).select("a", "b"), "links")
+    storage.drop(firsts)
+    return out
+
+
+def _all_stars(e: DataFrame) -> bool:
+    """Whether each u of the edges (u, v) has one v, and no v is a u."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("low"), F.lit(0).alias("high")).union(e.select(F.col("v"), F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("low").alias("low"), F.max("high").alias("high")).where("low > 1 OR low = 1 AND high = 1").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes of ``edges`` (a, b): the smallest node reachable. Alternating large and small
     stars, each round written to the shared folder and the one before deleted. Each node's smallest neighbour comes from a
     pre-aggregated table of its own, broadcast or else a side of a join that can be split, so a hub is no task's work."""
-    mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     e = storage.persist(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = mark(e)
-    while before[0]:
+    while not _all_stars(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = storage.persist(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = storage.persist(e.select(F.col("v").alias("u"), F.col("u").alias("v")).join(storage.small(m), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
@@ -424,10 +481,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(storage.small(least), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         new = storage.persist(small, "edges")
         storage.drop(e, m, large, least)
-        e, now = new, mark(new)
-        if now == before:
-            break
-        before = now
+        e = new
     out = storage.persist(e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(e.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct(), "components")
     storage.drop(e)
     return out
@@ -476,21 +530,22 @@ def _links(spark, texts: DataFrame, nodes: DataFrame, k: int, num: int, den: int
         return None
     active = storage.persist(tried.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node"), "active")
     sets = _active_sets(texts, active, k)
-    sized = storage.persist(_sized(tried, sets, num, den), "pairs")
+    sized = _sized(tried, sets, num, den)
     # each node's candidate with most keys first: most links of a group need no other pair
     best = sized.groupBy("b").agg(F.max(F.struct("keys", "a", "na", "nb")).alias("x")).select(F.col("x.a").alias("a"), "b", "x.na", "x.nb")
-    edges = storage.persist(_linked(best, sets, num, den), "links")
+    best = storage.persist(best, "pairs")
+    edges = _linked(best, sets, num, den)
     label = components(edges)
     storage.drop(edges)
     rest = storage.persist(_across(sized, label).join(best.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "na", "nb"), "pairs")
     label = _merged(label, _linked(rest, sets, num, den))
-    storage.drop(sized, rest)
+    storage.drop(sized, best, rest)
     storage.release(spark)
     marked = sets.join(label, "node", "left").select("grams", F.coalesce("label", "node").alias("label"))
     sent = marked.mapInArrow(_send(num, den, _buckets(spark, active.agg(F.sum("n")).first()[0], num, den), True), _PACKED)
     more = storage.persist(sent.groupBy("bucket").applyInArrow(_crosses, "a long, b long, n long").distinct(), "pairs")
     storage.release(spark)
-    new = storage.persist(_sized(more.where(F.col("n") == COUNT).select("a", "b").join(tried, ["a", "b"], "left_anti"), sets, num, den), "pairs")
+    new = _sized(more.where(F.col("n") == COUNT).select("a", "b", F.lit(0).cast("long").alias("keys")).join(tried, ["a", "b"], "left_anti"), sets, num, den)
     stars = more.where(F.col("n") == IN_BLOCKS).select("a", "b")
     whole = more.where(F.col("n") == WHOLE).select(F.col("a").alias("label"))
     stars = storage.persist(stars.union(label.join(whole, "label", "left_semi").select(F.col("label").alias("a"), F.col("node").alias("b"))), "stars")
@@ -503,13 +558,13 @@ def _links(spark, texts: DataFrame, nodes: DataFrame, k: int, num: int, den: int
 
 
 def _active_sets(texts: DataFrame, active: DataFrame, k: int) -> DataFrame:
-    """(node, n, grams) of the active nodes, read from the texts of their smallest doc_id."""
+    """(node, n, bits, grams) of the active nodes, read from the texts of their smallest doc_id."""
     reps = active.select(F.col("node").alias("_node"), F.col("rep").alias("_rep"))
     own = storage.small(reps)
     if own is not reps:  # few enough to tell each task which texts to read
         texts = texts.join(storage.small(active.select(F.col("rep").alias("_rep"))), F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi")
-    rows = texts.mapInArrow(_sets(k), "doc_id long, node long, n long, grams array<binary>")
-    sets = storage.persist(rows.join(own, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_rep"))).select("node", "n", "grams"), "sets")
+    rows = texts.mapInArrow(_sets(k), "doc_id long, node long, n long, bits binary, grams array<binary>")
+    sets = storage.persist(rows.join(own, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_rep"))).select("node", "n", "bits", "grams"), "sets")
     if sets.groupBy("node").count().where("count > 1").isEmpty():
         return sets
     once = storage.persist(sets.dropDuplicates(["node"]), "sets")  # a doc_id with one text several times
@@ -524,8 +579,8 @@ def _across(pairs: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def _merged(label: DataFrame, edges: DataFrame) -> DataFrame:
-    """The labels after further edges (a, b): components of the components. ``label`` is deleted if it changes."""
-    edges = storage.persist(edges, "links")
+    """The labels after further edges (a, b): components of the components. ``edges`` and, if it changes, ``label`` are
+    deleted."""
     if edges.isEmpty():
         storage.drop(edges)
         return label

@@ -128,7 +128,7 @@ def test_overlaps_of_fragments_add_up(spark):
     r = random.Random(2)
     texts = corpus(4, 30)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = df.mapInArrow(jaccard._sets(3), "doc_id long, node long, n long, grams array<binary>").collect()
+    rows = df.mapInArrow(jaccard._sets(3), "doc_id long, node long, n long, bits binary, grams array<binary>").collect()
     assert all(len(x.grams) == jaccard.FRAGMENTS and sum(map(len, x.grams)) == 8 * x.n for x in rows)
     by = {x.doc_id: x for x in rows}
     split = 0
@@ -151,3 +151,21 @@ def test_intermediate_tables_are_deleted(spark):
     check(spark, rows, 3, 9, 10)
     left = {x.split("-")[0] for x in set(os.listdir(at)) - before}
     assert left <= {"profile", "nodes", "labels", "components"}
+
+
+def test_bitmaps_never_differ_more_than_sets():
+    import numpy as np
+
+    from sluice.llm import jaccard
+
+    r = np.random.default_rng(3)
+    pruned = 0
+    for _ in range(500):
+        n, m, shared = int(r.integers(1, 900)), int(r.integers(0, 500)), 0
+        x = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[: int(r.integers(0, len(x) + 1))], r.integers(0, 2**63, m + 1, dtype=np.uint64)]))
+        shared = len(np.intersect1d(x, y))
+        least = jaccard.differing(jaccard.parity(x), jaccard.parity(y))
+        assert least <= len(x) + len(y) - 2 * shared and jaccard.differing(jaccard.parity(x), jaccard.parity(x)) == 0
+        pruned += least * 18 > (len(x) + len(y)) * 2
+    assert pruned > 200

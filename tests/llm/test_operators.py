@@ -170,11 +170,43 @@ def test_html(spark):
 def test_every_container_of_a_page_votes(spark):
     box = lambda i, x, name, text: f"<div class='{x}{chr(97 + i)}a'><div class='{x}{chr(97 + i)}b'><div class='{name}'><p>{text}</p></div></div></div>"
     page = lambda i: "<body>" + "".join(box(i, x, f"{x}{chr(97 + i)}c", "other words " * 9) for x in "stuv") + "<div><div>" + "<div class='same'><p>" + "common text " * 8 + "</p></div></div></div></body>"
-    assert [p.endswith("div.same") for p, _ in html_extract.votes(page(0))].index(True) > 2
+    assert [p.endswith("div.same") for p, *_ in html_extract.votes(page(0))].index(True) > 2
     df = spark.createDataFrame([(i, f"http://c.example/{i}", page(i)) for i in range(12)], "page_id long, url string, html string")
     assert all(r.text == ("common text " * 8).strip() for r in html_extract.extract_main_text(df).collect())
 
 
+def test_the_vote_decides_on_pages_without_an_article(spark):
+    r = random.Random(3)
+    words = lambda n: " ".join(r.choice(["sun", "moon", "river", "hill", "stone"]) + str(r.randrange(1000)) for _ in range(n))
+    story, other, rows = {}, {}, []
+    for i in range(30):
+        story[i], other[i] = [words(5 if i % 5 == 0 else 60) for _ in range(2)], words(25)
+        html = f"<body><div class=ka><div class=x>Read more of our stories</div><h2>T{i}</h2><p>{story[i][0]}<div class=x>Tell a friend about it</div><p>{story[i][1]}</div><div class=kb><p>{other[i]}</div></body>"
+        rows.append((i, f"http://d.example/{i}", html))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: "\n\n".join([f"T{i}", *story[i]]) for i in story}
+    got = {x.page_id: x.text for x in html_extract.extract_main_text(df).collect()}
+    assert got == want
+    alone = {x.page_id: x.text for x in html_extract.extract_main_text(df, vote=False).collect()}
+    assert {i for i in alone if alone[i].endswith(other[i])} == {i for i in alone if i % 5 == 0} and "Tell a friend about it" in alone[1]
+
+
+def test_furniture_by_name_and_what_only_looks_like_it():
+    for x in ("ad", "ads", "AdBox2", "site-footer", "cookie-notice", "sidebar_left", "comment-list", "related-posts", "share-buttons", "widget"):
+        assert html_extract.names_furniture(x), x
+    for x in ("side-effects", "side", "content", "post-body", "search-results-study", "notice-of-death", "shareholders", "story", "hidden-figures", "adrift"):
+        assert not html_extract.names_furniture(x), x
+    page = '<article><p>one</p><div class="side-effects"><p>two</p></div><fieldset><p>three</p></fieldset><p>x <math>y</math> <svg><text>z</text></svg></p><form><p>no</p></form><p>a <a title="q>b</a> c</p></article>'
+    assert html_extract.extract(page, None) == "one\n\ntwo\n\nthree\n\nx y z\n\na b c"
+    assert html_extract.extract("<article><p title='q\">b &lt; &#x41; &nbsp; c</p></article>", None) == "b < A c"
+
+
+def test_copies_of_pages_are_no_furniture(spark):
+    same = "<body><article><div class=k><p>" + "words of one story " * 9 + "</p></div><p>end</p></article></body>"
+    df = spark.createDataFrame([(i, "http://e.example/", same) for i in range(12)], "page_id long, url string, html string")
+    assert {x.text for x in html_extract.extract_main_text(df).collect()} == {("words of one story " * 9).strip() + "\n\nend"}
+
+
 # -- toxicity ----------------------------------------------------------------------------------------------------------
 
 
