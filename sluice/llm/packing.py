@@ -2,7 +2,8 @@
 
 Packing sees lengths only, and there are at most ``size`` of them, so the corpus comes to the driver as a histogram of
 bounded size. Bins are filled greedily, the largest length that fits first; then a bin's smallest document gives way to
-two unpacked ones if they fill its expanded gap more tightly. A filled bin is a pattern used as often as the histogram
+two unpacked ones if they fill its expanded gap more tightly. From which gap on that pays is tried, up to never (best-fit
+decreasing), and the plan with fewest bins is taken. A filled bin is a pattern used as often as the histogram
 allows, so the plan's size does not depend on the number of documents. Each piece knows its rank among the pieces of its
 length (a running count per partition plus the counts of the partitions before), and the plan maps ranks to sequences.
 """
@@ -21,8 +22,8 @@ from sluice.llm.tokens import encoder
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
 
-def plan(histogram: dict[int, int], size: int) -> list[tuple[list[int], int]]:
-    """Patterns (lengths in a bin, number of such bins) that use up ``histogram`` (length -> documents)."""
+def _two_fit(histogram: dict[int, int], size: int, least: float) -> list[tuple[list[int], int]]:
+    """Best-two-fit, for bins whose gap is more than ``least`` of their size."""
     left = np.zeros(size + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n
@@ -43,12 +44,12 @@ def plan(histogram: dict[int, int], size: int) -> list[tuple[list[int], int]]:
             bin_.append(x)
             used[x] = used.get(x, 0) + 1
             gap -= x
-        if gap and len(bin_) > 1:
-            least = bin_[-1]
+        if gap > least * size and len(bin_) > 1:
+            smallest = bin_[-1]
             free = left.copy()
             for x, n in used.items():
                 free[x] -= n
-            room = gap + least
+            room = gap + smallest
             has = np.where(free > 0, lengths, 0)
             upto = np.maximum.accumulate(has)
             a = np.flatnonzero(has[: room + 1])
@@ -56,8 +57,8 @@ def plan(histogram: dict[int, int], size: int) -> list[tuple[list[int], int]]:
             same = (b == a) & (free[a] < 2)
             b = np.where(same, upto[np.maximum(np.minimum(room - a, a - 1), 0)], b)
             total = np.where(b > 0, a + b, 0)
-            if len(a) and total.max() > least:
-                i = int(total.argmax())
+            if len(a) and total.max() > smallest:
+                i = len(total) - 1 - int(total[::-1].argmax())  # the larger one as large as may be: small ones stay for later gaps
                 bin_[-1:] = [int(a[i]), int(b[i])]
         used = {x: bin_.count(x) for x in set(bin_)}
         times = min(int(left[x]) // n for x, n in used.items())
@@ -66,6 +67,43 @@ def plan(histogram: dict[int, int], size: int) -> list[tuple[list[int], int]]:
         out.append((bin_, times))
 
 
+def _best_fit(histogram: dict[int, int], size: int) -> list[tuple[list[int], int]]:
+    """Best-fit decreasing: each document goes where it leaves the least room. Bins filled alike are one entry."""
+    bins: dict[int, list[tuple[tuple[int, ...], int]]] = {}  # room left -> (lengths, bins)
+    for x in sorted(histogram, reverse=True):
+        n = histogram[x]
+        while n:
+            room = min((r for r in bins if r >= x), default=size)
+            if room in bins:
+                pattern, count = bins[room].pop()
+                if not bins[room]:
+                    del bins[room]
+            else:
+                pattern, count = (), n
+            k = room // x
+            full = min(count, n // k)
+            one = n % k if count > full and n // k == full else 0  # documents that fill one more bin in part
+            for times, m in ((full, k), (1 if one else 0, one)):
+                if times:
+                    bins.setdefault(room - m * x, []).append((pattern + (x,) * m, times))
+            if pattern and (rest := count - full - bool(one)):
+                bins.setdefault(room, []).append((pattern, rest))
+            n -= full * k + one
+    return [(list(p), n) for groups in bins.values() for p, n in groups]
+
+
+#: Gaps, as shares of a bin, from which on two documents are looked for; each makes a plan.
+GAPS = (0.0, 0.002, 0.005, 0.01, 0.02, 0.05)
+
+
+def plan(histogram: dict[int, int], size: int) -> list[tuple[list[int], int]]:
+    """Patterns (lengths in a bin, number of such bins) that use up ``histogram`` (length -> documents): of best-two-fit
+    from each of GAPS on, and of greedy filling alone, the plan with fewest bins; the first of equal ones."""
+    histogram = {x: n for x, n in histogram.items() if n}
+    plans = [_two_fit(histogram, size, x) for x in GAPS] + [_best_fit(histogram, size)]
+    return min(plans, key=lambda p: sum(n for _, n in p))
+
+
 def _slots(patterns: list[tuple[list[int], int]], size: int) -> tuple[np.ndarray, ...]:
     """Sorted by (length, first rank): keys, first rank, first sequence, offset."""
     rows, taken, base = [], {}, 0
@@ -131,7 +169,7 @@ def pack(docs: DataFrame, tokenizer: str, end: int, size: int = 1024) -> DataFra
     sequence_id, offset.
 
     A document is its token ids and ``end``; a null or empty text is ``end`` alone. Documents of more than ``size`` ids
-    are cut into pieces of ``size``, the first one taking what is left over. Repeated rows are packed each time, a null
+    are cut into pieces of ``size``, the first one taking what is left over, however long they are. Repeated rows are packed each time, a null
     doc_id stays null, other columns are ignored, an empty table gives an empty result. Sequence ids count from 0.
     """
     # before the plan, pieces are written once: ranks belong to that writing
@@ -143,4 +181,5 @@ def pack(docs: DataFrame, tokenizer: str, end: int, size: int = 1024) -> DataFra
     ranked = pieces.join(storage.small(offsets), ["part", "length"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
     slots = _slots(plan(histogram, size), size)
+    storage.drop(counts)
     return ranked.mapInArrow(_place(slots), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

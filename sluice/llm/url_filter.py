@@ -44,7 +44,10 @@ def matching_rule(host_: Column, path_: Column, rules=RULES) -> tuple[Column, Co
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float | None = None) -> DataFrame:
     """(host, rank) of a personalised PageRank: ``edges`` (src, dst, weight) are distinct, ``seeds`` (host, share) sum
-    to 1. Hosts without rank are left out. Each round is written to the shared folder.
+    to 1. Hosts without rank are left out. Each round is written to the shared folder, and the one before deleted.
+
+    What hosts without links would pass on goes back to the seeds. The ranks that this gives are, but for one factor, those
+    without it, so rounds lose it and the end puts ranks to a sum of 1.
 
     Rounds end when no rank is further than ``tolerance`` from its limit, by default EXACT of the blocking limit: all
     movement to come is at most damping / (1 - damping) of the last round's. With a tolerance of 0, ``rounds`` are made.
@@ -62,12 +65,16 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
         passed = flow.join(rank, flow.src == rank.host).groupBy("dst").agg((F.sum(F.col("part") * F.col("rank")) * damping).alias("rank")).select(F.col("dst").alias("host"), "rank")
         new = storage.persist(base.unionByName(passed).groupBy("host").agg(F.sum("rank").alias("rank")), "rank")
         moved = new.join(rank.select("host", F.col("rank").alias("was")), "host", "full").agg(F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
+        if hasattr(rank, "_written"):
+            storage.drop(rank)
         rank = new
-        if moved is None or moved * damping / (1 - damping) <= tolerance:
-            return rank
-    if tolerance > 0:
-        raise RuntimeError(f"ranks still move by {moved} after {rounds} rounds")
-    return rank
+        if moved is None or moved * damping / (1 - damping) <= tolerance * (1 - damping):
+            break
+    else:
+        if tolerance > 0:
+            raise RuntimeError(f"ranks still move by {moved} after {rounds} rounds")
+    total = rank.agg(F.sum("rank")).first()[0]
+    return rank.select("host", (F.col("rank") / total).alias("rank"))
 
 
 def count_hosts(edges: DataFrame) -> int:

@@ -222,12 +222,14 @@ def write_archives(pages: DataFrame, root: str | None = None) -> DataFrame:
 
     Of rows with equal html (null counts as empty) the one with the smallest page_id is a response, the others revisit
     it; rows that repeat that page_id are responses too. A null url leaves the target out, a null page_id is never
-    referred to while its payload has others. Other columns are ignored; an empty table writes nothing.
+    referred to while its payload has others. Long pages are written whole. Other columns are ignored; an empty table writes nothing.
     """
     spark = pages.sparkSession
     root = root or storage.new_path(spark, "warc")
     rows = pages.select(F.col("page_id").cast("long"), "url", "html")
-    sha = F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
+    # payloads are equal if two digests are: SHA-1 alone can be made to collide
+    raw = F.coalesce("html", F.lit("")).cast("binary")
+    sha = F.concat(F.unhex(F.sha1(raw)), F.unhex(F.sha2(raw, 256)))
     keys = storage.persist(rows.select("page_id", sha.alias("sha")), "digests")
     firsts = keys.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     again = storage.persist(keys.join(firsts, "sha").where("page_id <> first").select("page_id", "sha", F.col("first").alias("refers_to")).distinct(), "revisits")
@@ -236,6 +238,7 @@ def write_archives(pages: DataFrame, root: str | None = None) -> DataFrame:
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """Reads archives (path, n_records) record by record, validating headers, lengths and digests."""
+    """Reads archives (path, n_records) record by record, validating headers, lengths and digests: a damaged one raises
+    WarcError. A path that is listed twice is read twice; nulls in the list aren't allowed; an empty list gives no rows."""
     n = max(1, archives.count())
     return archives.repartition(n, "path").mapInArrow(_read, READ)
