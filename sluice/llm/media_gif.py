@@ -2,7 +2,7 @@
 
 ``encode`` stores samples as the frames of a GIF89a with a grey palette; ``decode`` reads any GIF87a or GIF89a: global
 and local palettes, interlacing, transparency, disposal and delays. ``store`` writes a table of media; ``read`` decodes
-it into payload digests, timed frames and colour histograms.
+it into payload digests, timed frames and colour histograms. A medium that is damaged, or ends early, raises.
 """
 
 from __future__ import annotations
@@ -82,7 +82,8 @@ def lzw_encode(data: bytes) -> bytes:
 
 
 def lzw_decode(data: bytes, bits: int, most: int) -> bytes:
-    """At most ``most`` samples of a code stream; a stream that breaks off gives what it has."""
+    """``most`` samples of a code stream. One that breaks off before, or has a code that no entry stands for, raises
+    ValueError."""
     clear, end = 1 << bits, (1 << bits) + 1
     raw = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(3, np.uint8)]).astype(np.int64)
     size, pos, out, made = 8 * len(data), 0, [], 0
@@ -113,8 +114,8 @@ def lzw_decode(data: bytes, bits: int, most: int) -> bytes:
                     add(prev + e[:1])
                     room -= 1
             else:
-                if not prev:
-                    return b"".join(out)
+                if not prev or c > len(table):
+                    raise ValueError("a code that stands for nothing")
                 e = prev + prev[:1]
                 if room > 0:
                     add(e)
@@ -132,7 +133,10 @@ def lzw_decode(data: bytes, bits: int, most: int) -> bytes:
                 break
             fresh = False
         made += sum(map(len, out[len(out) - last :]))
-    return b"".join(out)[:most]
+    data = b"".join(out)
+    if len(data) < most:
+        raise ValueError("a code stream that ends early")
+    return data[:most]
 
 
 def _blocks(data: bytes) -> bytes:
@@ -175,23 +179,34 @@ class Frame:
 
 def _read_blocks(data: bytes, at: int) -> tuple[bytes, int]:
     out = []
-    while at < len(data) and (n := data[at]):
+    while at < len(data):
+        n = data[at]
+        if not n:
+            return b"".join(out), at + 1
+        if at + 1 + n > len(data):
+            break
         out.append(data[at + 1 : at + 1 + n])
         at += n + 1
-    return b"".join(out), at + 1
+    raise ValueError("a block that ends early")
+
+
+def _palette(data: bytes, at: int, flags: int) -> tuple[np.ndarray, int]:
+    n = 2 << (flags & 7)
+    if at + 3 * n > len(data):
+        raise ValueError("a palette that ends early")
+    return np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3), at + 3 * n
 
 
 def decode(data: bytes) -> tuple[list[Frame], list[bytes]]:
-    """(frames, comments). Raises ValueError if it is no GIF."""
+    """(frames, comments). Raises ValueError if it is no GIF, or not a whole one: its trailer, a block, palette or code is
+    missing, or an index has no colour."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("no GIF")
     w, h, flags, back, _ = struct.unpack_from("<HHBBB", data, 6)
     at = 13
     palette = None
     if flags & 0x80:
-        n = 2 << (flags & 7)
-        palette = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3)
-        at += 3 * n
+        palette, at = _palette(data, at, flags)
     ground = palette[back] if palette is not None and back < len(palette) else np.zeros(3, np.uint8)
     canvas = np.empty((h, w, 3), np.uint8)
     canvas[:] = ground
@@ -199,29 +214,31 @@ def decode(data: bytes) -> tuple[list[Frame], list[bytes]]:
     while at < len(data):
         kind = data[at]
         if kind == 0x21:
-            label = data[at + 1]
+            label = data[at + 1] if at + 1 < len(data) else 0
             body, at = _read_blocks(data, at + 2)
             if label == 0xF9 and len(body) >= 4:
                 control = ((body[0] >> 2) & 7, 10 * int.from_bytes(body[1:3], "little"), body[3] if body[0] & 1 else None)
             elif label == 0xFE:
                 comments.append(body)
         elif kind == 0x2C:
+            if at + 11 > len(data):
+                raise ValueError("a frame that ends early")
             x, y, fw, fh, flags = struct.unpack_from("<HHHHB", data, at + 1)
             at += 10
             colours = palette
             if flags & 0x80:
-                n = 2 << (flags & 7)
-                colours = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3)
-                at += 3 * n
+                colours, at = _palette(data, at, flags)
+            if at >= len(data) or not 2 <= data[at] <= 8:
+                raise ValueError("a frame without a code size")
             bits = data[at]
             body, at = _read_blocks(data, at + 1)
-            index = np.frombuffer(lzw_decode(body, bits, fw * fh), np.uint8)
-            known = len(index)
-            index = np.concatenate([index, np.zeros(fw * fh - known, np.uint8)]).reshape(fh, fw)
-            drawn = (np.arange(fw * fh) < known).reshape(fh, fw)
+            index = np.frombuffer(lzw_decode(body, bits, fw * fh), np.uint8).reshape(fh, fw)
+            drawn = np.ones((fh, fw), bool)
             if flags & 0x40:
                 order = np.concatenate([np.arange(0, fh, 8), np.arange(4, fh, 8), np.arange(2, fh, 4), np.arange(1, fh, 2)])
-                index, drawn = _interlaced(index, drawn, order)
+                rows = np.empty_like(index)
+                rows[order] = index
+                index = rows
             disposal, delay, clear = control
             if clear is not None:
                 drawn = drawn & (index != clear)
@@ -231,6 +248,8 @@ def decode(data: bytes) -> tuple[list[Frame], list[bytes]]:
             shown = canvas.copy() if frames or disposal == 3 else canvas
             area = shown[y : y + fh, x : x + fw]
             cut = drawn[: area.shape[0], : area.shape[1]]
+            if len(colours) < 256 and (drawn & (index >= len(colours))).any():
+                raise ValueError("an index without a colour")
             ink = colours[np.minimum(index, len(colours) - 1)][: area.shape[0], : area.shape[1]]
             area[cut] = ink[cut]
             frames.append(Frame(shown, cut, x, y, fw, fh, delay, clock, disposal, clear))
@@ -241,15 +260,11 @@ def decode(data: bytes) -> tuple[list[Frame], list[bytes]]:
             else:
                 canvas = kept if disposal == 3 else shown
             control = (0, 0, None)
+        elif kind == 0x3B:
+            return frames, comments
         else:
-            break
-    return frames, comments
-
-
-def _interlaced(index, drawn, order):
-    a, b = np.empty_like(index), np.empty_like(drawn)
-    a[order], b[order] = index, drawn
-    return a, b
+            raise ValueError("a block of no known kind")
+    raise ValueError("no trailer")
 
 
 def histogram(samples: np.ndarray) -> list[int]:
@@ -272,15 +287,16 @@ def _store(batches):
 
 
 FRAME = "struct<start_ms:long,delay_ms:long,left:int,top:int,width:int,height:int,disposal:int,histogram:array<int>>"
-READ = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames array<{FRAME}>"
+_HISTOGRAMS = ("red", "green", "blue")
+READ = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames array<{FRAME}>, " + ", ".join(f"{c} array<long>" for c in _HISTOGRAMS)
 
 
 def _read(batches):
     import pyarrow as pa
 
     frame = pa.struct([("start_ms", pa.int64()), ("delay_ms", pa.int64()), *((c, pa.int32()) for c in ("left", "top", "width", "height", "disposal")), ("histogram", pa.list_(pa.int32()))])
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(frame)]
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(frame), *[pa.list_(pa.int64())] * 3]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", *_HISTOGRAMS]
     for big in batches:
         for i in range(0, big.num_rows, 500):
             b = big.slice(i, 500)
@@ -295,19 +311,22 @@ def _read(batches):
                     all_ += hist
                     shown.append({"start_ms": f.start_ms, "delay_ms": f.delay_ms, "left": f.left, "top": f.top, "width": f.width, "height": f.height, "disposal": f.disposal, "histogram": hist})
                 n = int(comments[0].partition(b"=")[2])
-                feature = f"frames={len(frames)};ms={sum(f.delay_ms for f in frames)};red={','.join(map(str, all_[:BINS]))}"
-                rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, shown))
+                colour = dict(zip(_HISTOGRAMS, all_.reshape(3, BINS).tolist()))
+                feature = f"frames={len(frames)};ms={sum(f.delay_ms for f in frames)};" + ";".join(f"{c}={','.join(map(str, n))}" for c, n in colour.items())
+                rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, shown, *colour.values()))
             yield pa.RecordBatch.from_arrays([pa.array([r[q] for r in rows], k) for q, k in enumerate(kinds)], names=names)
 
 
 def store(docs: DataFrame) -> DataFrame:
     """Writes a media table (doc_id, media) of all rows of ``docs`` (doc_id, text): the text's UTF-8 bytes, padded with
-    zeros to a positive multiple of 64, as grey samples. Null counts as empty; ids may repeat or be null; other columns
-    are ignored; an empty table gives an empty one."""
+    zeros to a positive multiple of 64, as grey samples. Null counts as empty; long texts are stored whole, in as many
+    frames as they need; ids may repeat or be null; other columns are ignored; an empty table gives an empty one."""
     return storage.persist(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_store, "doc_id long, media binary"), "media")
 
 
 def read(media: DataFrame) -> DataFrame:
-    """Decodes a media table: sizes and digests of payload and medium, a feature string, and the timed frames with their
-    colour histograms."""
+    """Decodes a media table (doc_id, media): sizes and digests of payload and medium, a feature string, the timed frames
+    with their colour histograms, and the histograms of all frames by colour. Repeated rows are read each time, a null
+    doc_id stays null; a medium that is null, or not a whole GIF of ``store``, raises; other columns are ignored; an
+    empty table gives an empty result."""
     return media.select("doc_id", "media").mapInArrow(_read, READ)

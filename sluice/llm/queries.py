@@ -55,7 +55,7 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.media_gif import read, store
 
-    return read(store(_table(spark, sf_dir, "documents"))).drop("frames")
+    return read(store(_table(spark, sf_dir, "documents")))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

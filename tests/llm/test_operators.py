@@ -169,6 +169,48 @@ def test_gif_rules():
         media_gif.decode(b"PNG" * 10)
 
 
+def test_damaged_media_raise():
+    whole = media_gif.encode(bytes(range(256)) * 300, 5)
+    media_gif.decode(whole)
+    for cut in (0, 5, 12, 300, 781, 800, 830, 2000, len(whole) - 2, len(whole) - 1):
+        with pytest.raises(ValueError):
+            media_gif.decode(whole[:cut])
+    with pytest.raises(ValueError):
+        media_gif.decode(whole[:-1] + b"!")
+    for bad in ([256, 300], [257], [256, 65, 300], [256, 65, 66, 257]):  # unknown codes; ends before all samples
+        bits = sum(c << 9 * i for i, c in enumerate(bad))
+        with pytest.raises(ValueError):
+            media_gif.lzw_decode(bits.to_bytes(-(-9 * len(bad) // 8), "little"), 8, 3)
+    assert media_gif.lzw_decode((256 | 65 << 9 | 258 << 18 | 257 << 27).to_bytes(5, "little"), 8, 3) == b"AAA"
+
+
+def plain_decode(data, bits, most):
+    """LZW by the book: a code at a time."""
+    n, at, out = int.from_bytes(data, "little"), 0, b""
+    clear = 1 << bits
+    table, width, before = None, bits + 1, None
+    while True:
+        code, at = n >> at & (1 << width) - 1, at + width
+        if code == clear:
+            table, width, before = [bytes([i]) for i in range(clear)] + [None, None], bits + 1, None
+        elif code == clear + 1:
+            return out[:most]
+        else:
+            entry = table[code] if code < len(table) else before + before[:1]
+            if before is not None and len(table) < 4096:
+                table.append(before + entry[:1])
+            out, before = out + entry, entry
+            if len(table) == 1 << width and width < 12:
+                width += 1
+
+
+def test_lzw_against_a_plain_decoder():
+    r = random.Random(5)
+    for n in (1, 64, 5000, 40000):
+        data = bytes(r.choice(b"abcdefgh    \n") if r.random() < 0.9 else r.randrange(256) for _ in range(n))
+        assert plain_decode(media_gif.lzw_encode(data), 8, n) == data == media_gif.lzw_decode(media_gif.lzw_encode(data), 8, n)
+
+
 def test_media(spark):
     assert media_gif.read(media_gif.store(docs(spark, [(None, None)]))).first().n_bytes == 0
     assert packing.pack(docs(spark, [(None, "a"), (None, None)]), tokenizer_path(), 2).count() == 2
@@ -178,6 +220,10 @@ def test_media(spark):
         p = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
         r = out[d, len(raw)]
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])) and len(r.frames) >= 1
+        want = [sum(x // 16 == i for x in p) for i in range(16)]
+        assert r.red == r.green == r.blue == want and [sum(f.histogram[i] for f in r.frames) for i in range(16)] == want
+        assert r.feature == f"frames={len(r.frames)};ms={100 * len(r.frames)};" + ";".join(f"{c}={','.join(map(str, want))}" for c in ("red", "green", "blue"))
+        assert [f.start_ms for f in r.frames] == [100 * i for i in range(len(r.frames))] and r.media_bytes > r.payload_bytes // 8
     assert media_gif.read(media_gif.store(empty(spark))).collect() == []
 
 
