@@ -3,8 +3,9 @@
 Shards are raw little-endian ids, documents in ascending doc_id order, one after the other; nothing stands between
 them. The index maps a document key to (shard, position, length). It is split by key hash into parts of bounded size.
 A part is a cascade of bit arrays (a key takes the first level where it alone hits a bit; its slot is the number of set
-bits before it), so it is minimal and perfect, and a table of slots with a stored fingerprint, so foreign keys are told
-apart. A lookup reads a fixed number of words.
+bits before it, which stands beside each word), so it is minimal and perfect, and a table of slots with a stored
+fingerprint, so foreign keys are told apart. A lookup reads two words a level, of which there are two on average, then a
+slot's entries; many lookups in one part read its arrays at once.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from sluice.llm import storage
 from sluice.llm.shingles import mix
 from sluice.llm.tokens import encoder
 
-#: Keys of an index part.
-PART_KEYS = 500_000
+#: Keys of an index part, and bytes of text of a shard, about.
+PART_KEYS, SHARD_BYTES = 500_000, 24 << 20
+#: Elements for each one that is asked for, from which on an array is read by words and not at once.
+SPARSE = 64
 #: Bits of a level for each key that reaches it.
 GAMMA = 2.0
 #: File header: magic, then the width of an id in bytes.
@@ -29,36 +32,39 @@ MAGIC = b"TOKIDS01"
 _KIND = {2: np.dtype("<u2"), 4: np.dtype("<u4")}
 
 
+def _at(keys: np.ndarray, level: int, bits: int) -> np.ndarray:
+    return mix(keys + np.uint64((level + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) % np.uint64(bits)
+
+
 class PerfectHash:
-    """Minimal perfect hash of distinct 64-bit keys with a fingerprint for each slot."""
+    """Minimal perfect hash of distinct 64-bit keys with a fingerprint for each slot. ``bits``: of each level; the arrays
+    level0, rank0, level1, ... and prints come from ``take(name, places)``."""
 
-    def __init__(self, levels: list[tuple[int, np.ndarray]], prints: np.ndarray):
-        self.levels, self.prints, self.ranks, n = levels, prints, [], 0
-        for _, words in levels:
-            ones = np.bitwise_count(words).astype(np.int64)
-            self.ranks.append(n + np.cumsum(ones) - ones)
-            n += int(ones.sum())
-        self.n = n
+    def __init__(self, bits: list[int], arrays: dict[str, np.ndarray] | None = None):
+        self.bits, self.arrays = bits, arrays or {}
 
-    @staticmethod
-    def _at(keys: np.ndarray, level: int, bits: int) -> np.ndarray:
-        return mix(keys + np.uint64((level + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) % np.uint64(bits)
+    def take(self, name: str, at: np.ndarray) -> np.ndarray:
+        return self.arrays[name][at]
 
     @classmethod
     def build(cls, keys: np.ndarray) -> PerfectHash:
-        left, levels = keys, []
+        left, sizes, arrays, n = keys, [], {}, 0
         while len(left):
-            bits = max(64, int(GAMMA * len(left)) + 63 & ~63)
-            at = cls._at(left, len(levels), bits)
-            n = np.bincount(at.astype(np.int64), minlength=bits)
-            words = np.packbits(n == 1, bitorder="little").view("<u8")
-            levels.append((bits, words))
-            left = left[n[at.astype(np.int64)] > 1]
-            if len(levels) > 60:
+            level, bits = len(sizes), max(64, int(GAMMA * len(left)) + 63 & ~63)
+            at = _at(left, level, bits)
+            times = np.bincount(at.astype(np.int64), minlength=bits)
+            words = np.packbits(times == 1, bitorder="little").view("<u8")
+            ones = np.bitwise_count(words).astype(np.int64)
+            arrays[f"level{level}"], arrays[f"rank{level}"] = words, (n + np.cumsum(ones) - ones).astype("<u4")
+            n += int(ones.sum())
+            sizes.append(bits)
+            left = left[times[at.astype(np.int64)] > 1]
+            if len(sizes) > 60:
                 raise ValueError("keys aren't distinct")
-        out = cls(levels, np.zeros(0, np.uint32))
-        out.prints = np.zeros(len(keys), np.uint32)
-        out.prints[out.slots(keys)] = cls.fingerprint(keys)
+        out = cls(sizes, arrays)
+        prints = np.zeros(len(keys), "<u4")
+        prints[out.slots(keys)] = cls.fingerprint(keys)
+        arrays["prints"] = prints
         return out
 
     @staticmethod
@@ -69,12 +75,15 @@ class PerfectHash:
         """Slot of each key; for a foreign key any slot, or -1."""
         out = np.full(len(keys), -1, np.int64)
         open_ = np.arange(len(keys))
-        for i, ((bits, words), rank) in enumerate(zip(self.levels, self.ranks)):
-            at = self._at(keys[open_], i, bits)
+        for i, bits in enumerate(self.bits):
+            if not len(open_):
+                break
+            at = _at(keys[open_], i, bits)
             w, b = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-            hit = (words[w] >> b & np.uint64(1)).astype(bool)
-            below = np.bitwise_count(words[w] & ((np.uint64(1) << b) - np.uint64(1))).astype(np.int64)
-            out[open_[hit]] = (rank[w] + below)[hit]
+            word = self.take(f"level{i}", w)
+            hit = (word >> b & np.uint64(1)).astype(bool)
+            below = np.bitwise_count(word[hit] & ((np.uint64(1) << b[hit]) - np.uint64(1))).astype(np.int64)
+            out[open_[hit]] = self.take(f"rank{i}", w[hit]).astype(np.int64) + below
             open_ = open_[~hit]
         return out
 
@@ -82,23 +91,36 @@ class PerfectHash:
         """Slot of each key, -1 for keys that aren't there (but for one foreign key in 2 ** 32)."""
         s = self.slots(keys)
         ok = s >= 0
-        ok[ok] = self.prints[s[ok]] == self.fingerprint(keys[ok])
+        ok[ok] = self.take("prints", s[ok]) == self.fingerprint(keys[ok])
         return np.where(ok, s, -1)
 
 
 def dump_index(index: PerfectHash, columns: dict[str, np.ndarray]) -> bytes:
-    arrays = {"prints": index.prints, **columns, **{f"level{i}": w for i, (_, w) in enumerate(index.levels)}}
-    head = json.dumps({"bits": [b for b, _ in index.levels], "arrays": [[k, v.dtype.str, len(v)] for k, v in arrays.items()]}).encode()
+    arrays = index.arrays | columns
+    head = json.dumps({"bits": index.bits, "arrays": [[k, v.dtype.str, len(v)] for k, v in arrays.items()]}).encode()
     return len(head).to_bytes(8, "little") + head + b"".join(np.ascontiguousarray(v).tobytes() for v in arrays.values())
 
 
-def load_index(data: bytes) -> tuple[PerfectHash, dict[str, np.ndarray]]:
-    at = 8 + int.from_bytes(data[:8], "little")
-    head, out = json.loads(data[8:at]), {}
-    for k, kind, n in head["arrays"]:
-        out[k] = np.frombuffer(data, kind, n, at)
-        at += out[k].nbytes
-    return PerfectHash([(b, out.pop(f"level{i}")) for i, b in enumerate(head["bits"])], out.pop("prints")), out
+class IndexFile(PerfectHash):
+    """An index in a file that can be read at any place: few elements are read one by one, many with their array."""
+
+    def __init__(self, file):
+        self.file = file
+        n = int.from_bytes(file.read_at(8, 0), "little")
+        head = json.loads(file.read_at(n, 8))
+        super().__init__(head["bits"])
+        self.places, at = {}, 8 + n
+        for k, kind, n in head["arrays"]:
+            self.places[k] = (at, np.dtype(kind), n)
+            at += n * np.dtype(kind).itemsize
+
+    def take(self, name: str, at: np.ndarray) -> np.ndarray:
+        start, kind, n = self.places[name]
+        if name not in self.arrays and len(at) * SPARSE >= n:
+            self.arrays[name] = np.frombuffer(self.file.read_at(n * kind.itemsize, start), kind)
+        if name in self.arrays:
+            return self.arrays[name][at]
+        return np.frombuffer(b"".join(self.file.read_at(kind.itemsize, start + int(i) * kind.itemsize) for i in at), kind)
 
 
 #: Where a null doc_id stands in the order, and what its key is made of.
@@ -123,7 +145,7 @@ def _write(root: str, tokenizer: str, end: int):
 
         e, part = encoder(tokenizer), TaskContext.get().partitionId()
         at, path = storage.filesystem(f"{root}/shard-{part:06d}-{uuid.uuid4().hex}.ids")
-        name, doc_ids, copies, sizes, before, copy = path.rsplit("/", 1)[1], [], [], [], object(), 0
+        name, before, copy, position = path.rsplit("/", 1)[1], object(), -1, 0
         at.create_dir(path.rsplit("/", 1)[0], recursive=True)
         last = np.array([end], e.kind).tobytes()
         with at.open_output_stream(path + ".part") as out:
@@ -131,28 +153,27 @@ def _write(root: str, tokenizer: str, end: int):
             for big in batches:
                 for i in range(0, big.num_rows, 1000):
                     b = big.slice(i, 1000)
-                    for doc, raw in zip(b.column("doc_id").to_pylist(), e.encode([t or "" for t in b.column("text").to_pylist()])):
+                    doc_ids, copies, sizes = b.column("doc_id").to_pylist(), [], []
+                    for doc, raw in zip(doc_ids, e.encode([t or "" for t in b.column("text").to_pylist()])):
                         known = NULL_ID if doc is None else doc
                         copy = copy + 1 if known == before else 0
                         before = known
                         out.write(raw)
                         out.write(last)
-                        doc_ids.append(doc)
                         copies.append(copy)
                         sizes.append(len(raw) // e.kind.itemsize + 1)
-        if not doc_ids:
+                    n, m = np.array(sizes, np.int64), len(sizes)
+                    pos = position + np.cumsum(n) - n
+                    position += int(n.sum())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(doc_ids, pa.int64()), pa.array(copies, pa.int64()), pa.array([part] * m, pa.int32()), pa.array([name] * m), pa.array(pos), pa.array(n)],
+                        names=["doc_id", "copy", "part", "shard", "position", "n_tokens"],
+                    )
+        # a task that fails before this leaves no file of the name that its rows told
+        if position:
+            at.move(path + ".part", path)
+        else:
             at.delete_file(path + ".part")
-            return
-        at.move(path + ".part", path)
-        n = np.array(sizes, np.int64)
-        pos = np.cumsum(n) - n
-        for i in range(0, len(n), 10_000):
-            s = slice(i, i + 10_000)
-            m = len(doc_ids[s])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc_ids[s], pa.int64()), pa.array(copies[s], pa.int64()), pa.array([part] * m, pa.int32()), pa.array([name] * m), pa.array(pos[s]), pa.array(n[s])],
-                names=["doc_id", "copy", "part", "shard", "position", "n_tokens"],
-            )
 
     return run
 
@@ -175,42 +196,69 @@ def _index(root: str):
     return run
 
 
+def _runs(values: np.ndarray):
+    """(first, last + 1) of the runs of equal values."""
+    edge = np.flatnonzero(values[1:] != values[:-1]) + 1
+    return zip([0, *edge.tolist()], [*edge.tolist(), len(values)])
+
+
 def _find(root: str):
-    def run(group, table):
+    """Of rows sorted by index part."""
+
+    def run(batches):
         import pyarrow as pa
 
-        at, path = storage.filesystem(f"{root}/index-{group[0].as_py():06d}.mph")
-        with at.open_input_file(path) as f:
-            index, columns = load_index(f.read())
-        slot = index.find(key_of(_ids(table.column("doc_id")), table.column("copy").to_numpy()))
-        ok = slot >= 0
-        out = {c: table.column(c).filter(pa.array(ok)) for c in ("doc_id", "copy")}
-        out |= {c: pa.array(columns[c][slot[ok]].astype(np.int64)) for c in ("shard_id", "position", "n_tokens")}
-        return pa.table(out)
+        file, known, index = None, None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            part = b.column("index_part").to_numpy()
+            for p, q in _runs(part):
+                if part[p] != known:
+                    if file:
+                        file.close()
+                    at, path = storage.filesystem(f"{root}/index-{part[p]:06d}.mph")
+                    file, known = at.open_input_file(path), part[p]
+                    index = IndexFile(file)
+                rows = b.slice(p, q - p)
+                slot = index.find(key_of(_ids(rows.column("doc_id")), rows.column("copy").to_numpy()))
+                ok = slot >= 0
+                out = [rows.column(c).filter(pa.array(ok)) for c in ("doc_id", "copy")]
+                out += [pa.array(index.take(c, slot[ok]).astype(np.int64)) for c in ("shard_id", "position", "n_tokens")]
+                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "copy", "shard_id", "position", "n_tokens"])
+        if file:
+            file.close()
 
     return run
 
 
 def _read(root: str):
-    def run(group, table):
+    """Of rows sorted by shard and position."""
+
+    def run(batches):
         import pyarrow as pa
 
-        name = table.column("shard")[0].as_py()
-        at, path = storage.filesystem(f"{root}/{name}")
-        table = table.sort_by("position")
-        crc = []
-        with at.open_input_file(path) as f:
-            head = f.read(16)
-            if head[:8] != MAGIC:
-                raise ValueError(f"{name} is no id shard")
-            kind = _KIND[int.from_bytes(head[8:], "little")]
-            for p, n in zip(table.column("position").to_pylist(), table.column("n_tokens").to_pylist()):
-                f.seek(16 + p * kind.itemsize)
-                raw = f.read(n * kind.itemsize)
+        file, known, kind = None, None, None
+        for b in batches:
+            crc = []
+            for name, p, n in zip(*(b.column(c).to_pylist() for c in ("shard", "position", "n_tokens"))):
+                if name != known:
+                    if file:
+                        file.close()
+                    at, path = storage.filesystem(f"{root}/{name}")
+                    file, known = at.open_input_file(path), name
+                    head = file.read(16)
+                    if head[:8] != MAGIC:
+                        raise ValueError(f"{name} is no id shard")
+                    kind = _KIND[int.from_bytes(head[8:], "little")]
+                raw = file.read_at(n * kind.itemsize, 16 + p * kind.itemsize)
                 if len(raw) != n * kind.itemsize:
                     raise ValueError(f"{name} ends early")
                 crc.append(zlib.crc32(np.frombuffer(raw, kind).astype("<u4").tobytes()))
-        return pa.table({"doc_id": table.column("doc_id"), "copy": table.column("copy"), "start": pa.chunked_array([(table.column("position").to_numpy() + table.column("before").to_numpy())]), "n_tokens": table.column("n_tokens"), "ids_crc32": pa.array(crc, pa.int64())})
+            start = pa.array(b.column("position").to_numpy() + b.column("before").to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("copy"), start, b.column("n_tokens"), pa.array(crc, pa.int64())], names=["doc_id", "copy", "start", "n_tokens", "ids_crc32"])
+        if file:
+            file.close()
 
     return run
 
@@ -225,28 +273,45 @@ class TokenStore:
         return F.pmod(F.xxhash64("doc_id", "copy"), F.lit(self.parts)).cast("int").alias("index_part")
 
     def find(self, keys: DataFrame) -> DataFrame:
-        """(doc_id, copy, shard_id, position, n_tokens) of keys (doc_id, copy) that are in the index."""
-        return keys.select("doc_id", "copy", self._part()).groupBy("index_part").applyInArrow(_find(self.root), "doc_id long, copy long, shard_id long, position long, n_tokens long")
+        """(doc_id, copy, shard_id, position, n_tokens) of keys (doc_id, copy) that are in the index, as often as they are
+        asked for. Null ids are keys like others; an empty table finds nothing."""
+        rows = keys.select("doc_id", "copy", self._part()).repartition("index_part").sortWithinPartitions("index_part")
+        return rows.mapInArrow(_find(self.root), "doc_id long, copy long, shard_id long, position long, n_tokens long")
 
     def read(self, found: DataFrame) -> DataFrame:
-        """Reads the ids of found documents from their shards: doc_id, copy, start (ids before it), n_tokens, ids_crc32."""
-        rows = found.join(storage.small(self.shards), "shard_id")
-        return rows.groupBy("shard_id").applyInArrow(_read(self.root), "doc_id long, copy long, start long, n_tokens long, ids_crc32 long")
+        """Reads the ids of found documents from their shards: doc_id, copy, start (ids before it), n_tokens, ids_crc32.
+        A shard that is missing, foreign or short raises."""
+        rows = found.join(storage.small(self.shards), "shard_id").repartition("shard_id").sortWithinPartitions("shard_id", "position")
+        return rows.mapInArrow(_read(self.root), "doc_id long, copy long, start long, n_tokens long, ids_crc32 long")
+
+
+def _counted(raw: DataFrame) -> DataFrame:
+    """Entries whose copies count on where rows of one doc_id go over several shards."""
+    heads = raw.where("position = 0").select("doc_id").distinct()  # a row for each shard at most
+    counts = raw.join(F.broadcast(heads), raw["doc_id"].eqNullSafe(heads["doc_id"]), "left_semi").groupBy("doc_id", "part").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("doc_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    more = storage.persist(counts.withColumn("more", F.sum("n").over(order)).where("more > 0").select(F.col("doc_id").alias("_doc"), F.col("part").alias("_part"), "more"), "copies")
+    if more.isEmpty():
+        storage.drop(more)
+        return raw
+    both = raw.join(F.broadcast(more), raw["doc_id"].eqNullSafe(more["_doc"]) & (raw["part"] == more["_part"]), "left")
+    return storage.persist(both.withColumn("copy", F.col("copy") + F.coalesce("more", F.lit(0))).select(raw.columns), "entries")
 
 
 def write_store(docs: DataFrame, tokenizer: str, end: int, root: str | None = None) -> TokenStore:
     """Encodes every row of ``docs`` (doc_id, text), ids in ascending doc_id order with ``end`` after each document.
 
-    A null or empty text is ``end`` alone. Rows that repeat a doc_id are kept side by side and keyed by their number.
-    A null doc_id comes before all others. Other columns are ignored; an empty table gives an empty
+    A null or empty text is ``end`` alone; long texts are encoded whole. Rows that repeat a doc_id are kept side by side
+    and keyed by their number, in an order by a hash of their text. A null doc_id comes before all others. Other columns are ignored; an empty table gives an empty
     store. Shard names hold a random part, so a task that runs again never meets its own leavings.
     """
     spark = docs.sparkSession
     root = root or storage.new_path(spark, "tokens")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = F.coalesce("doc_id", F.lit(NULL_ID))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, order).sortWithinPartitions(order)
-    entries = storage.persist(rows.mapInArrow(_write(root, tokenizer, end), "doc_id long, copy long, part int, shard string, position long, n_tokens long"), "entries")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    n = max(1, -(-(rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16)).first()[0] or 0) // SHARD_BYTES))
+    order = [F.coalesce("doc_id", F.lit(NULL_ID)), F.xxhash64("text")]
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    entries = _counted(storage.persist(rows.mapInArrow(_write(root, tokenizer, end), "doc_id long, copy long, part int, shard string, position long, n_tokens long"), "entries"))
     totals = entries.groupBy("part", "shard").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
     shards = storage.persist(totals.select(F.col("part").cast("long").alias("shard_id"), "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "shards")

@@ -120,11 +120,25 @@ def test_perfect_hash():
     assert sorted(h.slots(keys)) == list(range(20000)) and (h.find(keys) >= 0).all()
     other = token_store.key_of(np.arange(50000, 60000), np.zeros(10000, np.int64))
     assert (h.find(other) < 0).sum() >= 9999
-    again, columns = token_store.load_index(token_store.dump_index(h, {"x": np.arange(20000)}))
-    assert (again.find(keys) == h.find(keys)).all() and columns["x"][5] == 5
+    import pyarrow as pa
 
+    class Counting:
+        def __init__(self, data):
+            self.file, self.n = pa.BufferReader(data), 0
 
-def test_token_store(spark):
+        def read_at(self, n, at):
+            self.n += n
+            return self.file.read_at(n, at)
+
+    data = token_store.dump_index(h, {"x": np.arange(20000)})
+    again = token_store.IndexFile(Counting(data))
+    assert (again.find(keys) == h.find(keys)).all() and again.take("x", np.array([5])).tolist() == [5]
+    few = token_store.IndexFile(file := Counting(data))
+    assert (few.find(keys[:20]) == h.find(keys[:20])).all() and (few.find(other[:20]) < 0).all() and not few.arrays or file.n < len(data) // 4
+    assert file.n < 20_000 < len(data)
+
+
+def test_token_store(spark, monkeypatch):
     s = token_store.write_store(docs(spark), tokenizer_path(), end=0)
     got = sorted(tuple(r) for r in s.read(s.find(s.entries)).collect())
     want, at, seen = [], 0, {}
@@ -138,6 +152,14 @@ def test_token_store(spark):
     assert [r.doc_id for r in s.find(keys).collect()] == [1]
     null = token_store.write_store(docs(spark, [(None, "a b"), (None, "c"), (1, "d")]), tokenizer_path(), end=0)
     assert sorted((r.doc_id or -1, r.n_tokens) for r in null.read(null.find(null.entries)).collect()) == [(-1, 2), (-1, 3), (1, 2)]
+    monkeypatch.setattr(token_store, "SHARD_BYTES", 200)
+    rows = [(7, f"text {i} " * (i % 9)) for i in range(60)] + [(None, f"n{i}") for i in range(30)] + [(8, "end")]
+    many = token_store.write_store(docs(spark, rows), tokenizer_path(), end=0)
+    out = many.read(many.find(many.entries)).collect()
+    assert many.shards.count() > 3 and len(out) == 91 and sorted(r.copy for r in out if r.doc_id == 7) == list(range(60)) and sorted(r.copy for r in out if r.doc_id is None) == list(range(30))
+    assert sorted(r.n_tokens for r in out if r.doc_id == 7) == sorted(len(library_ids(t, 0)) for d, t in rows if d == 7)
+    out.sort(key=lambda r: r.start)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(out, out[1:])) and [r.doc_id for r in out] == [None] * 30 + [7] * 60 + [8]
     none = token_store.write_store(empty(spark), tokenizer_path(), end=0)
     assert none.read(none.find(none.entries)).collect() == []
 
