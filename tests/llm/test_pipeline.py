@@ -91,3 +91,27 @@ def test_held_out_rule(spark):
 
     got = {r[0]: r[1] for r in spark.range(100).withColumnRenamed("id", "doc_id").select("doc_id", held_out()).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in range(100)}
+
+
+def test_stages_on_odd_rows(spark, tables, tmp_path):
+    """Nulls, empties, repeated rows, very long texts and clashing columns: no stage fails or changes what it keeps."""
+    d, rows, _ = tables
+    long = "one calm sentence about rivers. " * 9000
+    odd = [(1, None, 5, "x"), (1, None, 5, "x"), (2, "", None, None), (None, "no id at all here", 1, "y"), (3, rows[3], 2, "z"), (3, rows[3], 2, "z"), (3, "another text of the same id", 2, "z"), (4, long, 0, "l"), (5, long + "end", 0, "l")]
+    docs = spark.createDataFrame([(*x, 7.0, 1, "k", len(x[1] or "")) for x in odd], "doc_id long, text string, predicted int, score string, id double, _id int, label string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, d)
+        assert stage(spark, docs.limit(0), d).collect() == []
+        if name == "best_fit_packing":
+            assert out.where("doc_id IS NULL").count() == 1 and out.where("doc_id = 1").count() == 2
+            break
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert sum(r.doc_id == 1 and r.text is None for r in got) == 2 and sum(r.doc_id is None for r in got) == 1 and sum(r.doc_id == 2 and r.text == "" and r.score is None for r in got) == 1
+        assert {(r.predicted, r.score) for r in got if r.doc_id == 3} == {(2, "z")}
+        if name == "ngram_jaccard_join":
+            assert {r.doc_id for r in got} == {1, 2, 3, 4, None}
+        elif name == "substring_dedup":
+            assert sorted(r.text for r in got if r.doc_id == 3) == sorted(t for i, t, *_ in odd if i == 3) and len(next(r.text for r in got if r.doc_id == 5)) < 500
+        else:
+            assert len(got) == len(odd)
