@@ -36,9 +36,9 @@ from sluice.llm.shingles import mix, shingle_sets
 #: Fragments of the global order: segments on which partial overlaps are counted. A power of two.
 FRAGMENTS = 8
 #: A bucket of the candidate search gets about so many keys.
-BUCKET_KEYS = 1_500_000
+BUCKET_KEYS = 800_000
 #: Keys that a task gathers before it sends them, and sets of these at most.
-FLUSH_KEYS, FLUSH_SETS = 1_000_000, 1 << 16
+FLUSH_KEYS, FLUSH_SETS = 400_000, 1 << 16
 #: So many sets of one component that share a key travel one by one; more in one task go as their component.
 PACK = 8
 #: A list of several components gives its cross pairs up to so many a member. Longer ones are compared in blocks.

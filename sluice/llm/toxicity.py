@@ -36,6 +36,8 @@ SHARE = 0.01
 LEAK = 0.02
 #: Learned stems that are kept, the heaviest first.
 STEMS = 4000
+#: Texts that a task holds as Python strings at a time.
+SLICE = 500
 
 # fixed values: words of the grammar
 INSULTS = {w: 3.0 for w in ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "imbecile", "vermin")}
@@ -273,7 +275,7 @@ def held_out():
 def _stem_rows(batches):
     import pyarrow as pa
 
-    for b in batches:
+    for b in (big.slice(i, SLICE) for big in batches for i in range(0, big.num_rows, SLICE)):
         rows = stem_counts(zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["stem", "around", "toxic", "clean"])
 
@@ -282,7 +284,7 @@ def _totals(grammar: Grammar):
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in (big.slice(i, SLICE) for big in batches for i in range(0, big.num_rows, SLICE)):
             total = [sum(grammar.clauses(t)) if t else 0.0 for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(total, pa.float64()), b.column("toxic")], names=["total", "toxic"])
 
@@ -314,13 +316,17 @@ def fit(docs: DataFrame, labels: DataFrame, without: str = "") -> Grammar:
     return grammar
 
 
-def _scores(grammar: Grammar):
+def _scores(grammar: Grammar, text_at: int):
+    """Of struct columns row, whose field ``text_at`` is the text."""
+
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            s = [grammar.score(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(s, pa.float64())], names=["row", "score"])
+        for big in batches:
+            for i in range(0, big.num_rows, SLICE):
+                row = big.column(0).slice(i, SLICE)
+                s = [grammar.score(t) for t in row.field(text_at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([row, pa.array(s, pa.float64())], names=["row", "score"])
 
     return run
 
@@ -336,7 +342,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, without: str = "", names:
     docs = docs.drop(*names)
     grammar = fit(docs, labels, without)
     row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    out = docs.select("text", row.alias("row"))
-    out = out.mapInArrow(_scores(grammar), f"row {out.schema['row'].dataType.simpleString()}, score double")
+    out = docs.select(row.alias("row"))
+    out = out.mapInArrow(_scores(grammar, docs.columns.index("text")), f"row {out.schema['row'].dataType.simpleString()}, score double")
     kept = [F.col("row").getField(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
     return out.select(*kept, F.col("score").alias(names[0]), (F.col("score") >= 0.5).cast("int").alias(names[1]))
