@@ -18,23 +18,40 @@ def percentile_ranked(values: Column, percent: int) -> Column:
     return F.get(values, F.least(F.floor(n * percent / 100), n - 1).cast("int"))
 
 
+#: Buckets for each factor of e in a value.
+BUCKETS = 128
+
+
 def latency_percentiles(df: DataFrame, keys: list[str], value: str, rule: str = "collector") -> DataFrame:
     """p50, p90, p99, sum, count and average of ``value`` by ``keys``.
 
-    Values are counted first, so a key's state is its distinct values, not its rows: cumulative counts then give the
-    element at a rank. The collector's average is an integer, the viewer's a double.
+    Values are counted first, so a key's state is its distinct values, not its rows. Counts by ranges of values, each
+    about one hundredth wide, tell which ranges hold the ranks; only their values are sorted, each range by itself. The
+    collector's average is an integer, the viewer's a double.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    upto = counts.withColumn("_upto", F.sum("_n").over(w)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
+    v = F.col(value).cast("double")
+    counts = counts.withColumn("_range", F.floor(F.signum(v) * F.log(F.abs(v) + 1) * BUCKETS).cast("bigint"))
+    ranges = counts.groupBy(*keys, "_range").agg(F.sum("_n").alias("_in"), F.sum(F.col(value) * F.col("_n")).alias("_sum"))
+    w = Window.partitionBy(*keys)
+    ranges = ranges.withColumns({"_upto": F.sum("_in").over(w.orderBy("_range")), "_all": F.sum("_in").over(w), "_total": F.sum("_sum").over(w)})
 
     def rank(p: int) -> Column:
         if rule == "collector":
             return F.floor((F.col("_all") - 1) * F.lit(p / 100))
         return F.least(F.floor(F.col("_all") * p / 100), F.col("_all") - 1)
 
-    at = lambda p: F.min(F.when(F.col("_upto") > rank(p), F.col(value))).alias(f"p{p}")
-    total, n = F.sum(F.col(value) * F.col("_n")), F.sum("_n")
+    before = F.col("_upto") - F.col("_in")
+    holds = {p: (before <= rank(p)) & (F.col("_upto") > rank(p)) for p in (50, 90, 99)}
+    asked = ranges.withColumns({f"_p{p}": h for p, h in holds.items()}).where("_p50 OR _p90 OR _p99")
+    asked = asked.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_range").alias("_r"), before.alias("_before"), "_all", "_total", "_p50", "_p90", "_p99")
+    same = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    within = Window.partitionBy(*keys, "_range").orderBy(value)
+    upto = counts.join(asked, same).withColumn("_upto", F.col("_before") + F.sum("_n").over(within))
+    at = lambda p: F.min(F.when(F.col(f"_p{p}") & (F.col("_upto") > rank(p)), F.col(value))).alias(f"p{p}")
+    total, n = F.max("_total"), F.max("_all")
     avg = F.floor(F.try_divide(total, n)).cast("bigint") if rule == "collector" else F.try_divide(total.cast("double"), n.cast("double"))
     return upto.groupBy(*keys).agg(at(50), at(90), at(99), total.alias("total"), n.alias("n"), avg.alias("average"))
 

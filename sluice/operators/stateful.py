@@ -2,7 +2,9 @@
 
 Counting without timeouts is a row number. Windows that start at a key's first message (and restart after a flush), and
 a time to live that counts from the last accepted message, are sequential per key: rows are dealt by key, sorted within
-the partition, and folded in Arrow batches with a state of a few numbers, so no group is ever gathered whole.
+the partition, and folded in Arrow batches with a state of a few numbers, so no group is ever gathered whole. Where a
+column makes rows unique, only key, time and that column are dealt and folded, and the number comes back by a join on
+it: messages never go through Python, and a hot key's bodies don't meet in one task.
 """
 
 from __future__ import annotations
@@ -40,13 +42,14 @@ class _Fold:
             ts = b.column("_t").to_numpy(zero_copy_only=False).astype(np.int64)
             n = b.num_rows
             out = np.zeros(n, np.int64)
-            if n:
-                text = keys.fill_null("\0null").to_numpy(zero_copy_only=False)
-                ends = np.append(np.flatnonzero(text[1:] != text[:-1]) + 1, n)
+            if n:  # a null key is a key of its own, whatever texts there are
+                null = keys.is_null().to_numpy(zero_copy_only=False)
+                text = keys.fill_null("").to_numpy(zero_copy_only=False)
+                ends = np.append(np.flatnonzero((text[1:] != text[:-1]) | (null[1:] != null[:-1])) + 1, n)
                 start = 0
                 for end in ends:
-                    if text[start] != key:
-                        key, state = text[start], None
+                    if (null[start], text[start]) != key:
+                        key, state = (null[start], text[start]), None
                     out[start:end], state = self.one(ts[start:end], state)
                     start = end
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*b.schema.names, self.name])
@@ -59,6 +62,14 @@ def fold(df: DataFrame, one, name: str) -> DataFrame:
     return dealt.mapInArrow(_Fold(one, name), f"{fields}, `{name}` long")
 
 
+def numbered(df: DataFrame, one, name: str, unique: bool) -> DataFrame:
+    """``fold`` over narrow rows where ``_id`` is unique."""
+    if not unique:
+        return fold(df, one, name)
+    n = fold(df.select("_key", "_t", "_id"), one, name).select("_id", name)
+    return df.join(n, "_id")
+
+
 def first_anchored(window: int, most: int):
     """Bucket numbers: a bucket opens at its first row, lasts ``window`` and flushes early at ``most`` rows."""
 
@@ -133,7 +144,7 @@ def aggregate(
     also when that long has passed since its first message. ``time_window``: a group opens at its first message, lasts
     ``window_ms`` and flushes early at ``max_messages``. What is open at the end of the input is emitted too.
 
-    The order is (ingested_at, ``tie``); ``tie`` names a column that makes it unique. Groups are bounded by count, so no
+    The order is (ingested_at, ``tie``); ``tie`` names a column without nulls that is unique. Groups are bounded by count, so no
     key is ever gathered whole. Null keys fail, or pass unaggregated (skip): those go to the context's side output
     "unaggregated".
     """
@@ -152,11 +163,11 @@ def aggregate(
         live, most = live.withColumn("_bucket", F.floor((n - 1) / count)), count
     elif strategy == "count":
         wait = timeout_ms if timeout_ms >= 100 else TIMEOUT_MS
-        live, most = fold(live, first_anchored(wait * 1000, count), "_bucket"), count
+        live, most = numbered(live, first_anchored(wait * 1000, count), "_bucket", bool(tie)), count
     elif strategy == "time_window":
         if window_ms < 100:
             raise ValueError("window_ms is at least 100")
-        live, most = fold(live, first_anchored(window_ms * 1000, max_messages), "_bucket"), max_messages
+        live, most = numbered(live, first_anchored(window_ms * 1000, max_messages), "_bucket", bool(tie)), max_messages
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
     row = F.struct("_t", "_id", "body", "headers", "metadata")
@@ -198,7 +209,11 @@ def idempotent(df: DataFrame, key: str, ttl_minutes: int | None = TTL_MINUTES, t
     if ttl_minutes is None:
         live = live.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("_t", "_id"))).where("_n = 1").drop("_n")
     else:
-        live = fold(live, accepted(ttl_minutes * 60_000_000), "_keep").where("_keep = 1").drop("_keep")
+        rule = accepted(ttl_minutes * 60_000_000)
+        if tie:
+            live = live.join(fold(live.select("_key", "_t", "_id"), rule, "_keep").where("_keep = 1").select("_id"), "_id", "left_semi")
+        else:
+            live = fold(live, rule, "_keep").where("_keep = 1").drop("_keep")
     return live.drop("_key", "_t", "_id").unionByName(dead)
 
 
@@ -214,5 +229,5 @@ def rate_limit(df: DataFrame, domain: str, limit: int, window_ms: int = 1000, ti
     """Adds ``admitted``: whether a message is within its domain's limit in the fixed window that the first message
     opens. A limit of 0 admits all."""
     out = df.withColumns({"_key": F.col(domain).cast("string"), "_t": F.coalesce(F.unix_micros("metadata.ingested_at"), F.lit(0)), "_id": F.col(tie) if tie else F.lit(0)})
-    out = fold(out, limited(window_ms * 1000, limit), "_in")
+    out = numbered(out, limited(window_ms * 1000, limit), "_in", bool(tie))
     return out.withColumn("admitted", F.col("_in") == 1).drop("_key", "_t", "_id", "_in")

@@ -68,7 +68,8 @@ def wiretap(df: DataFrame, sink: str, at: int = 0, ctx: Context | None = None) -
 
 
 def authorize(df: DataFrame, mode: str, require_roles: list[str] | None = None, expr: str | None = None, at: int = 0, ctx: Context | None = None, decisions: DataFrame | None = None, on_deny: str | None = None) -> DataFrame:
-    """rbac: any role in common; abac: a truthy expression; pbac: a decision table (subject, allow, reason, obligations)."""
+    """rbac: any role in common; abac: a truthy expression; pbac: a decision table (subject, allow, reason). Of several
+    decisions on a subject a denial wins, the one with the first reason; a null ``allow`` denies."""
     before = df
     principal = F.col("metadata.principal")
     denied = "authorization_denied: "
@@ -84,7 +85,9 @@ def authorize(df: DataFrame, mode: str, require_roles: list[str] | None = None,
     elif mode == "pbac":
         if decisions is None:
             raise ValueError("pbac needs decisions")
-        d = decisions.select(F.col("subject").alias("_subject"), F.col("allow").alias("_allow"), (F.col("reason") if "reason" in decisions.columns else F.lit(None).cast("string")).alias("_reason"))
+        reason = F.col("reason") if "reason" in decisions.columns else F.lit(None).cast("string")
+        one = F.min(F.struct(F.coalesce("allow", F.lit(False)).alias("allow"), reason.isNull().alias("bare"), reason.alias("reason"))).alias("d")
+        d = decisions.where("subject IS NOT NULL").groupBy(F.col("subject").alias("_subject")).agg(one).select("_subject", F.col("d.allow").alias("_allow"), F.col("d.reason").alias("_reason"))
         df = df.join(d, F.col("metadata.principal.subject") == F.col("_subject"), "left")
         df = fail(df, ~F.coalesce("_allow", F.lit(False)), F.concat(F.lit(denied), F.coalesce("_reason", F.lit("denied by policy"))), at, "authorize").drop("_subject", "_allow", "_reason")
     else:
@@ -142,13 +145,16 @@ def _redacted(v: Value, parts: list[str], replacement: str, deep: bool) -> Colum
 
 def redact(df: DataFrame, fields: list[str], replacement: str = "***REDACTED***", depth: str = "shallow", at: int = 0, ctx: Context | None = None, timestamp: Column | None = None) -> DataFrame:
     """Replaces dotted paths of the body; missing paths are ignored, ``*`` stands for every field, depth deep or
-    recursive also goes through arrays. A variant body is redacted in Python, in Arrow batches."""
+    recursive also goes through arrays. Other values stay as they are, to the digit."""
     if not fields:
         raise ValueError("redact_fields obligation 'fields' array is empty")
     deep = depth in ("deep", "recursive")
     kind = df.schema["body"].dataType
     if isinstance(kind, T.VariantType):
-        new = F.try_parse_json(_redact_json(tuple(fields), replacement, deep)(F.to_json("body")))
+        new = F.col("body")
+        for path in fields:
+            # bound by a lambda, so that what earlier paths made is computed once
+            new = F.get(F.transform(F.array(new), lambda v: _redacted_variant(v, path.split("."), replacement, deep)), F.lit(0))  # noqa: B023
         df = df.withColumn("body", F.when(ok(), new).otherwise(F.col("body")))
     else:
         for path in fields:
@@ -160,37 +166,37 @@ def redact(df: DataFrame, fields: list[str], replacement: str = "***REDACTED***"
     return with_meta(df, obligation_facet=facet)
 
 
-def _redact_json(paths: tuple[str, ...], replacement: str, deep: bool):
+#: Arrays in arrays that a deep path goes through, one in the other without an object between.
+NESTED = 2
+
+
+def _redacted_variant(v: Column, parts: list[str], replacement: str, deep: bool, nested: int = 0) -> Column:
+    """A variant with a path replaced; as it is where there is no such path. Objects are taken apart one level a part."""
+    part, last = parts[0], len(parts) == 1
+    kind = F.schema_of_variant(v)
+    text = F.parse_json(F.lit(_json_text(replacement)))
+
+    def field(k, x):
+        if last:
+            new = text
+        elif part == "*" and not deep:
+            return x
+        else:
+            new = _redacted_variant(x, parts[1:], replacement, deep)
+        return new if part == "*" else F.when(k == part, new).otherwise(x)
+
+    fields = F.try_variant_get(v, "$", "map<string,variant>")
+    out = F.when(kind.startswith("OBJECT<"), F.to_variant_object(F.transform_values(fields, field)))
+    if deep and nested < NESTED:
+        each = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: _redacted_variant(x, parts, replacement, deep, nested + 1))
+        out = out.when(kind.startswith("ARRAY<"), F.to_variant_object(each))
+    return out.otherwise(v)
+
+
+def _json_text(x: str) -> str:
     import json
 
-    import pandas as pd
-
-    def walk(x, parts):
-        if isinstance(x, list):
-            if deep:
-                for y in x:
-                    walk(y, parts)
-        elif isinstance(x, dict):
-            names = list(x) if parts[0] == "*" else [parts[0]] if parts[0] in x else []
-            for n in names:
-                if len(parts) == 1:
-                    x[n] = replacement
-                elif isinstance(x[n], dict) and parts[0] != "*" or deep:
-                    walk(x[n], parts[1:])
-
-    @F.pandas_udf("string")
-    def run(texts):
-        out = []
-        for t in texts:
-            if t is not None:
-                x = json.loads(t)
-                for p in paths:
-                    walk(x, p.split("."))
-                t = json.dumps(x)
-            out.append(t)
-        return pd.Series(out, dtype=object)
-
-    return run
+    return json.dumps(x)
 
 
 def obligations(df: DataFrame, items: list[dict], at: int = 0, ctx: Context | None = None) -> DataFrame:
@@ -254,7 +260,8 @@ def claim_resolve(df: DataFrame, blobs: DataFrame, ticket_field: str = "_claim_c
     if not has:
         return df
     t = f"body.`{ticket_field}`"
-    b = blobs.select(F.col("ticket").alias("_ticket"), F.col("payload").alias("_payload"))
+    # a ticket may be stored several times
+    b = blobs.where("ticket IS NOT NULL").groupBy(F.col("ticket").alias("_ticket")).agg(F.min("payload").alias("_payload"))
     out = df.join(b, F.col(f"{t}.ticket") == F.col("_ticket"), "left")
     given = F.col(f"{t}.ticket").isNotNull()
     out = fail(out, given & F.col("_ticket").isNull(), "claim resolve: ticket not found", at, "claim_resolve")

@@ -248,6 +248,27 @@ def redact_fields(spark, d):
     )
 
 
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN 'authorization_denied: denied by policy' WHEN c_custkey % 10 = 0 THEN 'authorization_denied: a' END AS error FROM customer""")
+def authorize_pdp_repeated(spark, d):
+    """Several decisions on a subject, also equal ones: messages stay as many as they are, and a denial wins."""
+    c = table(spark, d, "customer")
+    p = F.struct(F.col("c_custkey").cast("string").alias("subject"), F.array().cast("array<string>").alias("roles"), F.create_map().cast("map<string,string>").alias("claims"), F.lit(None).cast("string").alias("token"))
+    s = c.where("c_custkey % 5 = 0").select(F.col("c_custkey").cast("string").alias("subject"), "c_custkey")
+    allow, deny = s.select("subject", F.lit(True).alias("allow"), F.lit("ok").alias("reason")), s.where("c_custkey % 10 = 0")
+    decisions = allow.union(allow).union(deny.select("subject", F.lit(False), F.lit("b"))).union(deny.select("subject", F.lit(False), F.lit("a")))
+    df = steps.authorize(envelope(c, principal=p), "pbac", decisions=decisions)
+    return df.select(F.col("body.c_custkey").alias("c_custkey"), F.col("_error.error").alias("error"))
+
+
+@query("SELECT event_id, '{\"k\":\"#\",\"list\":[{\"k\":\"#\",\"n\":1.5}],\"o\":{\"big\":12345678901234567890,\"k\":\"#\"}}' AS deep, '{\"k\":\"#\",\"list\":[{\"k\":1,\"n\":1.5}],\"o\":{\"big\":12345678901234567890,\"k\":2}}' AS shallow FROM events")
+def redact_variant_paths(spark, d):
+    """Paths through objects and arrays of a body without a schema; large numbers keep their digits."""
+    text = F.lit('{"k": 0, "o": {"k": 2, "big": 12345678901234567890}, "list": [{"k": 1, "n": 1.5}]}')
+    e = envelope(table(spark, d, "events"), F.parse_json(text), keep=("event_id",))
+    deep = steps.redact(e, ["k", "o.k", "list.k", "o.none.k"], "#", "deep").select("event_id", F.to_json("body").alias("deep"))
+    return deep.join(steps.redact(e, ["k", "list.k"], "#").select("event_id", F.to_json("body").alias("shallow")), "event_id")
+
+
 @query("SELECT event_id, '***REDACTED***' AS k FROM events")
 def redact_variant(spark, d):
     e = table(spark, d, "events")
@@ -309,7 +330,7 @@ def claim_resolve(spark, d):
     doc = table(spark, d, "documents")
     df, blobs = steps.claim_check(envelope(doc, F.struct("doc_id", "source")), remove_payload=True)
     kept = blobs.where(F.try_variant_get(F.parse_json("payload"), "$.doc_id", "bigint") % 10 != 0)
-    out = steps.claim_resolve(df, kept)
+    out = steps.claim_resolve(df, kept.union(kept))  # a ticket that is stored twice stands for one blob
     return out.select(F.when(F.col("_error").isNull(), F.col("body")).alias("payload"), F.col("_error.error").alias("error")).groupBy("payload", "error").agg(F.count("*").alias("n"))
 
 
@@ -499,10 +520,10 @@ def lineage_counts(spark, d):
     return lineage.count_by_subject(records(spark, d))
 
 
-@query(f"SELECT a.id AS origin, r.id FROM {_REC} JOIN (SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS subject_id FROM orders WHERE o_orderkey % 500 = 1) a USING (subject_id)")
+@query(f"SELECT a.id AS origin, r.id FROM {_REC} JOIN (SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS subject_id FROM orders) a USING (subject_id)")
 def provenance(spark, d):
     r = records(spark, d)
-    asked = table(spark, d, "orders").where("o_orderkey % 500 = 1").select(F.col("o_orderkey").cast("string").alias("id"))
+    asked = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"))
     return lineage.provenance(r, asked).select("origin", "id")
 
 
@@ -696,13 +717,15 @@ def http_ingest(spark, d):
     return all_.select("event_id", "status").join(routes, "event_id", "left")
 
 
-@query("SELECT event_id, 'u' || user_id AS subject, 2 AS roles, 'eu' AS region FROM events WHERE event_id % 3 <> 0")
+@query("SELECT event_id, 'u' || user_id AS subject, 2 AS roles, 'eu' AS region FROM events WHERE event_id % 3 <> 0 AND event_id % 7 <> 0")
 def jwt_principal(spark, d):
     e = table(spark, d, "events")
     enc = lambda c: F.replace(F.replace(F.regexp_replace(F.base64(c.cast("binary")), "=|\\r|\\n", ""), F.lit("+"), F.lit("-")), F.lit("/"), F.lit("_"))
     claims = F.when(F.col("event_id") % 3 != 0, F.to_json(F.struct(F.concat(F.lit("u"), "user_id").alias("sub"), F.array(F.lit("a"), F.lit("b")).alias("roles"), F.lit("eu").alias("region")))).otherwise(F.lit("{}"))
-    token = F.concat_ws(".", enc(F.lit('{"alg":"HS256"}')), enc(claims), F.lit("sig"))
-    p = e.select("event_id", readers.jwt_principal(token).alias("p")).where("p IS NOT NULL")
+    signed = F.concat_ws(".", enc(F.lit('{"alg":"HS256"}')), enc(claims))
+    key = lambda k: F.unhex(readers.hmac_sha256(k, signed))
+    token = F.concat_ws(".", signed, enc(F.when(F.col("event_id") % 7 != 0, key("secret")).otherwise(key("another"))))
+    p = e.select("event_id", readers.jwt_principal(token, "secret").alias("p")).where("p IS NOT NULL")
     return p.select("event_id", F.col("p.subject").alias("subject"), F.size("p.roles").alias("roles"), F.col("p.claims")["region"].alias("region"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,7 +74,9 @@ def http_messages(requests: DataFrame, require_auth: bool = False, principals: D
     body = F.try_parse_json("body")
     df = requests.withColumns({"_token": token, "_body": body})
     if principals is not None:
-        df = df.join(principals.select(F.col("token").alias("_t"), F.col("principal").alias("_principal")), F.col("_token") == F.col("_t"), "left").drop("_t")
+        # a token that is listed several times stands for the first of its principals, as JSON sorts them
+        known = principals.where("token IS NOT NULL").groupBy(F.col("token").alias("_t")).agg(F.min_by("principal", F.to_json("principal")).alias("_principal"))
+        df = df.join(known, F.col("_token") == F.col("_t"), "left").drop("_t")
     else:
         df = df.withColumn("_principal", F.lit(None).cast("struct<subject:string,roles:array<string>,claims:map<string,string>,token:string>"))
     status = F.when(~F.col("method").isin("POST", "GET"), 405)
@@ -91,41 +94,65 @@ _CLAIMS = "map<string,string>"
 STANDARD_CLAIMS = ("iss", "sub", "aud", "exp", "nbf", "iat", "jti", "roles")
 
 
-def jwt_principal(token: Column, secret: str | None = None, now: Column | None = None) -> Column:
-    """A principal of a JWT; NULL if it is malformed, expired, has no subject, or its HMAC-SHA256 doesn't fit."""
+def jwt_principal(token: Column, secret: str | None = None, now: Column | None = None, rsa: tuple[int, int] | None = None, unsigned: bool = False) -> Column:
+    """A principal of a JWT; NULL if it is malformed, expired, has no subject, or its signature doesn't fit: HS256 with a
+    ``secret``, RS256 with an ``rsa`` key (modulus, exponent). Only ``unsigned=True`` passes tokens unverified."""
+    if secret is None and rsa is None and not unsigned:
+        raise ValueError("a secret or an RSA key is needed, or unsigned=True")
     part = lambda i: F.replace(F.replace(F.get(F.split(token, r"\."), F.lit(i)), F.lit("-"), F.lit("+")), F.lit("_"), F.lit("/"))
     padded = lambda s: F.concat(s, F.repeat(F.lit("="), F.pmod(-F.length(s), F.lit(4)).cast("int")))
-    claims = F.try_parse_json(F.try_to_binary(padded(part(1)), F.lit("base64")).cast("string"))
+    decoded = lambda i: F.try_to_binary(padded(part(i)), F.lit("base64"))
+    claims = F.try_parse_json(decoded(1).cast("string"))
     text = lambda n: F.try_variant_get(claims, f"$.{n}", "string")
     roles = F.coalesce(F.try_variant_get(claims, "$.roles", "array<string>"), F.when(F.schema_of_variant(F.try_variant_get(claims, "$.roles", "variant")) == "STRING", F.array(text("roles"))), F.array().cast("array<string>"))
     other = F.map_filter(F.coalesce(F.try_variant_get(claims, "$", _CLAIMS), F.create_map().cast(_CLAIMS)), lambda k, v: ~k.isin(*STANDARD_CLAIMS) & v.isNotNull())
     exp = F.try_variant_get(claims, "$.exp", "double")
     ok = text("sub").isNotNull() & (exp.isNull() | (exp > F.unix_timestamp(F.current_timestamp() if now is None else now)))
-    if secret is not None:
-        ok = ok & F.coalesce(hmac_sha256(secret)(token), F.lit(False))
+    if secret is not None or rsa is not None:
+        algorithm = F.try_variant_get(F.try_parse_json(decoded(0).cast("string")), "$.alg", "string")
+        signed = F.regexp_extract(token, r"^([^.]*\.[^.]*)\.[^.]*$", 1)
+        fits = F.lit(False)
+        if secret is not None:
+            fits = F.when(algorithm == "HS256", F.lower(F.hex(decoded(2))) == hmac_sha256(secret, signed)).otherwise(fits)
+        if rsa is not None:
+            fits = F.when(algorithm == "RS256", rsa_sha256(*rsa)(signed, decoded(2))).otherwise(fits)
+        ok = ok & F.coalesce(fits, F.lit(False))
     return F.when(ok, F.struct(text("sub").alias("subject"), roles.alias("roles"), other.alias("claims"), token.alias("token")))
 
 
-def hmac_sha256(secret: str):
-    """Whether a JWT's HMAC-SHA256 signature fits, in Arrow batches."""
+def hmac_sha256(secret: str, text: Column) -> Column:
+    """HMAC-SHA256 of a text in lower-case hex."""
+    import hashlib
+
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner = F.sha2(F.concat(F.lit(bytes(b ^ 0x36 for b in key)), text.cast("binary")), 256)
+    return F.sha2(F.concat(F.lit(bytes(b ^ 0x5C for b in key)), F.unhex(inner)), 256)
+
+
+# fixed value: what stands before a SHA-256 digest in a signature of PKCS #1 v1.5
+_DIGEST_INFO = bytes.fromhex("3031300d060960864801650304020105000420")
+
+
+def rsa_sha256(modulus: int, exponent: int):
+    """Whether a signature (binary) of a text fits an RSA key, by PKCS #1 v1.5 with SHA-256; in Arrow batches, as numbers
+    of that size have no built-in functions."""
+    size = (modulus.bit_length() + 7) // 8
+
     @F.pandas_udf("boolean")
-    def fits(tokens):
-        import base64
+    def fits(texts, signatures):
         import hashlib
-        import hmac
-        import json
-
-        def one(t):
-            try:
-                head, body, sign = t.split(".")
-                if json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4))).get("alg") != "HS256":
-                    return False
-                want = hmac.new(secret.encode(), f"{head}.{body}".encode(), hashlib.sha256).digest()
-                return hmac.compare_digest(want, base64.urlsafe_b64decode(sign + "=" * (-len(sign) % 4)))
-            except (ValueError, AttributeError):
+
+        import pandas as pd
+
+        def one(text, signature):
+            if text is None or signature is None or len(signature) != size:
                 return False
+            want = _DIGEST_INFO + hashlib.sha256(text.encode()).digest()
+            want = b"\0\1" + b"\xff" * (size - len(want) - 3) + b"\0" + want
+            return pow(int.from_bytes(signature, "big"), exponent, modulus) == int.from_bytes(want, "big")
 
-        return tokens.map(one)
+        return pd.Series([one(t, s) for t, s in zip(texts, signatures)], dtype=bool)
 
     return fits
 
@@ -150,7 +177,9 @@ def kafka_messages(spark: SparkSession, servers: str, topic: str, starting: str
         r = r.option("maxOffsetsPerTrigger", per_batch)
     try:
         return kafka_envelope(r.options(**options).load())
-    except Exception as e:
+    except AnalysisException as e:
+        if "Failed to find data source" not in str(e) and "DATA_SOURCE_NOT_FOUND" not in str(e):
+            raise
         raise SourceUnavailable("the Kafka connector is not on the class path") from e
 
 
@@ -192,10 +221,11 @@ DEBEZIUM = {"c": "INSERT", "u": "UPDATE", "d": "DELETE", "r": "READ"}
 _EVENT = "op string, type string, ts_ms bigint, ts bigint, table string, source struct<table:string>, before string, after string, old string, data string, _bad string"
 
 
-def _event(text: Column) -> Column:
-    """A change event with its states as JSON text; NULL if it is no JSON."""
-    e = F.from_json(text, _EVENT, {"columnNameOfCorruptRecord": "_bad"})
-    return F.when(e["_bad"].isNull(), e)
+def _of_event(text: Column, build) -> Column:
+    """``build`` of a change event with its states as JSON text; NULL if it is no JSON. The event is bound by a lambda, so
+    that it is parsed once, however often ``build`` names it."""
+    parsed = F.from_json(text, _EVENT, {"columnNameOfCorruptRecord": "_bad"})
+    return F.get(F.transform(F.array(parsed), lambda e: F.when(e.isNotNull() & e["_bad"].isNull(), build(e))), F.lit(0))
 
 
 def _state(c: Column) -> Column:
@@ -205,16 +235,14 @@ def _state(c: Column) -> Column:
 
 def debezium(text: Column) -> Column:
     """struct<table, operation, timestamp, before, after> of a Debezium event; NULL if it is no JSON."""
-    e = _event(text)
     table = F.create_map(*(F.lit(x) for kv in DEBEZIUM.items() for x in kv))
-    op = F.coalesce(F.try_element_at(table, e["op"]), e["op"])
-    return F.when(e.isNotNull(), F.struct(e["source"]["table"].alias("table"), op.alias("operation"), e["ts_ms"].alias("timestamp"), _state(e["before"]).alias("before"), _state(e["after"]).alias("after")))
+    op = lambda e: F.coalesce(F.try_element_at(table, e["op"]), e["op"])
+    return _of_event(text, lambda e: F.struct(e["source"]["table"].alias("table"), op(e).alias("operation"), e["ts_ms"].alias("timestamp"), _state(e["before"]).alias("before"), _state(e["after"]).alias("after")))
 
 
 def maxwell(text: Column) -> Column:
     """The same of a Maxwell event; its operation stays as it is."""
-    e = _event(text)
-    return F.when(e.isNotNull(), F.struct(e["table"].alias("table"), e["type"].alias("operation"), e["ts"].alias("timestamp"), _state(e["old"]).alias("before"), _state(e["data"]).alias("after")))
+    return _of_event(text, lambda e: F.struct(e["table"].alias("table"), e["type"].alias("operation"), e["ts"].alias("timestamp"), _state(e["old"]).alias("before"), _state(e["data"]).alias("after")))
 
 
 # -- dead letters ------------------------------------------------------------------------------------------------------
