@@ -3,7 +3,8 @@
 An item's shingles are its words; a window of it (a set of item size or of WINDOW words in a row) must be contained
 wholly, so its necessary prefix is one shingle: its rarest word, by counts over all documents. Documents' words are
 joined with these prefix words alone. The position of the hit and the place of the word in the window bound where the
-window must begin and end within the document, and the containment is then verified word by word.
+window must begin and end within the document. Rows with such places are read again, and the containment is verified
+word by word.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
     n_hit counts the words inside any occurrence of a window of ``benchmark`` (item_id, text); n_items the items with
     occurring windows; spans are the covered word ranges (first, last + 1), merged. A null or empty text has no words
-    and no hits; items without words have no windows; items of equal text count each. Rows that repeat a doc_id are
+    and no hits, long ones are read whole; items without words have no windows; items of equal text count each. Rows that repeat a doc_id are
     judged one by one. Other columns are ignored; empty tables give no rows, or no hits.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _spaced(F.col("text")).alias("words"))
@@ -55,11 +56,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     # a window with a word that no document has occurs nowhere
     prefix = storage.persist(prefix.where("least > 0").select("win", F.col("p.word").alias("word"), F.col("p.at").alias("at"), F.size("win").alias("len")), "prefix")
 
-    hits = split.select("row", "w", F.posexplode("w").alias("pos", "word")).join(storage.small(prefix), "word")
+    # candidates: words alone go through the join; what they stand for is told by numbers
+    ids = storage.persist(prefix.select("win", F.xxhash64("win").alias("id")), "ids")
+    where = prefix.select("word", "at", "len", F.xxhash64("win").alias("id"))
+    found = split.select("row", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word")).join(storage.small(storage.persist(where, "where")), "word")
     start = F.col("pos") - F.col("at")
-    bound = (start >= 0) & (start + F.col("len") <= F.size("w"))
-    hits = hits.where(bound).where(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("len")) == F.col("win"))
-    hits = storage.persist(hits.select("row", start.alias("start"), (start + F.col("len")).alias("end"), "win"), "hits")
+    found = found.where((start >= 0) & (start + F.col("len") <= F.col("n"))).select("row", start.alias("start"), "id")
+    # of a row's candidates at most one a word and window: bounded by the row's text
+    maybe = storage.persist(found.groupBy("row").agg(F.collect_list(F.struct("start", "id")).alias("at")), "candidates")
+    texts = rows.join(storage.small(maybe), "row").select("row", F.split("words", " ").alias("w"), "at")
+    each = texts.select("row", "w", F.explode("at").alias("c")).select("row", "w", "c.start", "c.id").join(storage.small(ids), "id")
+    hits = each.where(F.slice("w", F.col("start") + 1, F.size("win")) == F.col("win"))
+    hits = storage.persist(hits.select("row", "start", (F.col("start") + F.size("win")).alias("end"), "win"), "hits")
 
     order = Window.partitionBy("row").orderBy("start")
     reach = hits.groupBy("row", "start").agg(F.max("end").alias("end")).withColumn("far", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
