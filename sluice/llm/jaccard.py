@@ -436,14 +436,11 @@ def _near(num: int, den: int):
     return run
 
 
-def _sized(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b, keys) of sets whose sizes and bitmaps allow a link, with na and nb."""
-    signs = storage.persist(sets.select("node", "n", "bits"), "signs")
-    of = lambda c, bits: storage.small(signs).select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(bits))
+def _sized(pairs: DataFrame, signs: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b, keys) of sets whose sizes and bitmaps allow a link, with na and nb; ``signs``: node, n, bits."""
+    of = lambda c, bits: signs.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(bits))
     both = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-    out = storage.persist(both.mapInArrow(_near(num, den), "a long, b long, na long, nb long, keys long"), "pairs")
-    storage.drop(signs)
-    return out
+    return storage.persist(both.mapInArrow(_near(num, den), "a long, b long, na long, nb long, keys long"), "pairs")
 
 
 def _linked(sized: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -451,37 +448,51 @@ def _linked(sized: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     second set goes to its first by (first set, fragment); where the pairs are few enough to be known to all tasks, that is
     the only shuffle of n-grams."""
     cut = sets.select("node", F.posexplode("grams").alias("fragment", "gram")).where(F.length("gram") > 0)
-    firsts = storage.persist(sized.select(F.col("a").alias("node")).distinct(), "firsts")
-    right = cut.select(F.col("node").alias("b"), "fragment", F.col("gram").alias("y")).join(storage.small(sized), "b")
-    left = cut.join(storage.small(firsts), "node", "left_semi").select(F.col("node").alias("a"), "fragment", F.col("gram").alias("x"))
+    known = storage.small(sized)
+    firsts = sized.select(F.col("a").alias("node")).distinct()  # no larger than ``sized``
+    right = cut.select(F.col("node").alias("b"), "fragment", F.col("gram").alias("y")).join(known, "b")
+    left = cut.join(firsts if known is sized else F.broadcast(firsts), "node", "left_semi").select(F.col("node").alias("a"), "fragment", F.col("gram").alias("x"))
     both = right.join(left, ["a", "fragment"])
     part = both.select("a", "b", "na", "nb", "x", "y").mapInArrow(_overlaps, "a long, b long, na long, nb long, part long")
     total = part.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("o"))
-    out = storage.persist(total.where(F.col("o") * den >= (F.col("na") + F.col("nb") - F.col("o")) * num).select("a", "b"), "links")
-    storage.drop(firsts)
-    return out
+    return storage.persist(total.where(F.col("o") * den >= (F.col("na") + F.col("nb") - F.col("o")) * num).select("a", "b"), "links")
 
 
-def _all_stars(e: DataFrame) -> bool:
-    """Whether each u of the edges (u, v) has one v, and no v is a u."""
+def _state(e: DataFrame) -> tuple[int, bool]:
+    """Number of edges (u, v), and whether each u has one v and no v is a u: all are stars."""
     ends = e.select(F.col("u").alias("x"), F.lit(1).alias("low"), F.lit(0).alias("high")).union(e.select(F.col("v"), F.lit(0), F.lit(1)))
-    return ends.groupBy("x").agg(F.sum("low").alias("low"), F.max("high").alias("high")).where("low > 1 OR low = 1 AND high = 1").isEmpty()
+    by = ends.groupBy("x").agg(F.sum("low").alias("low"), F.max("high").alias("high"))
+    n, open_ = by.agg(F.sum("low"), F.count_if((F.col("low") > 1) | (F.col("low") == 1) & (F.col("high") == 1))).first()
+    return n or 0, not open_
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of all nodes of ``edges`` (a, b): the smallest node reachable. Alternating large and small
-    stars, each round written to the shared folder and the one before deleted. Each node's smallest neighbour comes from a
-    pre-aggregated table of its own, broadcast or else a side of a join that can be split, so a hub is no task's work."""
+    stars, each round written to the shared folder and the one before deleted. Each node's smallest neighbour comes from
+    a pre-aggregated table, broadcast where the number of edges bounds its size, or else written and a side of a join that
+    can be split: so a hub is no task's work."""
     e = storage.persist(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    while not _all_stars(e):
+    while True:
+        n, done = _state(e)
+        if done:
+            break
+        few, held = n * 64 <= storage.BROADCAST_BYTES, [e]  # two nodes an edge at most, of two numbers each
+
+        def known(df: DataFrame) -> DataFrame:
+            if few:
+                return F.broadcast(df)
+            held.append(storage.persist(df, "least"))
+            return held[-1]
+
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = storage.persist(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = storage.persist(e.select(F.col("v").alias("u"), F.col("u").alias("v")).join(storage.small(m), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
-        least = storage.persist(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(storage.small(least), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        new = storage.persist(small, "edges")
-        storage.drop(e, m, large, least)
-        e = new
+        m = known(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = e.select(F.col("v").alias("u"), F.col("u").alias("v")).join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        if not few:
+            held.append(large := storage.persist(large, "edges"))
+        least = known(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        e = storage.persist(small, "edges")
+        storage.drop(*held)
     out = storage.persist(e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(e.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct(), "components")
     storage.drop(e)
     return out
@@ -530,7 +541,9 @@ def _links(spark, texts: DataFrame, nodes: DataFrame, k: int, num: int, den: int
         return None
     active = storage.persist(tried.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node"), "active")
     sets = _active_sets(texts, active, k)
-    sized = _sized(tried, sets, num, den)
+    signs = storage.persist(sets.select("node", "n", "bits"), "signs")
+    signed = storage.small(signs)
+    sized = _sized(tried, signed, num, den)
     # each node's candidate with most keys first: most links of a group need no other pair
     best = sized.groupBy("b").agg(F.max(F.struct("keys", "a", "na", "nb")).alias("x")).select(F.col("x.a").alias("a"), "b", "x.na", "x.nb")
     best = storage.persist(best, "pairs")
@@ -545,7 +558,7 @@ def _links(spark, texts: DataFrame, nodes: DataFrame, k: int, num: int, den: int
     sent = marked.mapInArrow(_send(num, den, _buckets(spark, active.agg(F.sum("n")).first()[0], num, den), True), _PACKED)
     more = storage.persist(sent.groupBy("bucket").applyInArrow(_crosses, "a long, b long, n long").distinct(), "pairs")
     storage.release(spark)
-    new = _sized(more.where(F.col("n") == COUNT).select("a", "b", F.lit(0).cast("long").alias("keys")).join(tried, ["a", "b"], "left_anti"), sets, num, den)
+    new = _sized(more.where(F.col("n") == COUNT).select("a", "b", F.lit(0).cast("long").alias("keys")).join(tried, ["a", "b"], "left_anti"), signed, num, den)
     stars = more.where(F.col("n") == IN_BLOCKS).select("a", "b")
     whole = more.where(F.col("n") == WHOLE).select(F.col("a").alias("label"))
     stars = storage.persist(stars.union(label.join(whole, "label", "left_semi").select(F.col("label").alias("a"), F.col("node").alias("b"))), "stars")
@@ -553,7 +566,7 @@ def _links(spark, texts: DataFrame, nodes: DataFrame, k: int, num: int, den: int
         label = _merged(label, _linked(new, sets, num, den))
     if not stars.isEmpty():
         label = _merged(label, _in_blocks(stars, sets, num, den))
-    storage.drop(tried, active, sets, more, new, stars)
+    storage.drop(tried, active, sets, signs, more, new, stars)
     return label
 
 
