@@ -155,6 +155,13 @@ def export_csv(records: DataFrame, since, until) -> DataFrame:
     return in_range(records, since, until).select(*(t(c) if c.endswith("_at") else F.coalesce(c, F.lit("")).alias(c) for c in CSV_HEADER))
 
 
+def export_ndjson(records: DataFrame, since, until) -> DataFrame:
+    """(value): a whole record a line as JSON, all columns, times in RFC 3339; nulls are left out."""
+    t = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(c)
+    names = [x.split()[0] for x in RECORDS.split(", ")]
+    return in_range(records, since, until).select(F.to_json(F.struct(*(t(c) if c.endswith("_at") else F.col(c) for c in names))).alias("value"))
+
+
 def rewrite(df: DataFrame, path: str) -> None:
     """Writes a table beside its old version and swaps the folders, so that a failed write loses nothing."""
     spark = df.sparkSession

@@ -250,18 +250,31 @@ def maxwell(text: Column) -> Column:
 DEAD = "original_message string, error string, failed_step int, failed_step_type string, retry_attempt int, processed_at string"
 
 
+_DEAD_LETTER = f"headers map<string,string>, body struct<{DEAD.replace(' string', ':string').replace(' int', ':int')}>, metadata struct<correlation_id:string,route:string,stage:string,replay_count:int>"
+
+
 def read_dead_letters(spark: SparkSession, path: str) -> DataFrame:
     """Dead-letter files, a JSON message a line."""
-    return spark.read.schema(f"headers map<string,string>, body struct<{DEAD.replace(' string', ':string').replace(' int', ':int')}>, metadata struct<correlation_id:string,route:string,stage:string,replay_count:int>").json(path)
+    return spark.read.schema(_DEAD_LETTER).json(path)
+
 
+def parse_dead_letters(lines: DataFrame) -> DataFrame:
+    """Dead letters of lines (value), from wherever they were kept. Lines that are no JSON are left out."""
+    d = F.from_json("value", _DEAD_LETTER, {"mode": "PERMISSIVE"})
+    return lines.select(d.alias("d")).where("d.body.error IS NOT NULL").select("d.*")
 
-def replay(dead: DataFrame, limit: int | None = 100, where: Column | None = None, initiator: str = "replay", now: Column | None = None) -> DataFrame:
-    """Messages of dead letters to run again, the replay counted: the oldest ``limit``, or all if it is None."""
+
+def replay(dead: DataFrame, limit: int | None = 100, where: Column | None = None, initiator: str = "replay", now: Column | None = None, dry_run: bool = False, parallelism: int | None = None) -> DataFrame:
+    """Messages of dead letters to run again, the replay counted: the oldest ``limit``, or all if it is None. A dry run
+    tells instead what would be replayed: correlation_id, route, replay_count, error. ``parallelism``: partitions that
+    the messages are dealt to."""
     d = dead if where is None else dead.where(where)
-    d = d.orderBy("body.processed_at", "metadata.correlation_id")
-    d = d if limit is None else d.limit(limit)
-    original = F.try_parse_json("body.original_message")
+    d = d if limit is None else d.orderBy("body.processed_at", "metadata.correlation_id").limit(limit)
     n = F.coalesce("metadata.replay_count", F.lit(0)) + 1
+    if dry_run:
+        return d.select(F.col("metadata.correlation_id").alias("correlation_id"), F.col("metadata.route").alias("route"), n.alias("replay_count"), F.col("body.error").alias("error"))
+    d = d if parallelism is None else d.repartition(parallelism)
+    original = F.try_parse_json("body.original_message")
     entry = F.array(F.struct((F.current_timestamp() if now is None else now).alias("timestamp"), n.alias("attempt"), F.lit(initiator).alias("initiator")))
     return envelope(d, F.try_variant_get(original, "$.body", "variant"), F.coalesce(F.try_variant_get(original, "$.headers", "map<string,string>"), F.col("headers")), correlation_id=F.col("metadata.correlation_id"), route=F.col("metadata.route"), replay_count=n, replay_history=entry)
 

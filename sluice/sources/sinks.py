@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -124,6 +125,67 @@ def exchange_token(subject: Column, roles: Column, audience: str, secret: str, i
     return issue(F.when(subject.isNotNull(), claims))
 
 
+def purge_log_rows(events: DataFrame, route: str) -> DataFrame:
+    """Purge evidence with the day and route it is filed under."""
+    return events.withColumns({"year": F.date_format("purged_at", "yyyy"), "month": F.date_format("purged_at", "MM"), "day": F.date_format("purged_at", "dd"), "route": F.lit(route)})
+
+
 def write_purge_log(events: DataFrame, path: str, route: str) -> None:
     """Purge evidence as JSON, by day."""
-    events.withColumns({"year": F.date_format("purged_at", "yyyy"), "month": F.date_format("purged_at", "MM"), "day": F.date_format("purged_at", "dd"), "route": F.lit(route)}).write.mode("append").partitionBy("year", "month", "day", "route").json(path)
+    purge_log_rows(events, route).write.mode("append").partitionBy("year", "month", "day", "route").json(path)
+
+
+def write_objects(df: DataFrame, prefix: str, put: Callable[[str, bytes], None]) -> DataFrame:
+    """Puts each message as an object of its own; (key, bytes) of what was put. ``put`` runs on executors; a repeated task
+    puts the same bytes under the same keys. The result is lazy: objects are put when it is written or counted."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            sizes = []
+            for key, value in zip(b.column("key").to_pylist(), b.column("value").to_pylist()):
+                raw = value.encode()
+                put(key, raw)
+                sizes.append(len(raw))
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sizes, pa.int64())], names=["key", "bytes"])
+
+    return object_rows(df, prefix).mapInArrow(run, "key string, bytes long")
+
+
+def emit_openlineage(events: DataFrame, send: Callable[[str, dict], int], batch: int = 100, tries: int = 3, wait: float = 0.5) -> DataFrame:
+    """Posts run events (event: JSON) ``batch`` at a time as {"events": [...]}; (event, status, attempts, ok), those that
+    are not ok for the dead letters. 4xx is final, other failures are tried again after waits that double. In a stream,
+    a trigger of five seconds bounds how long an event waits."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        held: list[str] = []
+
+        def flush():
+            payload = '{"events":[' + ",".join(held) + "]}"
+            status, n = 599, 0
+            for n in range(1, tries + 1):
+                if n > 1:
+                    time.sleep(wait * 2 ** (n - 2))
+                try:
+                    status = send(payload, {"Content-Type": "application/json"})
+                except OSError:
+                    status = 599
+                if status < 500:
+                    break
+            k = len(held)
+            out = pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array([status] * k, pa.int32()), pa.array([n] * k, pa.int32()), pa.array([200 <= status < 300] * k)], names=["event", "status", "attempts", "ok"])
+            held.clear()
+            return out
+
+        for b in batches:
+            for event in b.column("event").to_pylist():
+                held.append(event)
+                if len(held) == batch:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return events.select("event").mapInArrow(run, "event string, status int, attempts int, ok boolean")

@@ -38,7 +38,7 @@ def json_writer(path: str, dead_path: str) -> Writer:
         json_lines(result.ok).write.mode("overwrite").text(f"{path}/batch={batch_id}")
         json_lines(result.dead).write.mode("overwrite").text(f"{dead_path}/batch={batch_id}")
         for name, df in result.taps:
-            json_lines(df).write.mode("append").text(f"{path}-{name}")
+            json_lines(df).write.mode("overwrite").text(f"{path}-{name}/batch={batch_id}")
 
     return write
 
