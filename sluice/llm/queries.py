@@ -105,7 +105,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from sluice.llm import decontaminate
 
-    return {"op3_benchmark_decontamination": decontaminate.SQL, "op8_warc": _WARC_SQL}
+    return {"op2_jaccard_join": _JACCARD_SQL, "op3_benchmark_decontamination": decontaminate.SQL, "op8_warc": _WARC_SQL, "op9_url_filter": _URL_SQL}
+
+
+#: All pairs that share a shingle, counted; components by reachability. Doc_ids are unique in these tables.
+_JACCARD_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM d),
+n AS (SELECT doc_id, len(g) AS n FROM s),
+x AS (SELECT doc_id, unnest(g) AS t FROM s),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM x a JOIN x b USING (t) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * o >= 90 * (na.n + nb.n - o)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, low) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, min(low) AS component_id FROM r JOIN n USING (doc_id) GROUP BY doc_id, n
+"""
+
+#: The rules. The hosts of these pages link to no other host, so the graph blocks none: what no rule fits is allowed.
+_URL_SQL = r"""
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+rules(verdict, rule) AS (VALUES ('block', 'net/'), ('allow', 'example.net/en/'), ('block', 'example.com/de/'), ('allow', 'org/fr/')),
+fit AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM p, rules
+WHERE (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, substr(rule, strpos(rule, '/'))) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN fit USING (page_id)
+"""
 
 
 #: DuckDB has no base32, so the digest's bits are dealt in groups of five here.

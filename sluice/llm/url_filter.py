@@ -86,7 +86,7 @@ def filter_urls(pages: DataFrame, rules=RULES, distrust: float = DISTRUST) -> Da
 
     The longest fitting rule decides. Elsewhere the host does: it is blocked if its distrust exceeds its trust and
     ``distrust`` even shares, else allowed; hosts without links, and pages without a host, have neither and are allowed.
-    A null url, or one without ``://``, has an empty host and path. Null html has no links. Repeated rows are judged
+    A null url, or one without ``://``, has an empty host and path. Null html has no links, long html is read whole. Repeated rows are judged
     alike; other columns are ignored; an empty table gives an empty result.
     """
     h, p = host(F.col("url")), path(F.col("url"))

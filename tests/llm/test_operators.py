@@ -623,3 +623,30 @@ def test_propagation_with_many_seeds(spark):
     # a seed's share and what it passes on along the chain, against that of all seeds, most of which pass on nothing
     total = (0.15 * (n - 1) + 1 - 0.85**7) / n
     assert got == {f"c{k}": pytest.approx(0.15 * 0.85**k / n / total, rel=1e-6) for k in range(1, 7)}
+
+
+# -- very long texts ---------------------------------------------------------------------------------------------------
+
+
+def test_very_long_texts(spark):
+    r = random.Random(17)
+    item = " ".join(f"item{i}" for i in range(14))
+    long = " ".join(f"w{r.randrange(5000)}" for _ in range(200_000)) + " " + item
+    df = docs(spark, [(1, long), (2, "short one")])
+    hit = {x.doc_id: x for x in decontaminate.decontaminate(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert hit[1].n_words == 200_014 and hit[1].n_hit == 14 and not hit[2].contaminated
+    media = {x.doc_id: x for x in media_gif.read(media_gif.store(df)).collect()}
+    raw = long.encode()
+    assert media[1].n_bytes == len(raw) and media[1].payload_sha256 == hashlib.sha256(raw + bytes(-len(raw) % 64)).hexdigest() and len(media[1].frames) > 10
+    store = token_store.write_store(df, tokenizer_path(), end=0)
+    ids = library_ids(long, 0)
+    got = {x.doc_id: x for x in store.read(store.find(store.entries)).collect()}
+    assert got[1].n_tokens == len(ids) and got[1].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+    pieces = [x for x in packing.pack(df, tokenizer_path(), end=2, size=1024).collect() if x.doc_id == 1]
+    assert sum(x.length for x in pieces) == len(ids) and all(x.length == 1024 for x in pieces if x.piece)
+    pages = spark.createDataFrame([(1, "http://x.example/", f"<body><article><p>{long}</p></article><nav>menu</nav></body>")], "page_id long, url string, html string")
+    assert html_extract.extract_main_text(pages).first().text == long
+    assert warc.read_archives(warc.write_archives(pages)).first().payload_bytes == len(pages.first().html.encode())
+    assert url_filter.filter_urls(pages).first().verdict == "allow"
+    out = {x.doc_id: x.text for x in substring.dedup_substrings(docs(spark, [(1, long), (2, "intro " + long)])).collect()}
+    assert out[1] == long and len(out[2]) < 200
