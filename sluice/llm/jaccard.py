@@ -43,8 +43,8 @@ FLUSH_KEYS, FLUSH_SETS = 400_000, 1 << 16
 PACK = 8
 #: A list of several components gives its cross pairs up to so many a member. Longer ones are compared in blocks.
 CROSS = 8
-#: Sets of a block, and n-grams of one, at most; n-grams whose overlaps are counted at a time.
-BLOCK, BLOCK_GRAMS, COLUMNS = 768, 3_000_000, 4096
+#: Sets of a block, and n-grams of one, at most; n-grams whose overlaps are counted at a time; bitmaps of a block.
+BLOCK, BLOCK_GRAMS, COLUMNS, BLOCK_SIGNS = 768, 3_000_000, 4096, 1536
 
 
 @lru_cache(None)
@@ -359,8 +359,6 @@ def _block_links(num: int, den: int):
     fragment of the order at a time, as products of 0-1 matrices, and summed."""
 
     def run(key, table):
-        import pyarrow as pa
-
         node = table.column("node").to_numpy()
         sets = _tokens(table.column("grams"))
         n = np.array([len(t) for t in sets], np.float64)
@@ -379,38 +377,89 @@ def _block_links(num: int, den: int):
             m[owner[p:q], column[p:q] - c] = 1
             overlap += m @ m.T
         link = overlap * float(den) >= (n[:, None] + n[None, :] - overlap) * float(num)
-        label = np.full(len(sets), -1)
-        for i in range(len(sets)):
-            if label[i] < 0:
-                front = np.array([i])
-                label[i] = i
-                while len(front):
-                    near = np.flatnonzero(link[front].any(0) & (label < 0))
-                    label[near] = i
-                    front = near
-        low = np.full(len(sets), np.iinfo(np.int64).max)
-        np.minimum.at(low, label, node)
-        a = low[label]
-        m = a != node
-        return pa.table({"a": pa.array(a[m], pa.int64()), "b": pa.array(node[m], pa.int64())})
+        return _stars_of(node, _reached(link))
 
     return run
 
 
-def _in_blocks(stars: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links among the sets of each group that ``stars`` (a, b) connect: a group is cut into blocks of bounded size, and
-    each pair of blocks is one task's work, so no group is gathered whole."""
-    label = components(stars)
-    group = label.withColumnRenamed("label", "grp")
-    size = group.join(sets.select("node", "n"), "node").groupBy("grp").agg(F.count("*").alias("c"), F.avg("n").alias("n"))
-    most = F.least(F.lit(BLOCK), F.greatest(F.lit(16), F.floor(F.lit(BLOCK_GRAMS) / F.col("n"))))
-    size = storage.persist(size.select("grp", F.ceil(F.col("c") / most).cast("int").alias("blocks")), "blocks")
+def _reached(link: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix the first row that is reachable."""
+    label = np.full(len(link), -1)
+    for i in range(len(link)):
+        if label[i] < 0:
+            front = np.array([i])
+            label[i] = i
+            while len(front):
+                near = np.flatnonzero(link[front].any(0) & (label < 0))
+                label[near] = i
+                front = near
+    return label
+
+
+def _stars_of(node: np.ndarray, label: np.ndarray):
+    """(smallest node, node) pairs of what has the same label."""
+    import pyarrow as pa
+
+    low = np.full(len(node), np.iinfo(np.int64).max)
+    np.minimum.at(low, label, node)
+    a = low[label]
+    m = a != node
+    return pa.table({"a": pa.array(a[m], pa.int64()), "b": pa.array(node[m], pa.int64())})
+
+
+def _block_near(num: int, den: int):
+    """Of two blocks' bitmaps: which sets of different components may link, as stars of what hangs together. Bitmaps are
+    compared with those of their own size and of twice that, folded; sets of other sizes can't link."""
+
+    def run(key, table):
+        node, label, n = (table.column(c).to_numpy() for c in ("node", "label", "n"))
+        bits = [np.frombuffer(x, np.uint64) for x in table.column("bits").to_pylist()]
+        words = np.array([len(x) for x in bits])
+        near = np.zeros((len(node), len(node)), bool)
+        for size in np.unique(words):
+            own, twice = np.flatnonzero(words == size), np.flatnonzero(words == 2 * size)
+            at = np.concatenate([own, twice])
+            signs = np.stack([bits[i] if words[i] == size else bits[i][:size] ^ bits[i][size:] for i in at])
+            both = np.zeros((len(own), len(at)), np.float32)
+            for c in range(0, size, COLUMNS // 64):
+                x = np.unpackbits(signs[:, c : c + COLUMNS // 64].view(np.uint8), axis=1).astype(np.float32)
+                both += x[: len(own)] @ x.T
+            set_ = np.bitwise_count(signs).sum(1).astype(np.float32)
+            differ = set_[: len(own), None] + set_[None, :] - 2 * both
+            total = (n[own][:, None] + n[at][None, :]).astype(np.float64)
+            less, more = np.minimum(n[own][:, None], n[at][None, :]), np.maximum(n[own][:, None], n[at][None, :])
+            ok = (differ * float(den + num) <= total * (den - num)) & (less * den >= more * num) & (label[own][:, None] != label[at][None, :])
+            near[np.ix_(own, at)] |= ok
+            near[np.ix_(at, own)] |= ok.T
+        return _stars_of(node, _reached(near))
+
+    return run
+
+
+def _dealt(group: DataFrame, payload: DataFrame, most) -> tuple[DataFrame, list[DataFrame]]:
+    """(rows of ``payload`` (node, n, ...) for each pair of blocks (grp, lo, hi) that their group (node, grp) is cut into,
+    tables to delete). Blocks get ``most`` (of the mean n) rows, about."""
+    size = group.join(payload.select("node", "n"), "node").groupBy("grp").agg(F.count("*").alias("c"), F.avg("n").alias("n"))
+    size = storage.persist(size.select("grp", F.ceil(F.col("c") / most(F.col("n"))).cast("int").alias("blocks")), "blocks")
     rows = group.join(storage.small(size), "grp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     groups = storage.persist(rows, "groups")
-    rows = sets.join(storage.small(groups), "node").select("node", "grams", "grp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("node", "grams", "grp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    out = storage.persist(rows.groupBy("grp", "lo", "hi").applyInArrow(_block_links(num, den), "a long, b long").distinct(), "links")
-    storage.drop(label, size, groups)
+    names = [c for c in payload.columns if c != "node"]
+    rows = payload.join(storage.small(groups), "node").select("node", *names, "grp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return rows.select("node", *names, "grp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")), [size, groups]
+
+
+def _in_blocks(stars: DataFrame, sets: DataFrame, signs: DataFrame, label: DataFrame, num: int, den: int) -> DataFrame:
+    """Links among the sets of each group that ``stars`` (a, b) connect: a group is cut into blocks of bounded size, and
+    each pair of blocks is one task's work, so no group is gathered whole. Bitmaps first: what may link by these makes
+    new groups, most of them small."""
+    held = [components(stars)]
+    signs = signs.join(label.withColumnRenamed("label", "l"), "node", "left").select("node", "n", "bits", F.coalesce("l", "node").alias("label"))
+    rows, more = _dealt(held[0].withColumnRenamed("label", "grp"), signs, lambda n: F.lit(BLOCK_SIGNS))
+    near = storage.persist(rows.select("node", "label", "n", "bits", "grp", "lo", "hi").groupBy("grp", "lo", "hi").applyInArrow(_block_near(num, den), "a long, b long").distinct(), "near")
+    held += [*more, near, components(near)]
+    rows, more = _dealt(held[-1].withColumnRenamed("label", "grp"), sets.select("node", "n", "grams"), lambda n: F.least(F.lit(BLOCK), F.greatest(F.lit(16), F.floor(F.lit(BLOCK_GRAMS) / n))))
+    out = storage.persist(rows.select("node", "grams", "grp", "lo", "hi").groupBy("grp", "lo", "hi").applyInArrow(_block_links(num, den), "a long, b long").distinct(), "links")
+    storage.drop(*held, *more)
     return out
 
 
@@ -565,7 +614,7 @@ def _links(spark, texts: DataFrame, nodes: DataFrame, k: int, num: int, den: int
     if not new.isEmpty():
         label = _merged(label, _linked(new, sets, num, den))
     if not stars.isEmpty():
-        label = _merged(label, _in_blocks(stars, sets, num, den))
+        label = _merged(label, _in_blocks(stars, sets, signs, label, num, den))
     storage.drop(tried, active, sets, signs, more, new, stars)
     return label
 
