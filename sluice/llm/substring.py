@@ -147,8 +147,8 @@ def _hash(least: int, inline: bool):
                     held += len(text[j])
                     j += 1
                 at, start, end, high, low = units(text[i:j], least, inline)
-                cols = [pa.array(np.array(rank[i:j], np.int64)[at]), pa.array(np.array(key[i:j], np.int64)[at]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(high), pa.array(low)]
-                yield pa.RecordBatch.from_arrays(cols, names=["rank", "key", "start", "end", "high", "low"])
+                cols = [pa.array(np.array(rank[i:j], np.int64)[at]), pa.array(np.array(key[i:j], np.int64)[at]), pa.array(start << 32 | end), pa.array(high), pa.array(low)]
+                yield pa.RecordBatch.from_arrays(cols, names=["rank", "key", "span", "high", "low"])
                 i = j
 
     return run
@@ -217,20 +217,23 @@ def dedup_substrings(docs: DataFrame, least: int = LEAST, inline: bool = True) -
     docs = docs.drop("removed")
     rank, key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
     found = docs.select(rank.alias("rank"), key.alias("key"), "text").where("text IS NOT NULL")
-    hashed = storage.persist(found.mapInArrow(_hash(least, inline), "rank long, key long, start int, end int, high long, low int"), "units")
+    # span: start and end in one number, which orders as they do; rows are many, and each column takes eight bytes in a
+    # shuffle. Digests alone first; joins shuffle at every size, so that cost grows in proportion
+    hashed = storage.persist(found.mapInArrow(_hash(least, inline), "rank long, key long, span long, high long, low int"), "units")
     twice = storage.persist(hashed.groupBy("high", "low").agg(F.count("*").alias("n")).where("n > 1").select("high", "low"), "repeats")
     storage.release(docs.sparkSession)
-    repeats = storage.persist(hashed.join(storage.small(twice), ["high", "low"]), "repeats")
+    repeats = storage.persist(hashed.join(twice.hint("merge"), ["high", "low"]), "repeats")
     storage.drop(hashed, twice)
     storage.release(docs.sparkSession)
-    first = repeats.groupBy("high", "low").agg(F.min(F.struct("rank", "key", "start", "end")).alias("first"))
-    later = repeats.join(storage.small(storage.persist(first, "first")), ["high", "low"]).where(F.struct("rank", "key", "start") > F.struct("first.rank", "first.key", "first.start"))
+    first = storage.persist(repeats.groupBy("high", "low").agg(F.min(F.struct("rank", "key", "span")).alias("first")), "first")
+    later = repeats.join(first.hint("merge"), ["high", "low"]).where(F.struct("rank", "key", "span") > F.col("first"))
     # a unit that overlaps with its own first occurrence goes without what that one keeps
     own = (F.col("rank") == F.col("first.rank")) & (F.col("key") == F.col("first.key"))
-    start = F.when(own, F.greatest("start", "first.end")).otherwise(F.col("start"))
-    spans = later.select("rank", "key", start.alias("start"), "end").where("start < end").groupBy("rank", "key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    start_of, end_of = lambda c: F.shiftright(c, 32).cast("int"), lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    start = F.when(own, F.greatest(start_of("span"), end_of("first.span"))).otherwise(start_of("span"))
+    spans = later.select("rank", "key", start.alias("start"), end_of("span").alias("end")).where("start < end").groupBy("rank", "key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     spans = storage.persist(spans.mapInArrow(_merge, "_rank long, _key long, _spans array<struct<start:int,end:int>>"), "spans")
-    storage.drop(repeats)
+    storage.drop(repeats, first)
     storage.release(docs.sparkSession)
     # names of the input may be any: everything travels as one struct
     rows = docs.select(F.struct("*").alias("_row"), rank.alias("_rank"), key.alias("_key")).join(storage.small(spans), ["_rank", "_key"], "left")
