@@ -44,7 +44,7 @@ PACK = 8
 #: A list of several components gives its cross pairs up to so many a member. Longer ones are compared in blocks.
 CROSS = 8
 #: Sets of a block, and n-grams of one, at most; n-grams whose overlaps are counted at a time; bitmaps of a block.
-BLOCK, BLOCK_GRAMS, COLUMNS, BLOCK_SIGNS = 768, 3_000_000, 4096, 1536
+BLOCK, BLOCK_GRAMS, COLUMNS, BLOCK_SIGNS = 768, 3_000_000, 4096, 640
 
 
 @lru_cache(None)

@@ -61,7 +61,9 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark clear the shuffle files of plans that are out of use: it does so when the driver collects its garbage,
-    which may come late."""
+    which may come late. A local session is left alone."""
+    if spark.sparkContext.master.startswith("local["):
+        return
     gc.collect()
     spark._jvm.System.gc()
 
