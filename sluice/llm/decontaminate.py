@@ -30,6 +30,32 @@ def _spaced(text: Column) -> Column:
     return F.trim(F.regexp_replace(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
 
 
+def _hits(split: DataFrame, prefix: DataFrame) -> DataFrame:
+    """(row, start, end, win) of windows in rows (row, w), for prefix words that all tasks know: a row's words stay where they
+    are."""
+    found = split.select("row", "w", F.posexplode("w").alias("pos", "word")).join(prefix, "word")
+    start = F.col("pos") - F.col("at")
+    found = found.where((start >= 0) & (start + F.col("len") <= F.size("w")))
+    found = found.where(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("len")) == F.col("win"))
+    return found.select("row", start.alias("start"), (start + F.col("len")).alias("end"), "win")
+
+
+def _hits_by_shuffle(rows: DataFrame, split: DataFrame, prefix: DataFrame) -> DataFrame:
+    """The same for a benchmark that is too large for that: words alone are shuffled, windows are told by numbers, and
+    rows with candidates are read again."""
+    windows = prefix.select("win", F.xxhash64("win").alias("id"))
+    found = split.select("row", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word")).join(prefix.select("word", "at", "len", F.xxhash64("win").alias("id")), "word")
+    start = F.col("pos") - F.col("at")
+    found = found.where((start >= 0) & (start + F.col("len") <= F.col("n"))).select("row", start.alias("start"), "len", "id")
+    # of a row's candidates at most one a word and window: bounded by the row's text
+    maybe = found.groupBy("row").agg(F.collect_list(F.struct("start", "len", "id")).alias("at"))
+    texts = rows.join(maybe, "row").select("row", F.split("words", " ").alias("w"), "at")
+    cut = F.transform("at", lambda c: F.struct(c["start"].alias("start"), c["id"].alias("id"), F.slice("w", c["start"] + 1, c["len"]).alias("said")))
+    each = texts.select("row", F.inline(cut))
+    both = each.join(windows, "id").where(F.col("said") == F.col("win"))
+    return both.select("row", "start", (F.col("start") + F.size("win")).alias("end"), "win")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans) of every row of ``docs``.
 
@@ -56,18 +82,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     # a window with a word that no document has occurs nowhere
     prefix = storage.persist(prefix.where("least > 0").select("win", F.col("p.word").alias("word"), F.col("p.at").alias("at"), F.size("win").alias("len")), "prefix")
 
-    # candidates: words alone go through the join; what they stand for is told by numbers
-    ids = storage.persist(prefix.select("win", F.xxhash64("win").alias("id")), "ids")
-    where = prefix.select("word", "at", "len", F.xxhash64("win").alias("id"))
-    found = split.select("row", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word")).join(storage.small(storage.persist(where, "where")), "word")
-    start = F.col("pos") - F.col("at")
-    found = found.where((start >= 0) & (start + F.col("len") <= F.col("n"))).select("row", start.alias("start"), "id")
-    # of a row's candidates at most one a word and window: bounded by the row's text
-    maybe = storage.persist(found.groupBy("row").agg(F.collect_list(F.struct("start", "id")).alias("at")), "candidates")
-    texts = rows.join(storage.small(maybe), "row").select("row", F.split("words", " ").alias("w"), "at")
-    each = texts.select("row", "w", F.explode("at").alias("c")).select("row", "w", "c.start", "c.id").join(storage.small(ids), "id")
-    hits = each.where(F.slice("w", F.col("start") + 1, F.size("win")) == F.col("win"))
-    hits = storage.persist(hits.select("row", "start", (F.col("start") + F.size("win")).alias("end"), "win"), "hits")
+    known = storage.small(prefix)
+    hits = storage.persist(_hits(split, known) if known is not prefix else _hits_by_shuffle(rows, split, prefix), "hits")
 
     order = Window.partitionBy("row").orderBy("start")
     reach = hits.groupBy("row", "start").agg(F.max("end").alias("end")).withColumn("far", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))

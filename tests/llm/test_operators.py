@@ -511,7 +511,10 @@ def test_rows_that_share_an_id_and_clashing_names(spark):
 # -- decontamination ---------------------------------------------------------------------------------------------------
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("known", [True, False])
+def test_decontamination(spark, monkeypatch, known):
+    if not known:  # as for a benchmark that can't be broadcast
+        monkeypatch.setattr("sluice.llm.storage.BROADCAST_BYTES", -1)
     r = random.Random(4)
     words = [f"w{i}" for i in range(12)]
     items = [(i, " ".join(r.choice(words) for _ in range(r.choice([1, 3, 10, 14])))) for i in range(12)] + [(50, None), (51, ""), (52, "É Ünïq, zz"), (53, "W1 w2")]
