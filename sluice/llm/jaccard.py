@@ -44,7 +44,7 @@ PACK = 8
 #: A list of several components gives its cross pairs up to so many a member. Longer ones are compared in blocks.
 CROSS = 8
 #: Sets of a block, and n-grams of one, at most; n-grams whose overlaps are counted at a time; bitmaps of a block.
-BLOCK, BLOCK_GRAMS, COLUMNS, BLOCK_SIGNS = 768, 3_000_000, 4096, 640
+BLOCK, BLOCK_GRAMS, COLUMNS, BLOCK_SIGNS = 768, 1_000_000, 4096, 400
 
 
 @lru_cache(None)
@@ -182,8 +182,11 @@ def _sets(k: int):
     return run
 
 
-def _tokens(grams) -> list[np.ndarray]:
-    return [np.frombuffer(b"".join(x), np.uint64) for x in grams.to_pylist()]
+def _tokens(grams):
+    """The sets of a column of grams, a few at a time."""
+    for i in range(0, len(grams), 200):
+        for x in grams.slice(i, 200).to_pylist():
+            yield np.frombuffer(b"".join(x), np.uint64)
 
 
 def _star(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -360,7 +363,7 @@ def _block_links(num: int, den: int):
 
     def run(key, table):
         node = table.column("node").to_numpy()
-        sets = _tokens(table.column("grams"))
+        sets = list(_tokens(table.column("grams")))
         n = np.array([len(t) for t in sets], np.float64)
         grams, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         owner = np.repeat(np.arange(len(sets)), n.astype(np.int64))

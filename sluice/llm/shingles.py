@@ -58,9 +58,18 @@ def _chunks(off: np.ndarray, most: int):
         i = j
 
 
+#: Texts of a column that are copied at a time.
+ROWS = 500
+
+
 def shingle_sets(column, k: int, most: int = 1 << 19):
     """Yields, for each text, the sorted distinct hashes of its ``k``-word shingles. A text of fewer words has its
     whole sequence as its one shingle; one without words (or null) has none. A-Z count as a-z."""
+    for i in range(0, len(column), ROWS):
+        yield from _sets_of(column.slice(i, ROWS), k, most)
+
+
+def _sets_of(column, k: int, most: int):
     data, off = buffers(column)
     for i, j in _chunks(off, most):
         a, b = int(off[i]), int(off[j])
