@@ -154,22 +154,29 @@ def _hash(least: int, inline: bool):
     return run
 
 
+def merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of rows, sorted, those that touch as one. Offsets are below 2 ** 32."""
+    if not len(row):
+        return row, start, end
+    order = np.lexsort((end, start, row))
+    row, start, end = row[order].astype(np.int64), start[order].astype(np.int64), end[order].astype(np.int64)
+    reach = np.maximum.accumulate(row << 32 | end)
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] << 32 | start[1:]) > reach[:-1]
+    last = np.append(np.flatnonzero(new)[1:], len(row)) - 1
+    return row[new], start[new], reach[last] & 0xFFFFFFFF
+
+
 def _merge(batches):
-    """Spans of a document, sorted, those that touch as one."""
     import pyarrow as pa
 
-    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for b in batches:
-        out = []
-        for spans in b.column("spans").to_pylist():
-            merged: list[dict] = []
-            for s, e in sorted((x["start"], x["end"]) for x in spans):
-                if merged and s <= merged[-1]["end"]:
-                    merged[-1]["end"] = max(merged[-1]["end"], e)
-                elif e > s:
-                    merged.append({"start": s, "end": e})
-            out.append(merged)
-        yield pa.RecordBatch.from_arrays([b.column("rank"), b.column("key"), pa.array(out, span)], names=["_rank", "_key", "_spans"])
+        spans = b.column("spans")
+        flat, n = spans.flatten(), np.diff(spans.offsets.to_numpy())
+        row, start, end = merged(np.repeat(np.arange(len(n)), n), *(flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1)))
+        ends = np.append(0, np.cumsum(np.bincount(row, minlength=len(n)))).astype(np.int32)
+        out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["start", "end"]))
+        yield pa.RecordBatch.from_arrays([b.column("rank"), b.column("key"), out], names=["_rank", "_key", "_spans"])
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -192,7 +199,7 @@ def _apply(fields: list[str], text_at: int, spans_at: int):
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        for b in (big.slice(i, 500) for big in batches for i in range(0, big.num_rows, 500)):
             spans = b.column(spans_at).to_pylist()
             text = [cut(t, [(s["start"], s["end"]) for s in x]) if x else t for t, x in zip(b.column(text_at).to_pylist(), spans)]
             yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if i == text_at else b.column(i) for i in range(len(fields))], names=fields)

@@ -490,6 +490,20 @@ def test_short_lines_and_texts_without_spaces(spark):
     assert out == {1: verse, 2: "", 3: passage, 4: ""}
 
 
+def test_spans_merge_as_in_plain_python():
+    r = random.Random(8)
+    spans = [(i, a, a + r.randrange(1, 9)) for i in range(60) for a in (r.randrange(60) for _ in range(r.randrange(0, 12)))]
+    want = []
+    for i, s, e in sorted(spans):
+        if want and want[-1][0] == i and s <= want[-1][2]:
+            want[-1][2] = max(want[-1][2], e)
+        else:
+            want.append([i, s, e])
+    got = substring.merged(*(np.array([x[q] for x in spans], np.int64) for q in range(3)))
+    assert [list(x) for x in zip(*(g.tolist() for g in got))] == want
+    assert all(len(g) == 0 for g in substring.merged(*[np.zeros(0, np.int64)] * 3))
+
+
 def test_periodic_texts_keep_their_first_unit(spark):
     rows = [(1, "ab cd " * 200), (2, "ab cd " * 200), (3, "lone words here")]
     out = {x.doc_id: x.text for x in substring.dedup_substrings(docs(spark, rows)).collect()}
