@@ -314,13 +314,15 @@ def _stars(key, table):
     return _pairs_table(*_star(keys, node)[1:])
 
 
-#: What a row of _crosses asks for: count the pair, compare in blocks with the others of the list, or (a alone) with the
-#: whole component a too.
+#: What a row (a, b) of _crosses asks for: count the pair, compare the node b in blocks with all others of group a, or the
+#: whole component b.
 COUNT, IN_BLOCKS, WHOLE = 0, 1, 2
 
 
 def _crosses(key, table):
-    """Of lists that hold several components: pairs across these, or what goes to blocks."""
+    """Of lists that hold several components: pairs across these, or what goes to blocks. Lists are one group there if they
+    have the same smallest node (the same smallest component, of those that travel packed). Lists that only share some
+    node stay apart: through passages that many texts hold they all hang together, and a group costs its square."""
     k, node, label, packed = _unpacked(table)
     order = np.lexsort((node, label, k))
     k, node, label, packed = k[order], node[order], label[order], packed[order]
@@ -343,13 +345,15 @@ def _crosses(key, table):
                 x, y = n[start[g] : start[g + 1]], n[start[g + 1] :]
                 rows.append((np.repeat(x, len(y)), np.tile(y, len(x)), COUNT))
         else:
-            rows.append((np.full(len(n) - 1, n.min()), n[n != n.min()], IN_BLOCKS))
-            rows.append((whole, whole, WHOLE))
+            group = whole.min() if len(whole) else n.min()
+            rows.append((np.full(len(n), group), n, IN_BLOCKS))
+            rows.append((np.full(len(whole), group), whole, WHOLE))
     if not rows:
         return _pairs_table(*[np.zeros(0, np.int64)] * 3)
     a, b = (np.concatenate([r[i] for r in rows]) for i in (0, 1))
     what = np.repeat([r[2] for r in rows], [len(r[0]) for r in rows])
-    lo, hi = np.minimum(a, b), np.maximum(a, b)
+    pair = what == COUNT
+    lo, hi = np.where(pair, np.minimum(a, b), a), np.where(pair, np.maximum(a, b), b)
     order = np.lexsort((what, hi, lo))
     lo, hi, what = lo[order], hi[order], what[order]
     new = np.ones(len(lo), bool)
@@ -451,15 +455,14 @@ def _dealt(group: DataFrame, payload: DataFrame, most) -> tuple[DataFrame, list[
     return rows.select("node", *names, "grp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")), [size, groups]
 
 
-def _in_blocks(stars: DataFrame, sets: DataFrame, signs: DataFrame, label: DataFrame, num: int, den: int) -> DataFrame:
-    """Links among the sets of each group that ``stars`` (a, b) connect: a group is cut into blocks of bounded size, and
+def _in_blocks(groups: DataFrame, sets: DataFrame, signs: DataFrame, label: DataFrame, num: int, den: int) -> DataFrame:
+    """Links among the sets of each of ``groups`` (grp, node): a group is cut into blocks of bounded size, and
     each pair of blocks is one task's work, so no group is gathered whole. Bitmaps first: what may link by these makes
     new groups, most of them small."""
-    held = [components(stars)]
     signs = signs.join(label.withColumnRenamed("label", "l"), "node", "left").select("node", "n", "bits", F.coalesce("l", "node").alias("label"))
-    rows, more = _dealt(held[0].withColumnRenamed("label", "grp"), signs, lambda n: F.lit(BLOCK_SIGNS))
+    rows, more = _dealt(groups, signs, lambda n: F.lit(BLOCK_SIGNS))
     near = storage.persist(rows.select("node", "label", "n", "bits", "grp", "lo", "hi").groupBy("grp", "lo", "hi").applyInArrow(_block_near(num, den), "a long, b long").distinct(), "near")
-    held += [*more, near, components(near)]
+    held = [*more, near, components(near)]
     rows, more = _dealt(held[-1].withColumnRenamed("label", "grp"), sets.select("node", "n", "grams"), lambda n: F.least(F.lit(BLOCK), F.greatest(F.lit(16), F.floor(F.lit(BLOCK_GRAMS) / n))))
     out = storage.persist(rows.select("node", "grams", "grp", "lo", "hi").groupBy("grp", "lo", "hi").applyInArrow(_block_links(num, den), "a long, b long").distinct(), "links")
     storage.drop(*held, *more)
@@ -611,14 +614,14 @@ def _links(spark, texts: DataFrame, nodes: DataFrame, k: int, num: int, den: int
     more = storage.persist(sent.groupBy("bucket").applyInArrow(_crosses, "a long, b long, n long").distinct(), "pairs")
     storage.release(spark)
     new = _sized(more.where(F.col("n") == COUNT).select("a", "b", F.lit(0).cast("long").alias("keys")).join(tried, ["a", "b"], "left_anti"), signed, num, den)
-    stars = more.where(F.col("n") == IN_BLOCKS).select("a", "b")
-    whole = more.where(F.col("n") == WHOLE).select(F.col("a").alias("label"))
-    stars = storage.persist(stars.union(label.join(whole, "label", "left_semi").select(F.col("label").alias("a"), F.col("node").alias("b"))), "stars")
+    alone = more.where(F.col("n") == IN_BLOCKS).select(F.col("a").alias("grp"), F.col("b").alias("node"))
+    whole = more.where(F.col("n") == WHOLE).select(F.col("a").alias("grp"), F.col("b").alias("label"))
+    lists = storage.persist(alone.union(label.join(whole, "label").select("grp", "node")).distinct(), "lists")
     if not new.isEmpty():
         label = _merged(label, _linked(new, sets, num, den))
-    if not stars.isEmpty():
-        label = _merged(label, _in_blocks(stars, sets, signs, label, num, den))
-    storage.drop(tried, active, sets, signs, more, new, stars)
+    if not lists.isEmpty():
+        label = _merged(label, _in_blocks(lists, sets, signs, label, num, den))
+    storage.drop(tried, active, sets, signs, more, new, lists)
     return label
 
 

@@ -169,3 +169,49 @@ def test_bitmaps_never_differ_more_than_sets():
         assert least <= len(x) + len(y) - 2 * shared and jaccard.differing(jaccard.parity(x), jaccard.parity(x)) == 0
         pruned += least * 18 > (len(x) + len(y)) * 2
     assert pruned > 200
+
+
+def test_lists_that_share_a_text_are_groups_of_their_own(spark, monkeypatch):
+    from sluice.llm import jaccard
+
+    r = random.Random(17)
+    words = lambda n: " ".join(f"x{r.randrange(10**6)}" for _ in range(n))
+    passages = [words(24) for _ in range(4)]
+    texts = [f"{words(12)} {p} {words(12)}" for p in passages for _ in range(120)]
+    texts += [f"{words(6)} {p} {words(6)} {q} {words(6)}" for p, q in zip(passages, passages[1:]) for _ in range(12)]
+    texts += [t.replace(t.split()[3], "other") for t in texts[::40]]
+    rows, groups, dealt = list(enumerate(texts)), [], jaccard._dealt
+
+    def seen(group, payload, most):
+        groups.append(sorted((x["count"] for x in group.groupBy("grp").count().collect()), reverse=True))
+        return dealt(group, payload, most)
+
+    monkeypatch.setattr(jaccard, "_dealt", seen)
+    check(spark, rows, 5, 8, 10)
+    assert groups and groups[0][0] <= 150  # holders of one passage; all of them hang together
+
+
+def test_groups_of_components_that_travel_packed():
+    import numpy as np
+    import pyarrow as pa
+
+    from sluice.llm import jaccard
+
+    # lists of keys 1 and 2: component 5 stands for itself in both, 30 nodes alone in each; node 9 is in both lists of keys 3 and 4
+    key = [1] * 31 + [2] * 31 + [3] * 20 + [4] * 20
+    node = [6, *range(100, 130), 7, *range(200, 230), 9, *range(300, 319), 9, *range(2, 5), *range(400, 416)]
+    label = [5, *range(100, 130), 5, *range(200, 230), 9, *range(300, 319), 9, *range(2, 5), *range(400, 416)]
+    packed = [1, *[0] * 30] * 2 + [0] * 40
+    cols = {"bucket": pa.array([0], pa.int32()), "keys": [np.array(key, np.uint32).tobytes()], "place": [np.arange(len(key), dtype=np.uint16).tobytes()]}
+    cols |= {"nodes": [np.array(node, np.int64).tobytes()], "labels": [np.array(label, np.int64).tobytes()], "packed": [np.array(packed, np.uint8).tobytes()]}
+    out = jaccard._crosses((pa.scalar(0),), pa.table(cols)).to_pylist()
+    got = {}
+    for x in out:
+        got.setdefault((x["n"], x["a"]), set()).add(x["b"])
+    whole, alone = jaccard.WHOLE, jaccard.IN_BLOCKS
+    assert got == {
+        (whole, 5): {5},
+        (alone, 5): {6, 7, *range(100, 130), *range(200, 230)},
+        (alone, 9): {9, *range(300, 319)},
+        (alone, 2): {9, *range(2, 5), *range(400, 416)},
+    }
