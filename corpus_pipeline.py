@@ -6,6 +6,8 @@ pieces. A doc_id stands for one document: stages that drop documents drop all ro
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,19 @@ def _new_names(docs: DataFrame, *names: str) -> tuple[str, ...]:
     return tuple(next(x for i in range(len(docs.columns) + 1) if (x := n + "_" * i).lower() not in {c.lower() for c in docs.columns}) for n in names)
 
 
+def _lean(stage):
+    """``stage`` begins without what stages before it left in the executors, and writes its tables by way of small batches."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        storage.collect_garbage(spark)
+        with storage.narrow_batches(spark):
+            return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@_lean
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below 0.5 stay, null and empty texts with them. Rows that repeat an id are scored one by
     one. All columns stay, whatever their names; an empty table gives an empty one."""
@@ -40,6 +55,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col(names[1]) == 0).drop(*names)
 
 
+@_lean
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group the document of the smallest doc_id stays, with all its rows. Texts without words are in no group;
     rows without a doc_id stay. An empty table gives an empty one."""
@@ -47,6 +63,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return _without(docs, found.where("component_id <> doc_id").select(F.col("doc_id").alias("id")), "copies")
 
 
+@_lean
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay, without the passages that an earlier one has; n_chars is counted anew (null for null texts).
     Ties, repeated rows and null ids as in ``dedup_substrings``; an empty table gives an empty one."""
@@ -55,6 +72,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return out.select(*[F.col(f"`{c}`") for c in columns])
 
 
+@_lean
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go, with all rows of their id. Null and empty texts, and rows without
     a doc_id, stay; an empty table gives an empty one."""
@@ -62,6 +80,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return _without(docs, found.where("contaminated").select(F.col("doc_id").alias("id")), "leaks")
 
 
+@_lean
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all rows, as ``pack`` gives them: a null or empty text is a piece of one token."""
     return pack(docs, tokenizer_path(), end=2, size=1024)

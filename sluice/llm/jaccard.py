@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm import storage
 from sluice.llm.shingles import mix, shingle_sets
+from sluice.llm.tokens import forget
 
 #: Fragments of the global order: segments on which partial overlaps are counted. A power of two.
 FRAGMENTS = 8
@@ -119,6 +120,7 @@ def _profile(k: int):
     def run(batches):
         import pyarrow as pa
 
+        forget()
         for b in batches:
             node, n = [], []
             for t in shingle_sets(b.column("text"), k):
@@ -156,6 +158,7 @@ def _sets(k: int):
     def run(batches):
         import pyarrow as pa
 
+        forget()
         seen: set = set()
         shift = np.uint64(64 - FRAGMENTS.bit_length() + 1)
         edges = np.arange(1, FRAGMENTS, dtype=np.uint64)
@@ -270,6 +273,7 @@ def _send(num: int, den: int, buckets: int, labelled: bool, k: int = 0):
             yield _packed_batch(out[i : i + 256])
 
     def run(batches):
+        forget()
         keys, nodes, labels, held = [], [], [], 0
         seen: set[int] = set()
         for b in batches:

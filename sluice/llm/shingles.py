@@ -62,7 +62,7 @@ def _chunks(off: np.ndarray, most: int):
 ROWS = 500
 
 
-def shingle_sets(column, k: int, most: int = 1 << 19):
+def shingle_sets(column, k: int, most: int = 1 << 17):
     """Yields, for each text, the sorted distinct hashes of its ``k``-word shingles. A text of fewer words has its
     whole sequence as its one shingle; one without words (or null) has none. A-Z count as a-z."""
     for i in range(0, len(column), ROWS):

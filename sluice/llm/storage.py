@@ -9,6 +9,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +69,32 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Lets the executors collect their garbage: heap that an earlier stage needed goes back to the system, and direct buffers are
+    only freed then. One task a core, so that each executor has some. A local session is left alone."""
+    if spark.sparkContext.master.startswith("local["):
+        return
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).collect()
+
+
+#: What a batch of rows on its way to Python holds at most, within ``narrow_batches``, if a row doesn't hold more.
+BATCH_BYTES = 4 << 20
+
+
+@contextmanager
+def narrow_batches(spark: SparkSession):
+    """Within it, tables are written by way of small Arrow batches: the buffers of a batch of 10,000 texts, which double as they
+    grow, lie outside the executor's heap and come on top of it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _width(col, kind: T.DataType):
     """Bytes that a value takes in memory, about."""
     if isinstance(kind, (T.StringType, T.BinaryType)):

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm import storage
 from sluice.llm.shingles import mix, powers
+from sluice.llm.tokens import forget
 
 #: Words of a unit at least, and words in a row of which one at least ends a part of a line.
 LEAST, WINDOW = 25, 9
@@ -138,7 +139,8 @@ def _hash(least: int, inline: bool):
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
+        forget()
+        for b in (big.slice(i, 500) for big in batches for i in range(0, big.num_rows, 500)):
             rank, key, text = (b.column(c).to_pylist() for c in ("rank", "key", "text"))
             i = 0
             while i < len(text):

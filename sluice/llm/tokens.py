@@ -90,3 +90,8 @@ def encoder(path: str) -> Encoder:
     if path not in _open:
         _open[path] = Encoder(path)
     return _open[path]
+
+
+def forget() -> None:
+    """Drops what this worker remembers of pieces: workers are used again by tasks that need the memory otherwise."""
+    _open.clear()

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import storage
+from sluice.llm.tokens import forget
 from sluice.llm.transducers import Cascade, Lexicon, Machine
 
 #: Labelled rows of either kind that learning sees at most, the first by a hash of their id.
@@ -322,6 +323,7 @@ def _scores(grammar: Grammar, text_at: int):
     def run(batches):
         import pyarrow as pa
 
+        forget()
         for big in batches:
             for i in range(0, big.num_rows, SLICE):
                 row = big.column(0).slice(i, SLICE)

@@ -115,3 +115,22 @@ def test_stages_on_odd_rows(spark, tables, tmp_path):
             assert sorted(r.text for r in got if r.doc_id == 3) == sorted(t for i, t, *_ in odd if i == 3) and len(next(r.text for r in got if r.doc_id == 5)) < 500
         else:
             assert len(got) == len(odd)
+
+
+def test_stages_hold_little_beside_each_other(spark, tables, monkeypatch):
+    from sluice.llm import storage, tokens
+    from sluice.llm.jaccard import _profile
+    from sluice.llm.queries import tokenizer_path
+
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(name)
+    write = storage.persist
+    monkeypatch.setattr(storage, "collect_garbage", lambda s: seen.append("collected"))
+    monkeypatch.setattr(storage, "persist", lambda df, x: seen.append(spark.conf.get(name)) or write(df, x))
+    d, _, _ = tables
+    corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{d}/documents.parquet"), d)
+    assert seen[0] == "collected" and set(seen[1:]) == {str(storage.BATCH_BYTES)}
+    assert spark.conf.get(name) == before
+    tokens.encoder(tokenizer_path())
+    list(_profile(5)([]))
+    assert not tokens._open
