@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm import storage
-from sluice.llm.tokens import encoder
+from sluice.llm.tokens import encoder, slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
@@ -128,10 +128,9 @@ def _pieces(path: str, end: int, size: int):
         e, part = encoder(path), TaskContext.get().partitionId()
         seen = np.zeros(size + 1, np.int64)
         for big in batches:
-            for at in range(0, big.num_rows, 1000):
-                b = big.slice(at, 1000)
+            for b in slices(big):
                 rows = []
-                for doc, raw in zip(b.column("doc_id").to_pylist(), e.encode([t or "" for t in b.column("text").to_pylist()])):
+                for doc, raw in zip(b.column("doc_id").to_pylist(), e.encode(b.column("text"))):
                     ids = np.append(np.frombuffer(raw, e.kind).astype("<u4"), np.uint32(end)).astype("<u4")
                     n = len(ids)
                     cut = n % size or size if n > size else n
@@ -173,7 +172,8 @@ def pack(docs: DataFrame, tokenizer: str, end: int, size: int = 1024) -> DataFra
     doc_id stays null, other columns are ignored, an empty table gives an empty result. Sequence ids count from 0.
     """
     # before the plan, pieces are written once: ranks belong to that writing
-    pieces = storage.persist(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(tokenizer, end, size), PIECES), "pieces")
+    with storage.narrow_batches(docs.sparkSession):
+        pieces = storage.persist(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(tokenizer, end, size), PIECES), "pieces")
     counts = storage.persist(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")
     histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most ``size`` rows
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm import storage
 from sluice.llm.shingles import mix
-from sluice.llm.tokens import encoder
+from sluice.llm.tokens import encoder, slices
 
 #: Keys of an index part, and bytes of text of a shard, about.
 PART_KEYS, SHARD_BYTES = 500_000, 24 << 20
@@ -151,10 +151,9 @@ def _write(root: str, tokenizer: str, end: int):
         with at.open_output_stream(path + ".part") as out:
             out.write(MAGIC + e.kind.itemsize.to_bytes(8, "little"))
             for big in batches:
-                for i in range(0, big.num_rows, 1000):
-                    b = big.slice(i, 1000)
+                for b in slices(big):
                     doc_ids, copies, sizes = b.column("doc_id").to_pylist(), [], []
-                    for doc, raw in zip(doc_ids, e.encode([t or "" for t in b.column("text").to_pylist()])):
+                    for doc, raw in zip(doc_ids, e.encode(b.column("text"))):
                         known = NULL_ID if doc is None else doc
                         copy = copy + 1 if known == before else 0
                         before = known
@@ -311,7 +310,9 @@ def write_store(docs: DataFrame, tokenizer: str, end: int, root: str | None = No
     n = max(1, -(-(rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16)).first()[0] or 0) // SHARD_BYTES))
     order = [F.coalesce("doc_id", F.lit(NULL_ID)), F.xxhash64("text")]
     rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    entries = _counted(storage.persist(rows.mapInArrow(_write(root, tokenizer, end), "doc_id long, copy long, part int, shard string, position long, n_tokens long"), "entries"))
+    with storage.narrow_batches(spark):
+        entries = storage.persist(rows.mapInArrow(_write(root, tokenizer, end), "doc_id long, copy long, part int, shard string, position long, n_tokens long"), "entries")
+    entries = _counted(entries)
     totals = entries.groupBy("part", "shard").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
     shards = storage.persist(totals.select(F.col("part").cast("long").alias("shard_id"), "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "shards")

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sluice.llm import decontaminate, html_extract, media_gif, packing, substring, token_store, toxicity, url_filter, warc
+from sluice.llm import decontaminate, html_extract, media_gif, packing, substring, token_store, tokens, toxicity, url_filter, warc
 from sluice.llm.queries import tokenizer_path
 from sluice.llm.tokens import encoder
 
@@ -40,6 +40,54 @@ def test_encoder_equals_the_library_on_whole_texts():
     assert [np.frombuffer(x, e.kind).tolist() for x in e.encode(texts)] == [e.library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_a_word_goes_through_the_library_once_whatever_marks_follow():
+    class Counting:
+        def __init__(self, library):
+            self.library, self.n = library, 0
+
+        def __getattr__(self, name):
+            def run(x, **options):
+                self.n += len(x) if isinstance(x, str) else sum(map(len, x))
+                return getattr(self.library, name)(x, **options)
+
+            return run
+
+    e, r = tokens.Encoder(tokenizer_path()), random.Random(4)
+    words = ["".join(r.choice("abdeinorstéß") for _ in range(9)) for _ in range(200)]
+    marks = ["", ",", ".", ";", "!", "?", ".,", "%%%", "###", '"', ")", "'", "...", ".***"]
+    texts = [" ".join(w + m for w in words) for m in marks] + ["".join(w + m + "\n" for w in words) for m in marks]
+    e.library = count = Counting(library := e.library)
+    got = [np.frombuffer(x, e.kind).tolist() for x in e.encode(texts)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    # each word after a space and after a line end; before, once for each row of marks and each word on the next line
+    assert count.n < 3 * sum(len(w) + 1 for w in words) < sum(map(len, texts)) // 8
+
+
+def test_encoder_on_odd_characters():
+    e, r = tokens.Encoder(tokenizer_path()), random.Random(5)
+    odd = [" "] * 6 + ["\n"] * 3 + list("\t\r\x0b\x1c\x85\xa0\u2003\u2028\u3000\u200b\u180e\x00abcABC.,!'\"-_<|>~1½²€ªºµǅɏɐ中д") + ["'s", "'ll", "th", "ing", "é", "ß", "<|endoftext|>"]
+    texts = ["".join(r.choice(odd) for _ in range(r.randrange(30))) for _ in range(6000)]
+    want = [e.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, e.kind).tolist() for x in e.encode(texts)] == want
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    b = pa.RecordBatch.from_arrays([pa.array(texts + [None])], names=["text"])
+    assert [np.frombuffer(x, e.kind).tolist() for s in tokens.slices(b) for x in e.encode(s.column("text"))] == [*want, []]
+    every = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) <= 0xDFFF]
+    white = pc.match_substring_regex(pa.array(every), rf"\A{tokens._WHITE}\z").to_pylist()
+    assert [c for c, x in zip(every, white) if x] == [c for c in every if c.isspace()]
+
+
+def test_slices_take_every_row_once(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "TOGETHER", 10)
+    for rows in ([], [None], ["x" * 40], ["", None, "ab", "x" * 10, "é" * 6, "x" * 30, "", "abc", "abc", "abcde", "", "f"]):
+        parts = [s.column("text").to_pylist() for s in tokens.slices(pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["text"]))]
+        assert [x for p in parts for x in p] == rows and all(len(p) == 1 or sum(len((x or "").encode()) for x in p) <= 10 for p in parts)
+
+
 def test_plan_uses_everything_and_fits():
     r = random.Random(1)
     for _ in range(5):
